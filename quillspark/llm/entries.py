@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality_rules, sharding, token_store
+from quillspark.llm import fingerprints, neardup, packing, quality_rules, sharding, token_store
 from quillspark.llm.common import documents
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(documents(spark, sf_dir))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.new_path(spark)
     token_store.write(documents(spark, sf_dir), path)
@@ -36,6 +40,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.digest(packing.pieces(documents(spark, sf_dir))))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents(spark, sf_dir).select(
@@ -47,9 +55,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op3_token_store": op3_token_store,
         "op5_quality_rules": op5_quality_rules,
         "op7_packing": op7_packing,
+        "op8_near_duplicates": op8_near_duplicates,
         "op10_sharding": op10_sharding,
     }
 
