@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprints, neardup, packing, quality_rules, sharding, token_store
+from quillspark.llm import fingerprints, neardup, packing, quality_rules, sharding, token_store, toxicity
 from quillspark.llm.common import documents
 
 
@@ -36,6 +36,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.digest(packing.pieces(documents(spark, sf_dir))))
 
@@ -58,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op3_token_store": op3_token_store,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
         "op8_near_duplicates": op8_near_duplicates,
         "op10_sharding": op10_sharding,
