@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprints, neardup, packing, quality_rules, sharding, token_store, toxicity
+from quillspark.llm import cotrain, fingerprints, licences, mixing, neardup, packing, quality_rules, sharding, token_store, toxicity
 from quillspark.llm.common import documents
 
 
@@ -15,12 +15,21 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(documents(spark, sf_dir))
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return cotrain.score(docs, cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.new_path(spark)
     token_store.write(documents(spark, sf_dir), path)
     return token_store.digests(spark, path)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir).select("doc_id", "source"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     return entries.select(
@@ -50,6 +59,19 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    files = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text")
+    return licences.scan(files)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents(spark, sf_dir).select(
@@ -62,12 +84,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_cotraining": op2_cotraining,
         "op3_token_store": op3_token_store,
+        "op4_mixing": op4_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
         "op8_near_duplicates": op8_near_duplicates,
+        "op9_licences": op9_licences,
         "op10_sharding": op10_sharding,
+        "pipeline": pipeline,
     }
 
 
