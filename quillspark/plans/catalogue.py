@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine, dot, sigmoid
-from quillspark.operators import corpus, evals, search, structure
+from quillspark.operators import chunker, corpus, embedding, evals, search, structure
+from quillspark.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,3 +655,40 @@ def latency_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("leakage", "SELECT round(avg((source <> 'src0')::INT::DOUBLE), 6) AS leakage FROM documents WHERE doc_id < 300")
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.leakage(table(spark, sf_dir, "documents").where("doc_id < 300").select(F.col("source").alias("workspace"), F.lit("src0").alias("expected")))
+
+
+# Parsing, chunking and embedding -------------------------------------------------------------------------------------
+
+
+@query("mime_sniff", "SELECT page_id, CASE WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') OR contains(lower(html[:2048]), '<body') THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
+def mime_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", files.mime(F.encode("html", "utf-8"), F.lit("x")).alias("mime"))
+
+
+@query("html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", files.html_column(F.col("html")).alias("text"))
+
+
+@query("ingest_gates", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'empty file' WHEN page_id % 5 = 1 THEN 'executable content' WHEN page_id % 5 = 2 THEN 'not a PDF' WHEN page_id % 5 = 3 THEN 'extension not accepted' END AS reject FROM pages")
+def ingest_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    content = F.when(k == 0, F.unhex(F.lit(""))).when(k == 1, F.unhex(F.lit("4D5A9000"))).otherwise(F.encode("html", "utf-8"))
+    ending = F.when(k == 2, "pdf").when(k == 3, "exe").otherwise("html")
+    rows = table(spark, sf_dir, "pages").select("page_id", content.alias("content"), F.concat(F.lit("/w/f."), ending).alias("path")).withColumn("length", F.octet_length("content"))
+    return rows.select("page_id", files.reject_reason(rows).alias("reject"))
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"), F.array(F.struct(F.lit(1).alias("page"), F.col("text").alias("text"))).alias("pages"))
+
+
+@query("chunk_documents")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunker.chunk_documents(_as_files(spark, sf_dir)).select("doc_id", "chunk_index", "page", "header", "char_start", "char_end", "citation", "source_hash")
+
+
+@query("embed_dummy")
+def embed_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", embedding.embed(F.substring("text", 1, 1800), dim=64).alias("embedding"))
