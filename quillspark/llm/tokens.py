@@ -18,7 +18,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 _LETTER = "A-Za-z0-9À-ÖØ-öø-ÿ"
 _SEGMENT = re.compile(rf"\s*[{_LETTER}]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+")
 #: Segments remembered by a worker.
-KEPT = 200_000
+KEPT = 300_000
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,15 +30,47 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which a byte-level vocabulary writes each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
+    """The library's tokenizer, and its model alone for segments that are one piece: a word of letters after at most a space.
+
+    Such words go to the model in bulk, already written in the vocabulary's letters, with line ends between them as marks.
+    """
+
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = _byte_letters()
+        self.mark = self.tokenizer.token_to_id(self.letters[10])
         self.known: dict[str, bytes] = {}
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def _learn(self, new: set[str]) -> None:
+        words = [s for s in new if (s[1:] if s[0] == " " else s).isalpha()]
+        for low in range(0, len(words), 4096):
+            some = words[low : low + 4096]
+            text = "\n".join(some).encode().decode("latin-1").translate(self.letters).replace(self.letters[10], f" {self.letters[10]} ")
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+            ends = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            for s, a, b in zip(some, [0, *(e + ids.itemsize for e in ends)], [*ends, len(raw)], strict=True):
+                self.known[s] = raw[a:b]
+        other = list(new.difference(words))
+        for low in range(0, len(other), 4096):
+            some = other[low : low + 4096]
+            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[s] = np.array(e.ids, self.width).tobytes()
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width``; a null text has none."""
         parts = [_SEGMENT.findall(t) if t else [] for t in texts]
@@ -46,11 +78,7 @@ class Encoder:
         if len(self.known) + len(new) > KEPT:
             self.known = {}
             new = set().union(*parts)
-        order = list(new)
-        for low in range(0, len(order), 4096):
-            some = order[low : low + 4096]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, self.width).tobytes()
+        self._learn(new)
         known = self.known
         return [b"".join([known[s] for s in p]) for p in parts]
 
