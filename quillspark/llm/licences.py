@@ -18,6 +18,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import stored
+
 LEAST = 0.6
 #: Notices of common licences, as their authors ask to print them (fixed texts).
 TEMPLATES = {
@@ -56,7 +58,8 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     # a row for each term of each template
     vectors = F.broadcast(spark.createDataFrame(weights, "licence string, term string, weight double"))
     rarity = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    lines = files.where("path is not null and text is not null").select("path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(_MENTION))).alias("line"))
+    found = files.where("path is not null and text is not null").select("path", "text", F.filter(F.split("text", "\n"), lambda x: x.rlike(_MENTION)).alias("_f")).where("size(_f) > 0")
+    lines = stored(found.select("path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.explode("_f").alias("line")), "licence-lines")  # read three times below
     per_file = lines.groupBy("path").agg(F.sum(F.regexp_count("line", F.lit(r"\S+"))).alias("_l"), F.max("n_words").alias("_n"))
     bag = lines.select("path", "line").distinct().select("path", "line", F.explode(F.expr(f"regexp_extract_all(lower(line), '{TERM}', 0)")).alias("term")).groupBy("path", "line", "term").count()
     bag = bag.join(rarity, "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(other)))

@@ -1,13 +1,13 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
-1. Voters are lexicon entries and patterns (stems of 4 and 5 letters), found among the terms of labelled documents outside the held-out
+1. Voters are lexicon entries and patterns (stems of 4 to 7 letters), found among the terms of labelled documents outside the held-out
    fold: those that occur clearly more often in one class. A small general lexicon is always among them.
 2. The label model knows only votes, not labels. Expectation maximisation gives each voter's accuracy and the share of toxic documents; voters whose votes stay correlated given the label (a stem and its longer form) form groups, and a group's members share
    one voice.
 3. A logistic regression on the terms that tell the classes apart learns the posterior labels, so that it also weighs terms that no voter names.
 
 Fitting uses at most `SAMPLE` labelled documents, drawn by a hash of doc_id, one of each group of copies; scoring covers all. Terms are the words of a text, lower case,
-and their first 4 and 5 letters; labels, lang, source and doc_id are no features.
+and their first 4 to 7 letters; labels, lang, source and doc_id are no features.
 
 Defined cases: a null or empty text gets the score of no terms; a document with several label rows is toxic if one says so; rows of
 labels without doc_id or verdict are ignored; without any usable label the lexicon alone votes; repeated rows get the same score.
@@ -36,13 +36,15 @@ SURE = 14.0
 FOLDS = 5
 #: General insults that vote in any corpus.
 LEXICON = ("clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
+#: First letters of a word that count as a term.
+STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str | None) -> set[str]:
     """The distinct terms of a text; stems end in ``*``."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
