@@ -193,3 +193,14 @@ def match_terms(query: Column, most: int = 28) -> Column:
 def title_case(text: str) -> str:
     """Letters after a non-letter in upper case, others in lower case."""
     return re.sub(r"[^\W\d_]+", lambda m: m.group(0)[0].upper() + m.group(0)[1:].lower(), text)
+
+
+def references(text: Column) -> Column:
+    """A struct of what a text preempts, is subject to, and defines, each in order of first mention."""
+    low = F.lower(text)
+    found = lambda p: F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x))), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    preempts = F.when(low.contains("preempts") | low.contains("notwithstanding any other"), found(r"(?i)(?:preempts|supersedes)\s+([^\n.,;]+)")).otherwise(none)
+    under = F.when(low.contains("subject to") | low.contains("exempted by"), found(r"(?i)(?:subject to|exempted by)\s+([^\n.,;]+)")).otherwise(none)
+    terms = found(r"['\"“]([A-Z][A-Za-z0-9\s\-_]{2,40})['\"”]\s+(?:means|shall mean|denotes)")
+    return F.struct(preempts.alias("preempts"), under.alias("preempted_by"), terms.alias("defines"))

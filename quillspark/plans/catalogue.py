@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -692,3 +693,68 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("embed_dummy")
 def embed_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", embedding.embed(F.substring("text", 1, 1800), dim=64).alias("embedding"))
+
+
+LAWS = [
+    (1, "This act preempts local rules, and supersedes older acts. It is subject to Section 9; and exempted by Order 5."),
+    (2, '"Base Rent" means the rent. "Base Rent" shall mean the same. "Term" denotes the period.'),
+    (3, "It supersedes nothing here."),
+    (4, "Plain words."),
+]
+
+
+def _found_sql(pattern: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _once(expr: str) -> str:
+    return f"array_to_string(list_filter({expr}, lambda x, i: list_position({expr}, x) = i), ';')"
+
+
+@query(
+    "references",
+    f"""SELECT i::BIGINT AS id, CASE WHEN contains(lower(t), 'preempts') OR contains(lower(t), 'notwithstanding any other') THEN {_once(_found_sql(r"(?i)(?:preempts|supersedes)\s+([^\n.,;]+)"))} ELSE '' END AS preempts,
+CASE WHEN contains(lower(t), 'subject to') OR contains(lower(t), 'exempted by') THEN {_once(_found_sql(r"(?i)(?:subject to|exempted by)\s+([^\n.,;]+)"))} ELSE '' END AS preempted_by,
+{_once(_found_sql('["“]([A-Z][A-Za-z0-9\\s\\-_]{2,40})["”]\\s+(?:means|shall mean|denotes)'))} AS defines FROM {values(LAWS, 'i', 't')}""",
+)
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = literal(spark, LAWS, "id long, text string").select("id", T.references(F.col("text")).alias("r"))
+    return d.select("id", *[F.concat_ws(";", f"r.{c}").alias(c) for c in ("preempts", "preempted_by", "defines")])
+
+
+@query("total_chars", "SELECT lang, sum(length(text))::BIGINT AS total_chars, count(*) AS n FROM documents GROUP BY lang")
+def total_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.length("text")).cast("long").alias("total_chars"), F.count("*").alias("n"))
+
+
+@query("covered_topics", f"WITH t AS ({_topic_sql()}) SELECT source AS workspace, string_agg(DISTINCT topic, ';' ORDER BY topic) AS topics FROM t JOIN documents USING (doc_id) GROUP BY source")
+def covered_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("workspace"), T.topic(F.col("source"), F.col("text")).alias("topic"))
+    return d.groupBy("workspace").agg(F.concat_ws(";", F.array_sort(F.collect_set("topic"))).alias("topics"))
+
+
+@query(
+    "doc_headers",
+    f"WITH {CHUNKS} SELECT workspace, string_agg(header, ';' ORDER BY first) AS headers FROM (SELECT workspace, header, min(chunk_id) AS first FROM chunks GROUP BY ALL) GROUP BY workspace",
+)
+def doc_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = chunks(spark, sf_dir).groupBy("workspace", "header").agg(F.min("chunk_id").alias("first"))
+    return first.groupBy("workspace").agg(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("first", "header"))), lambda x: x["header"])).alias("headers"))
+
+
+@query("ocr_confidence", "SELECT user_id, round(avg(value / 100), 6) AS mean_confidence FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean confidence by document over the pages that have one; events stand in for pages."""
+    return table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.round(F.avg(F.col("value") / 100), 6).alias("mean_confidence"))
+
+
+@query("header_lines")
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are headings, over all lines of the corpus and the literal ones."""
+
+    @F.pandas_udf("string")
+    def find(lines: pd.Series) -> pd.Series:
+        return lines.map(chunker.heading)
+
+    lines = structure.lines(table(spark, sf_dir, "documents")).unionByName(literal(spark, [(-1, i, h[0]) for i, h in enumerate(HEADS + NOISY)], "doc_id long, line_no int, line string"))
+    return lines.where("length(line) <= 120").select("doc_id", "line_no", find("line").alias("heading")).where("heading is not null")

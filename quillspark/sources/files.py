@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
 import io
@@ -149,6 +150,19 @@ def _eml(raw: bytes, name: str) -> list[tuple[int | None, str, str]]:
     return pages
 
 
+def _csv(raw: bytes, name: str) -> list[tuple[int | None, str, str]]:
+    """Thirty rows a page as a markdown table, each page below the header, located as ``Rows a-b``."""
+    text = _decoded(raw)
+    counts = {d: text.split("\n", 1)[0].count(d) for d in ",;\t|"}
+    table = [r for r in csv.reader(io.StringIO(text), delimiter=max(counts, key=counts.get)) if any(c.strip() for c in r)]
+    if not table:
+        return []
+    line = lambda cells: "| " + " | ".join(c.strip() for c in cells) + " |"
+    head, rows = table[0], table[1:]
+    top = [line(head), "| " + " | ".join("---" for _ in head) + " |"]
+    return [(None, f"Rows {i + 1}-{min(i + 30, len(rows))}", "\n".join([*top, *map(line, rows[i : i + 30])])) for i in range(0, max(1, len(rows)), 30)]
+
+
 def _docx(raw: bytes, name: str) -> list[tuple[int | None, str, str]]:
     """Paragraphs and tables in document order; deleted text is left out."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -170,13 +184,14 @@ HANDLERS: dict[str, Callable[[bytes, str], list[tuple[int | None, str, str]]]] =
     "text/markdown": _plain,
     "application/json": _plain,
     "text/html": _html,
+    "text/csv": _csv,
     "message/rfc822": _eml,
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": _docx,
 }
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Pages of files (path, content); a file that fails, or has no handler, is one row with its error. CSV goes to `csv_pages`."""
+    """Pages of files (path, content); a file that fails, or has no handler, is one row with its error."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
