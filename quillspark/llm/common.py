@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: White space between words, as the contracts define words: space and the control characters 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-#: Rows of an Arrow batch that a Python stage gets at once; texts may be long.
-BATCH_ROWS = "512"
+#: Rows and bytes of an Arrow batch that a Python stage gets at once, at most; texts may be long.
+BATCH_ROWS, BATCH_BYTES = "512", str(32 << 20)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def in_batches(df: DataFrame, step: Callable, schema: str) -> DataFrame:
     """mapInArrow over batches of bounded size."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(step, schema)
 
 

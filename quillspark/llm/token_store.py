@@ -33,52 +33,56 @@ _HEAD = struct.Struct("<4sIIIIQ")
 #: Most ids gathered for a shard, unless one document has more.
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, rules of a round, and uses below which a pair gets no rule.
-ROUNDS, RULES, LEAST = 10, 2048, 16
+ROUNDS, RULES, LEAST = 8, 2048, 16
+#: The pair table has two to this many slots.
+BITS = 18
 SHARDS = "part int, shard int, n_docs int, n_ids long, payload binary"
 
 
 def re_pair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that stand for ``ids``, and the rules as rows (left, right); rule i makes the nonterminal ``first + i``.
 
-    Each round counts all pairs in a table by hash, takes the most frequent pair of each of the fullest slots, and replaces
-    occurrences that don't overlap, the more frequent first.
+    Each round counts all pairs in a table by hash, takes one pair of each of the fullest slots, and replaces occurrences that don't
+    overlap, the more frequent first. The table and all arrays stay small enough for a processor's cache.
     """
-    seq, rules, bits = ids.astype(np.int64), np.empty((0, 2), np.int64), 20
+    seq, rules, size = ids.astype(np.uint32), np.empty((0, 2), np.uint32), 1 << BITS
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
         a, b = seq[:-1], seq[1:]
-        code = (a << 32) | b
-        slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        free = (a != end_id) & (b != end_id)
-        slot[~free] = 1 << bits
-        counts = np.bincount(slot, minlength=(1 << bits) + 1)
-        counts[-1] = 0
+        slot = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
+        slot = slot.astype(np.int32)
+        slot[(a == end_id) | (b == end_id)] = size
+        counts = np.bincount(slot, minlength=size + 1)
+        counts[size] = 0
         least = max(LEAST, int(np.partition(counts, -RULES)[-RULES]))
-        at = np.flatnonzero(counts[slot] >= least)
+        at = np.flatnonzero((counts >= least)[slot]).astype(np.int32)
         if not len(at):
             break
-        one = np.zeros((1 << bits) + 1, np.int64)
-        one[slot[at]] = code[at]
-        at = at[one[slot[at]] == code[at]]
-        exact = np.bincount(slot[at], minlength=len(counts))
+        there = slot[at]
+        one = np.zeros(size + 1, np.int32)
+        one[there] = at  # some place of each slot; its pair stands for the slot
+        same = one[there]
+        mine = (a[at] == a[same]) & (b[at] == b[same])
+        at, there = at[mine], there[mine]
+        exact = np.bincount(there, minlength=size + 1)
         chosen = np.flatnonzero(exact >= LEAST)
-        chosen = chosen[np.argsort(-exact[chosen], kind="stable")]
         if not len(chosen):
             break
-        order = np.full(len(counts), len(chosen), np.int64)
+        chosen = chosen[np.argsort(-exact[chosen], kind="stable")]
+        order = np.full(size + 1, len(chosen), np.int32)
         order[chosen] = np.arange(len(chosen))
-        rank = np.full(len(seq) + 1, len(chosen), np.int64)  # shifted by one; the ends count as no pair
-        rank[at + 1] = order[slot[at]]
-        mine = rank[1:-1]
-        use = (mine < len(chosen)) & (mine < rank[:-2]) & (mine <= rank[2:])
-        where = np.flatnonzero(use)
-        if len(where) < len(seq) // 500:
+        rank = np.full(len(seq) + 1, len(chosen), np.int32)  # shifted by one; the ends count as no pair
+        rank[at + 1] = order[there]
+        own = rank[at + 1]
+        use = (own < len(chosen)) & (own < rank[at]) & (own <= rank[at + 2])
+        where, own = at[use], own[use]
+        if len(where) < len(seq) // 100:
             break
-        new = first + len(rules)
-        rules = np.concatenate([rules, np.stack([one[chosen] >> 32, one[chosen] & 0xFFFFFFFF], 1)])
+        new = np.uint32(first + len(rules))
+        rules = np.concatenate([rules, np.stack([a[one[chosen]], b[one[chosen]]], 1)])
         seq = seq.copy()
-        seq[where] = new + mine[where]
+        seq[where] = new + own.astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
@@ -100,11 +104,15 @@ def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while len(symbols) and (is_rule := symbols >= first).any():
-        wide = np.repeat(symbols, np.where(is_rule, 2, 1))
-        at = np.cumsum(np.where(is_rule, 2, 1))[is_rule] - 2
-        wide[at], wide[at + 1] = rules[symbols[is_rule] - first].T
+    """The ids that symbols stand for: each step opens all nonterminals at once."""
+    while len(at := np.flatnonzero(symbols >= first)):
+        opened = rules[symbols[at] - first]
+        wide = np.empty(len(symbols) + len(at), symbols.dtype)
+        new = at + np.arange(len(at))
+        plain = np.ones(len(wide), bool)
+        plain[new] = plain[new + 1] = False
+        wide[plain] = np.delete(symbols, at)
+        wide[new], wide[new + 1] = opened[:, 0], opened[:, 1]
         symbols = wide
     return symbols
 
@@ -124,8 +132,8 @@ def _unpack(payload: memoryview, at: int, kind: str) -> tuple[np.ndarray, int]:
 
 def write_shard(keys: list[int | None], docs: list[np.ndarray], first: int, end_id: int = 0) -> bytes:
     """The payload of one shard. ``docs`` have no end id yet; ``first`` is above all ids."""
-    ids = np.concatenate([x for d in docs for x in (d, np.array([end_id], d.dtype))]).astype(np.int64)
-    seq, rules = re_pair(ids, first, end_id)
+    ids = np.concatenate([x for d in docs for x in (d, np.array([end_id], d.dtype))])
+    seq, rules = (x.astype(np.int64) for x in re_pair(ids, first, end_id))
     size = lengths_of(rules, first)
     width = np.where(seq >= first, size[np.maximum(seq - first, 0)] if len(size) else 1, 1)
     at = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
@@ -149,8 +157,7 @@ class Shard:
             got.append(x)
         null, keys, self.at, self.symbol_at, rules, self.size, self.symbols = got
         self.keys = [None if n else k for n, k in zip(null.tolist(), keys.tolist(), strict=True)]
-        self.rules = rules.reshape(-1, 2).astype(np.int64)
-        self.symbols = self.symbols.astype(np.int64)
+        self.rules = rules.reshape(-1, 2)
 
     def read(self, doc: int, start: int = 0, length: int | None = None) -> np.ndarray:
         """Ids of a document from ``start``; only symbols that cover them are expanded."""
@@ -158,16 +165,16 @@ class Shard:
         stop = n if length is None else min(n, start + length)
         own = self.symbols[self.symbol_at[doc] : self.symbol_at[doc + 1]]
         if (start, stop) == (0, n):
-            return expand(own, self.rules, self.first).astype("<u4")
-        width = np.where(own >= self.first, self.size[np.maximum(own - self.first, 0)] if len(self.size) else 1, 1)
+            return expand(own, self.rules, self.first)
+        width = np.where(own >= self.first, self.size[np.where(own >= self.first, own - self.first, 0)] if len(self.size) else 1, 1)
         ends = np.cumsum(width)
         low, high = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = start - (int(ends[low - 1]) if low else 0)
-        return expand(own[low:high], self.rules, self.first)[skip : skip + stop - start].astype("<u4")
+        return expand(own[low:high], self.rules, self.first)[skip : skip + stop - start]
 
     def ids(self) -> np.ndarray:
         """All ids of the shard, by one expansion."""
-        return expand(self.symbols, self.rules, self.first).astype("<u4")
+        return expand(self.symbols, self.rules, self.first)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
@@ -220,15 +227,15 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for p, s, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = Shard(payload)
-                raw, at = memoryview(shard.ids().tobytes()), (shard.at.astype(np.int64)).tolist()
-                n = shard.n_docs
-                cols = ([p] * n, [s] * n, shard.keys, at[:-1], [b - a for a, b in zip(at, at[1:], strict=False)], [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)])
+                n, at = shard.n_docs, shard.at.astype(np.int64)
+                raw, ends = memoryview(shard.ids()).cast("B"), (4 * at).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                cols = ([p] * n, [s] * n, shard.keys, at[:-1], np.diff(at), crc)
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(SHARDS).parquet(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    docs = files.select("part", "shard", "payload").mapInArrow(read, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = in_batches(files.select("part", "shard", "payload"), read, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     in_part = files.select("part", "shard", "n_ids", before(Window.partitionBy("part").orderBy("shard")).alias("in_part"))
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # at most 4,096 rows

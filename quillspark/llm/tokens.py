@@ -18,7 +18,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 _LETTER = "A-Za-z0-9À-ÖØ-öø-ÿ"
 _SEGMENT = re.compile(rf"\s*[{_LETTER}]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+")
 #: Segments remembered by a worker.
-KEPT = 300_000
+KEPT = 600_000
 
 
 def tokenizer_file(name: str) -> str:
