@@ -96,10 +96,11 @@ def surprise(hits: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
 
 def telling(rows: list[np.ndarray], target: np.ndarray, n_terms: int, most: int = FEATURES) -> np.ndarray:
     """The terms whose share of class 1 differs most surely from the mean."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.int64)
-    term = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    n = np.bincount(term, minlength=n_terms).astype(float)
-    sure = surprise(np.bincount(term, target[at], n_terms), np.maximum(n, 1), target.mean())
+    n, hits = np.zeros(n_terms), np.zeros(n_terms)
+    for r, p in zip(rows, target.tolist(), strict=True):  # a document names a term once
+        n[r] += 1
+        hits[r] += p
+    sure = surprise(hits, np.maximum(n, 1), target.mean())
     best = np.argsort(-sure, kind="stable")[:most]
     return best[sure[best] > SURE]
 
@@ -122,14 +123,14 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 3.0, rounds: int
 
 
 def _with_terms(docs: DataFrame, known: dict[str, int]) -> DataFrame:
-    """The known terms of each document, by number."""
+    """The known terms of each document, by number, as little-endian 32-bit integers."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[known[t] for t in known.keys() & terms(x)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "terms"])
+            found = [np.array([known[t] for t in known.keys() & terms(x)], "<i4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["toxic", "terms"])
 
-    return in_batches(docs.select("toxic", "text"), step, "toxic int, terms array<int>")
+    return in_batches(docs.select("toxic", "text"), step, "toxic int, terms binary")
 
 
 def _all_terms(docs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = {r["term"]: i for i, r in enumerate(top)}
     table = _with_terms(rows, known).collect()  # at most `sample` rows
     truth = np.array([r["toxic"] for r in table], float)
-    found = [np.array(r["terms"], np.int64) for r in table]
+    found = [np.frombuffer(r["terms"], "<i4") for r in table]
     hits, n = np.array([r["hits"] for r in top], float), np.array([r["n"] for r in top], float)
     good = np.flatnonzero((hits > 0.95 * n) & (surprise(hits, n, truth.mean() if len(truth) else 0.5) > SURE))
     good = good[np.argsort(-hits[good], kind="stable")][:VOTERS]
