@@ -6,7 +6,8 @@ file that is mostly licence lines is a licence file and speaks for its directory
 nearest ancestor directory that has one, by joins on paths.
 
 Defined cases: null or empty texts have no own licence; a null path inherits from the root only; two licence files of one directory: the
-better match, then the lesser name; repeated rows get a row each (with_paths numbers nothing, so rows of one path share their licence).
+better match, then the lesser name; repeated rows get a row each, and rows of one path share their licence; columns named as those added
+are replaced.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     own = own_licences(files.select("path", "text"), templates)
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     speaks = own.where("is_licence_file").groupBy(folder(F.col("path")).alias("above")).agg(F.min_by("licence", F.struct((-F.col("score")).alias("s"), "path")).alias("inherited_licence"))
-    rows = files.drop("text").withColumn("_dir", folder(F.coalesce("path", F.lit(""))))
+    rows = files.drop("text", "own_licence", "score", "inherited_licence", "inherited_from", "licence").withColumn("_dir", folder(F.coalesce("path", F.lit(""))))
     # each directory once: a directory with a third of all files costs no more than another
     dirs = rows.select("_dir").distinct().withColumn("_names", F.split("_dir", "/"))
     up = dirs.select("_dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_names")), lambda i: F.concat_ws("/", F.slice("_names", 1, i)))).alias("depth", "above"))

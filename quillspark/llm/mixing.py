@@ -10,7 +10,7 @@ The mixture ends with the slot in which the last source has shown all its docume
 nothing is dropped and each source has its weight.
 
 Defined cases: a null source is a source; a source without a given weight has none and is left out only if weights are given;
-repeated rows are separate documents; an empty table gives an empty mixture.
+repeated rows are separate documents; an empty table gives an empty mixture; columns named as those added are replaced.
 """
 
 from __future__ import annotations
@@ -69,6 +69,7 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with epoch, block, slot, release, deadline and position; a row appears once for each epoch it is in."""
     spark = docs.sparkSession
+    docs = docs.drop("epoch", "block", "slot", "release", "deadline", "position")
     counts = sizes(docs)
     slots = shares({s: (weights or tempered(counts)).get(s, 0.0) for s in counts}) if counts else {}
     period = sum(slots.values())
