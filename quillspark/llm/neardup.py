@@ -4,7 +4,8 @@ A document's set holds its distinct 2-word shingles, A-Z in lower case. Document
 least doc_id goes on. Register bands put similar classes in common buckets. In a bucket, members are compared with one leader, not with
 each other, so a bucket of g members costs g comparisons; in the buckets that still hold more than one component, later rounds compare new
 members of the largest with the members of the others, until a round links nothing new or `ROUNDS` have run. Each comparison first estimates the similarity from the registers
-and the set sizes, then counts the common shingles of the full sets (64-bit hashes).
+and the set sizes, then counts the common shingles of the full sets (64-bit hashes). The rounds only save work: at last all members of
+different components that still share a bucket are compared on their full sets, in blocks of `BLOCK` by `BLOCK` members.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; a text of one word has that word as its shingle;
 repeated rows are one document; a row without a doc_id joins its text's component but is never its representative.
@@ -13,6 +14,7 @@ repeated rows are one document; a row without a doc_id joins its text's componen
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ from quillspark.llm.tokens import in_slices
 
 WORDS, PERCENT = 2, 80
 ROUNDS = 6
+#: Members of a block, and shingles of a slice, of the last step's tables of members by shingles.
+BLOCK, SLICE = 256, 8192
 #: An estimate this low can't belong to a similarity of 0.8: the estimate's standard error is below 0.03.
 LEAST_ESTIMATE = 0.68
 #: Bits of the filter that keeps documents outside all buckets from being read in full; a fixed size, whatever the corpus.
@@ -126,6 +130,97 @@ def _links(pairs: DataFrame, payloads: DataFrame, percent: int) -> DataFrame:
     return in_batches(both, step, "u long, v long")
 
 
+def _joined(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``left`` (rows) and ``right`` (columns) have ``100 * common >= percent * all``."""
+    size = np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :]
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, x = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+        held = shared[at] == x
+        return row[held], at[held]
+
+    if len(shared):
+        sides = [(places(sets), len(sets)) for sets in (left, right)]
+        for low in range(0, len(shared), SLICE):
+            tables = []
+            for (row, at), n in sides:
+                here = (at >= low) & (at < low + SLICE)
+                table = np.zeros((n, min(SLICE, len(shared) - low)), np.float32)
+                table[row[here], at[here] - low] = 1
+                tables.append(table)
+            common += tables[0] @ tables[1].T
+    both = common.astype(np.int64)
+    return (both > 0) & (100 * both >= percent * (size[0] + size[1] - both))
+
+
+def _rest(own: DataFrame, payloads: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join all components with a link between members of one bucket; ``own`` has bucket, leader, rep and c.
+
+    A bucket's leader has met all members, so it stays out. Buckets of equal members count once. Members are dealt to blocks, and each
+    two blocks of a bucket, or a block with itself, are a group of its own: a large bucket is spread over many tasks.
+    """
+    others = own.where("rep != leader")
+    same = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt)))
+    buckets = others.groupBy("bucket").agg(F.count("*").alias("_n"), same(1).alias("_x"), same(2).alias("_y"), F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b")
+    buckets = buckets.groupBy("_n", "_x", "_y").agg(F.min("bucket").alias("bucket")).select("bucket", F.expr(f"(_n + {BLOCK - 1}) div {BLOCK}").alias("_blocks"))
+    dealt = others.join(buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("_blocks")))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "rep", "c")
+    keys = ["bucket", "low", "high"]
+    mixed = dealt.groupBy(*keys).agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select(*keys)
+    dealt = dealt.join(mixed, keys).join(payloads.select(F.col("id").alias("rep"), "set"), "rep").select(*keys, "block", "rep", "c", "set")
+
+    def compare(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+        sides = [[m for m in held if m[0] == b] for b in key[1:]]
+        if not held or not all(sides):
+            return []
+        # members of the most common component need only meet the others
+        most = Counter(m[2] for m in held).most_common(1)[0][0]
+        root = {m[2]: m[2] for m in held}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        found = []
+        for left, right in ((sides[0], sides[1]), (sides[1], sides[0])):
+            left = [m for m in left if m[2] != most]  # noqa: PLW2901
+            if not left:
+                continue
+            for i, j in zip(*(x.tolist() for x in np.nonzero(_joined([m[3] for m in left], [m[3] for m in right], percent))), strict=True):
+                a, b = find(left[i][2]), find(right[j][2])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((left[i][1], right[j][1]))
+            if key[1] == key[2]:
+                break
+        return found
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        key: tuple = ()
+        held: list[tuple] = []
+        for batch in batches:
+            found = []
+            for b, low, high, *member, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (b, low, high):
+                    found += compare(key, held)
+                    key, held = (b, low, high), []
+                held.append((*member, _from_planes(unpack(packed))))
+            yield _pairs(found)
+        yield _pairs(compare(key, held))
+
+    return in_batches(dealt.repartition(*keys).sortWithinPartitions(*keys), step, "u long, v long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (whether it is the component's representative) for every row."""
     drawn = stored(sketches(docs), "sketches")
@@ -138,11 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     pairs = lambda b: b.where("rep != leader").select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")).distinct()
     found = links = stored(_links(pairs(buckets), payloads, percent), "links")
     labels = components(links)
+    owned = lambda: buckets.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").select("bucket", "leader", "rep", F.coalesce("c", "rep").alias("c"))
     for i in range(1, rounds):
-        own = buckets.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").select("bucket", "rep", F.coalesce("c", "rep").alias("c"))
         # a new member of the bucket's largest component, and every third round any member, meets all members of other components
-        own = own.repartition("bucket").withColumn("_m", F.count("*").over(Window.partitionBy("bucket", "c")))
-        largest = F.struct(-F.col("_m"), "c", F.xxhash64("rep", "bucket", F.lit(i)))
+        own = owned().drop("leader").repartition("bucket").withColumn("_m", F.count("*").over(Window.partitionBy("bucket", "c")))
+        largest = F.struct(-F.col("_m"), F.xxhash64("c", F.lit(i)), F.xxhash64("rep", "bucket", F.lit(i)))
         anyone = F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"), F.xxhash64("rep", F.lit(i), F.pmod("bucket", F.lit(3))))
         first = F.min_by(F.struct("rep", "c"), anyone if i % 3 == 0 else largest).over(in_bucket)
         open_ = own.select("*", first.alias("l"), F.min("c").over(in_bucket).alias("_a"), F.max("c").over(in_bucket).alias("_b")).where("_a != _b and c != l.c")
@@ -151,6 +246,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
             break
         links = links.union(found)
         labels = components(links)
+    found = stored(_rest(owned(), payloads, percent), "links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     member = classes.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(member, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -63,6 +63,26 @@ def test_a_crowd_of_edits(spark):
     assert got == want
 
 
+def test_a_templated_crowd(spark):
+    """Members share 0.7 to 0.8 with each other, and only some pairs reach 0.8."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(240)]
+    texts = {}
+    for k in range(0, 400, 2):
+        at = rng.choice(120, 15, replace=False)
+        for who, own in ((k, at[3:9]), (k + 1, at[9:])):  # three words that only the pair has, and six of its own
+            w = list(base)
+            for i in at[:3]:
+                w[2 * i] = f"x{k}"
+            for i in own:
+                w[2 * i] = f"y{who}"
+            texts[who] = " ".join(w)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want, _ = brute(texts)
+    assert len(set(want.values())) > 150
+    assert got == want
+
+
 def test_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     by = {r["doc_id"]: r for r in got}
