@@ -2,9 +2,9 @@
 
 Each source's documents, in hash order, form blocks of `BLOCK`. With a target share w, the i-th block of a source has the window from
 floor(i / w) to ceil((i + 1) / w) on a line of slots, one block a slot. Earliest deadline first puts each block into its window, so at
-every point of the mixture a source is less than one block away from its share. Shares are integers W out of D, so the schedule repeats
-every D slots: only one period is simulated (its length depends on the resolution of the weights, not on the corpus), and block i of a
-source sits at ``i div W * D + slot of (i mod W)``.
+every point of the mixture a source is less than one block away from its share. Shares are exact ratios of the given weights, not
+rounded. The driver runs through the slots and keeps only how far each source is at every `PERIOD` slots; from there Spark tasks run
+through their own period again and give each block its slot.
 
 The mixture ends with the slot in which the last source has shown all its documents; by then others start again (``epoch`` > 0), so
 nothing is dropped and each source has its weight.
@@ -16,14 +16,19 @@ repeated rows are separate documents; an empty table gives an empty mixture; col
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import with_start
+from quillspark.llm.common import in_batches, with_start
 
 BLOCK = 8
-#: Slots of a period, about; at least ten for each source.
+#: Slots that one task gives out at a time.
 PERIOD = 1000
 #: Default weights are the sources' sizes to this power: large sources shrink a little against small ones.
 TEMPER = 0.9
@@ -44,26 +49,51 @@ def tempered(counts: dict[str, int], power: float = TEMPER) -> dict[str, float]:
     return {s: n**power / total for s, n in counts.items()}
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each source, at least one."""
-    period, total = max(period, 10 * len(weights)), sum(weights.values())
-    return {s: max(1, round(w / total * period)) for s, w in sorted(weights.items()) if w > 0}
+def shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights above 0 as whole numbers in exactly their ratios; a float that is the nearest to a short fraction, as 0.3, is that fraction."""
+    exact = {s: Fraction(w) for s, w in sorted(weights.items()) if w > 0}
+    exact = {s: short if float(short := f.limit_denominator(10**6)) == float(f) else f for s, f in exact.items()}
+    scale = math.lcm(*[f.denominator for f in exact.values()])
+    return {s: int(f * scale) for s, f in exact.items()}
+
+
+def run(whole: list[int], done: list[int], at: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Slots from ``at`` on as (source, block, slot, release, deadline), without end, after ``done`` blocks of each source."""
+    total = sum(whole)
+    job = lambda s, i: (i * total // whole[s], -(-(i + 1) * total // whole[s]), s, i)
+    waiting = [job(s, i) for s, i in enumerate(done)]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int]] = []
+    while True:
+        while waiting and waiting[0][0] <= at:
+            release, deadline, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, i, release))
+        deadline, s, i, release = heapq.heappop(ready)
+        heapq.heappush(waiting, job(s, i + 1))
+        yield s, i, at, release, deadline
+        at += 1
+
+
+def states(whole: list[int], needed: list[int], period: int = PERIOD) -> tuple[list[list[int]], int]:
+    """Blocks done of each source before every ``period`` slots, and the slot in which the last source has all it needs."""
+    done, out, last = [0] * len(whole), [], -1
+    left = sum(n > 0 for n in needed)
+    if not left:
+        return out, last
+    for s, i, t, _, _ in run(whole, done, 0):
+        if t % period == 0:
+            out.append(list(done))
+        done[s], last = i + 1, t
+        left -= i + 1 == needed[s]
+        if not left:
+            break
+    return out, last
 
 
 def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period as (source, block, slot, release, deadline): earliest deadline first among the released blocks."""
-    period = sum(slots.values())
-    todo = sorted((i * period // w, -(-(i + 1) * period // w), s, i) for s, w in slots.items() for i in range(w))
-    ready: list[tuple[int, str, int, int]] = []
-    out, at = [], 0
-    for t in range(period):
-        while at < len(todo) and todo[at][0] <= t:
-            release, deadline, s, i = todo[at]
-            heapq.heappush(ready, (deadline, s, i, release))
-            at += 1
-        deadline, s, i, release = heapq.heappop(ready)
-        out.append((s, i, t, release, deadline))
-    return out
+    """One period of sum(slots) as (source, block, slot, release, deadline)."""
+    names = list(slots)
+    return [(names[s], *rest) for s, *rest in islice(run(list(slots.values()), [0] * len(names), 0), sum(slots.values()))]
 
 
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -71,28 +101,29 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     spark = docs.sparkSession
     docs = docs.drop("epoch", "block", "slot", "release", "deadline", "position")
     counts = sizes(docs)
-    slots = shares({s: (weights or tempered(counts)).get(s, 0.0) for s in counts}) if counts else {}
-    period = sum(slots.values())
-    plan = schedule(slots)
-    at = {(s, i): t for s, i, t, _, _ in plan}
-    last = max(((b := -(-counts[s] // block) - 1) // w * period + at[s, b % w] for s, w in slots.items()), default=-1)
-    # a row for each source, and a row for each slot of a period: both bounded by the weights
-    of_source = spark.createDataFrame([(s, counts[s], w, (last // period + 1) * w * block) for s, w in slots.items()], "_s string, _n long, _w long, _most long")
-    of_slot = spark.createDataFrame(plan, "_s string, _i long, _t long, _r long, _d long")
+    share = shares({s: (weights or tempered(counts)).get(s, 0.0) for s in counts})
+    names, whole = list(share), list(share.values())
+    starts, last = states(whole, [-(-counts[s] // block) for s in names])
+    ends = [starts[-1][j] for j in range(len(names))] if starts else []
+    most = {s: (ends[j] + PERIOD) * block for j, s in enumerate(names)}
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), *[pa.int64()] * 4]
+        for batch in batches:
+            for p, done in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = min(PERIOD, last + 1 - p * PERIOD)
+                rows = [(names[s], i, t, r, d) for (s, i, t, r, d), _ in zip(run(whole, done, p * PERIOD), range(n), strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_s", "block", "slot", "release", "deadline"])
+
+    periods = spark.createDataFrame(list(enumerate(starts)), "p long, done array<long>")
+    of_slot = in_batches(periods, slots, "_s string, block long, slot long, release long, deadline long")
+    # a row for each source
+    of_source = spark.createDataFrame([(s, counts[s], most[s]) for s in names], "_s string, _n long, _most long")
     ranked = with_start(docs.withColumn("_s", source_key()), ["_s"], [F.xxhash64("doc_id"), "doc_id"], ["doc_id"], "_rank")
     rows = ranked.join(F.broadcast(of_source), "_s").withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_most - 1 - _rank) div _n))")))
     rows = rows.withColumn("_g", F.col("_rank") + F.col("epoch") * F.col("_n")).withColumn("block", F.expr(f"_g div {block}"))
-    rows = rows.withColumn("_i", F.col("block") % F.col("_w")).withColumn("_from", F.expr(f"block div _w * {period}L")).join(F.broadcast(of_slot), ["_s", "_i"])
-    rows = rows.withColumn("slot", F.col("_from") + F.col("_t")).where(F.col("slot") <= last)
-    return rows.select(
-        *docs.columns,
-        "epoch",
-        "block",
-        "slot",
-        (F.col("_from") + F.col("_r")).alias("release"),
-        (F.col("_from") + F.col("_d")).alias("deadline"),
-        (F.col("slot") * block + F.col("_g") % block).alias("position"),
-    )
+    rows = rows.join(of_slot, ["_s", "block"])
+    return rows.select(*docs.columns, "epoch", "block", "slot", "release", "deadline", (F.col("slot") * block + F.col("_g") % block).alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:

@@ -31,6 +31,19 @@ def test_mixture(spark):
     assert sum(r["epoch"] > 0 for r in got if r["source"] == "a") < 0.1 * sizes["a"]
 
 
+def test_mixture_keeps_the_exact_weights(spark):
+    data = [(i, "tiny" if i == 0 else "a" if i % 3 else "b") for i in range(24_000)]
+    weights = {"a": 0.63317, "b": 0.36673, "tiny": 0.0001}
+    got = mixing.mixture(spark.createDataFrame(data, "doc_id long, source string").repartition(4), weights, block=1)
+    total, done = sum(weights.values()), Counter()
+    rows = got.select("source", "position", "slot", "release", "deadline").orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(len(rows))) and len(rows) >= 24_000
+    for n, r in enumerate(rows, 1):
+        done[r["source"]] += 1
+        assert r["release"] <= r["slot"] < r["deadline"]
+        assert all(abs(done[s] - n * w / total) < 1 for s, w in weights.items())
+
+
 def test_mixing_odd_rows(odd, none):
     assert mixing.mixture(odd.withColumn("slot", F.lit("x"))).count() >= odd.count()
     got = mixing.mixed(odd)
