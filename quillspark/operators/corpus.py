@@ -80,12 +80,10 @@ def exact_dedup(chunks: DataFrame) -> DataFrame:
 def exhibit_siblings(documents: DataFrame) -> DataFrame:
     """Exhibits and attachments of a document: files of its workspace whose name begins with its own.
 
-    The join is by workspace and the first word of the name, with the full prefix as what remains to test.
+    Each exhibit's name gives all its prefixes, and the join is by workspace and prefix, so a name may end anywhere in the other.
     """
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
     d = documents.select("workspace", "document_id", stem.alias("stem"))
-    first = lambda c: F.regexp_extract(c, r"^([^_\- ]*)", 1)
-    s = d.where(F.lower("stem").rlike("exhibit|attachment")).select("workspace", F.col("document_id").alias("sibling_id"), F.col("stem").alias("sibling"), first("stem").alias("k"))
-    # a base stem's first word is the sibling's too, unless the base ends within it: those bases are one word
-    pairs = d.withColumn("k", first("stem")).join(s, ["workspace", "k"])
-    return pairs.where("sibling_id != document_id and startswith(sibling, stem)").select("workspace", "document_id", "sibling_id", "sibling")
+    s = d.where(F.lower("stem").rlike("exhibit|attachment")).select("workspace", F.col("document_id").alias("sibling_id"), F.col("stem").alias("sibling"))
+    s = s.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("sibling")), lambda n: F.substring("sibling", F.lit(1), n))).alias("stem"))
+    return d.join(s, ["workspace", "stem"]).where("sibling_id != document_id").select("workspace", "document_id", "sibling_id", "sibling")

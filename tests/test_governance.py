@@ -54,3 +54,11 @@ def test_csv_pages():
 
     pages = _csv(("k;v\n" + "".join(f"{i};x\n" for i in range(35))).encode(), "a.csv")
     assert [p[1] for p in pages] == ["Rows 1-30", "Rows 31-35"] and pages[1][2].startswith("| k | v |\n| --- | --- |\n| 30 | x |")
+
+
+def test_siblings_of_a_name_that_ends_within_a_word(spark):
+    from quillspark.operators import corpus
+
+    files = [("w", 1, "lease.pdf"), ("w", 2, "lease2_exhibit_A.pdf"), ("w", 3, "lease.v2_exhibit.pdf"), ("v", 4, "lease.pdf"), ("w", 5, "Lease.pdf"), ("w", 6, "exhibit")]
+    got = corpus.exhibit_siblings(spark.createDataFrame(files, "workspace string, document_id long, filename string")).collect()
+    assert sorted((r["document_id"], r["sibling_id"]) for r in got) == [(1, 2), (1, 3)]
