@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import in_batches, stored, with_start
-from quillspark.llm.tokens import BYTE_BPE, encoder, in_slices
+from quillspark.llm.tokens import BYTE_BPE, column_slices, encoder, id_bytes
 
 SIZE = 1024
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -31,18 +31,20 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, size: int = SIZE, end_id:
     for the histogram and again for the placement."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in in_slices(texts):
-                rows: list[tuple] = []
-                for key, raw in zip(keys[part], enc.encode(texts[part]), strict=True):
-                    ids = np.frombuffer(raw, enc.width).astype("<u4").tobytes() + end
-                    n = len(ids) // 4
-                    rows += [(key, at, min(size, n - at), n, ids[4 * at : 4 * (at + size)]) for at in range(0, n, size)]
-                a, b, c, d, e = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, b, c, d, e), kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            for part in column_slices(batch.column(1)):
+                some = batch.slice(part.start, part.stop - part.start)
+                ids, at = enc.encode(some.column(1))
+                ids = np.insert(ids.astype("<u4"), at[1:], end_id)
+                at = at + np.arange(len(at))  # with an end id for each text
+                n = np.diff(at)
+                many = -(-n // size)
+                doc = np.repeat(np.arange(len(n)), many)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * size
+                length = np.minimum(size, n[doc] - start)
+                cols = [some.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(n[doc]), id_bytes(ids, np.append(0, np.cumsum(length)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     key = F.col("doc_id").cast("long").alias("doc_id")
     return stored(in_batches(docs.select(key, "text"), cut, PIECES), "pieces")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import in_batches, part_of, range_parts, shared_dir
-from quillspark.llm.tokens import BYTE_BPE, encoder, in_slices
+from quillspark.llm.tokens import BYTE_BPE, column_slices, encoder, id_bytes
 
 MAGIC = b"QRP1"
 _HEAD = struct.Struct("<4sIIIIQ")
@@ -185,9 +185,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in in_slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(enc.encode(texts[part]), pa.binary())], names=["doc_id", "ids"])
+            for part in column_slices(batch.column(1)):
+                some = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([some.column(0), id_bytes(*enc.encode(some.column(1)))], names=["doc_id", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

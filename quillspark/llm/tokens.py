@@ -1,24 +1,29 @@
 """Token ids of whole texts with a public tokenizer file, encoded in segments that are remembered.
 
-A byte-level tokenizer starts a new piece at white space that follows something else, and at plain punctuation after a plain word.
-Between such points a text falls into segments whose ids don't depend on their neighbours, so each segment is encoded once by the
-tokenizers library and then looked up. The result is that of encoding the whole text.
+A byte-level tokenizer starts a new piece at the last white space before anything else, and at plain punctuation after a plain letter
+or digit. Cut at such points, found in the bytes of an Arrow column at once, a text falls into segments whose ids don't depend on their
+neighbours. Each distinct segment is encoded by the tokenizers library once and its ids are gathered from a table from then on. The
+result is that of encoding the whole text.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: A plain word before plain punctuation, white space or the end; else all up to the next white space.
-_LETTER = "A-Za-z0-9À-ÖØ-öø-ÿ"
-_SEGMENT = re.compile(rf"\s*[{_LETTER}]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+")
 #: Segments remembered by a worker.
-KEPT = 600_000
+KEPT = 1_500_000
+#: Kinds of bytes, as bits: white space that a cut may precede; bytes that surely begin no white space (code points of the blocks that
+#: hold some begin with C2, E1, E2 or E3) and no special token (they begin with ``<``); plain letters and digits; plain punctuation.
+BLANK, SOLID, ALNUM, STOP = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[[10, 32]] |= BLANK
+_KIND[[*range(33, 60), *range(61, 127), *(b for b in range(0xC3, 0xF5) if b not in (0xE1, 0xE2, 0xE3))]] |= SOLID
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= ALNUM
+_KIND[[ord(c) for c in ".,;:!?"]] |= STOP
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,11 +35,37 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable character by which a byte-level vocabulary writes each byte."""
+def _byte_letters() -> np.ndarray:
+    """The code points of the printable characters by which a byte-level vocabulary writes each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    out = np.arange(256, dtype="<u2")
+    out[rest] = 256 + np.arange(len(rest))
+    return out
+
+
+def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each text begins and the last one ends; a null is empty. Nothing is copied."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where segments begin: at each text's begin, at a blank before something solid, and at a stop after a letter or digit."""
+    mark = np.zeros(len(data) + 1, np.uint8)
+    kind = _KIND[data]
+    mark[:-2] = ((kind[:-1] & BLANK) << 1) & kind[1:]
+    mark[1:-1] |= ((kind[:-1] & ALNUM) << 1) & kind[1:]
+    mark[at[1:] - 1] = 0  # what follows a text's last byte is another text
+    mark[at] = 1
+    mark[len(data)] = 0
+    return np.flatnonzero(mark)
 
 
 class Encoder:
@@ -51,36 +82,79 @@ class Encoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.letters = _byte_letters()
-        self.mark = self.tokenizer.token_to_id(self.letters[10])
-        self.known: dict[str, bytes] = {}
+        self.letter_of_line_end = chr(self.letters[10])
+        self.line_end = self.tokenizer.token_to_id(self.letter_of_line_end)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def _learn(self, new: set[str]) -> None:
-        words = [s for s in new if (s[1:] if s[0] == " " else s).isalpha()]
-        for low in range(0, len(words), 4096):
-            some = words[low : low + 4096]
-            text = "\n".join(some).encode().decode("latin-1").translate(self.letters).replace(self.letters[10], f" {self.letters[10]} ")
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
-            ends = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
-            raw = ids.tobytes()
-            for s, a, b in zip(some, [0, *(e + ids.itemsize for e in ends)], [*ends, len(raw)], strict=True):
-                self.known[s] = raw[a:b]
-        other = list(new.difference(words))
-        for low in range(0, len(other), 4096):
-            some = other[low : low + 4096]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, self.width).tobytes()
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``width``; a null text has none."""
-        parts = [_SEGMENT.findall(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = set().union(*parts)
-        self._learn(new)
-        known = self.known
-        return [b"".join([known[s] for s in p]) for p in parts]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros(0, self.width)
+        self.start = np.zeros(1, np.int64)  # of each segment, and where the last one ends
+
+    def _add(self, segments: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments)), strict=True))
+        self.table = np.concatenate([self.table, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
+
+    def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments by number, one after the other, and where each begins and the last one ends."""
+        low = self.start[which]
+        length = self.start[which + 1] - low
+        done = np.concatenate([[0], np.cumsum(length)])
+        return self.table[np.arange(done[-1]) + np.repeat(low - done[:-1], length)], done
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes segments. A line end before something solid is a token of its own, and the rest is as at a text's begin."""
+        here, later = [], []
+        for s in new:
+            (later if s[0] == 10 and len(s) > 1 and _KIND[s[1]] & SOLID else here).append(s)
+        if later:
+            here = list(dict.fromkeys([*here, *(r for s in later if (r := s[1:]) not in self.known)]))
+        words, other = [], []
+        for s in here:
+            t = s.decode()
+            if (t[1:] if t[0] == " " else t).isalpha():
+                words.append(s)
+            else:
+                other.append((s, t))
+        if words:
+            letters = self.letters[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-16-le")
+            marked = letters.replace(self.letter_of_line_end, f" {self.letter_of_line_end} ")
+            ids = np.array(self.model.encode_batch_fast([marked], add_special_tokens=False)[0].ids, self.width)
+            mark = np.flatnonzero(ids == self.line_end)
+            self._add(words, np.delete(ids, mark), np.diff(mark, prepend=-1, append=len(ids)) - 1)
+        if other:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)]
+            self._add([s for s, _ in other], np.array([i for f in found for i in f], self.width), np.array([len(f) for f in found]))
+        if later:
+            ids, done = self._ids(np.array([self.known[s[1:]] for s in later]))
+            self._add(later, np.insert(ids, done[:-1], self.line_end), np.diff(done) + 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and the last one's end; a null text has none."""
+        data, at = column_bytes(texts)
+        begin = cuts(data, at)
+        if not len(begin):
+            return np.zeros(0, self.width), np.zeros(len(texts) + 1, np.int64)
+        ends = np.append(begin, len(data))
+        segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        _, offsets, raw = segments.dictionary.buffers()
+        raw, at_ = raw.to_pybytes(), np.frombuffer(offsets, np.int64)[: len(segments.dictionary) + 1].tolist()
+        distinct = [raw[a:b] for a, b in zip(at_, at_[1:], strict=False)]
+        if len(self.known) + 2 * len(distinct) > KEPT:
+            self._forget()
+        which = list(map(self.known.get, distinct))
+        if new := [s for s, i in zip(distinct, which, strict=True) if i is None]:
+            self._learn(new)
+            which = map(self.known.__getitem__, distinct)
+        ids, done = self._ids(np.fromiter(which, np.int64, len(distinct))[segments.indices.to_numpy()])
+        return ids, done[np.searchsorted(begin, at)]
+
+
+def id_bytes(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Runs of ids as a column of little-endian bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * ids.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -95,11 +169,19 @@ def encoder(name: str) -> Encoder:
 
 def in_slices(texts: list[str | None], most_chars: int = 2_000_000) -> list[slice]:
     """Runs of texts of bounded total length, one text at least."""
+    return _runs([len(t) if t else 0 for t in texts], most_chars)
+
+
+def column_slices(texts: pa.Array, most_bytes: int = 8 << 20) -> list[slice]:
+    """Runs of a column's texts of bounded size, one text at least."""
+    return _runs(np.diff(column_bytes(texts)[1]).tolist(), most_bytes)
+
+
+def _runs(sizes: list[int], most: int) -> list[slice]:
     out, low, held = [], 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > low and held + n > most_chars:
+    for i, n in enumerate(sizes):
+        if i > low and held + n > most:
             out.append(slice(low, i))
             low, held = i, 0
         held += n
-    return [*out, slice(low, len(texts))] if texts else []
+    return [*out, slice(low, len(sizes))] if sizes else []

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import packing, token_store
@@ -16,15 +18,23 @@ def whole():
 
 
 def test_segments_give_the_ids_of_the_whole(whole, texts):
-    some = [*list(texts.values())[:300], *ODD]
+    rng = random.Random(1)
+    parts = ["a", "Bc", "é", " ", "  ", "\n", "\n\n", " \n", "\t", ".", ",", "!", "'s", "'", "23", "\u00a0", "\u2003", "\u3000", "日本", "🙂", "<|endoftext|>", "<", "-", "\x85", "\x1c", "\r\n", "٣", "²", "x.y", "…"]
+    mixed = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(5000)]
+    some = [*list(texts.values())[:300], *ODD, *mixed, None, "word " * 50_000]
     enc = encoder(BYTE_BPE)
-    for got, want in zip(enc.encode(some), whole(some), strict=True):
-        assert np.array_equal(np.frombuffer(got, enc.width), want)
+    ids, at = enc.encode(pa.array(some))
+    for a, b, want in zip(at, at[1:], whole(some), strict=False):
+        assert np.array_equal(ids[a:b], want)
+    enc._forget()
+    again, _ = enc.encode(pa.array(["left out", *some]).slice(1))
+    assert np.array_equal(ids, again)
+    assert enc.encode(pa.array([], pa.string()))[1].tolist() == [0] and enc.encode(pa.array([None, ""]))[1].tolist() == [0, 0, 0]
 
 
 def test_re_pair_round_trip():
     rng = np.random.default_rng(1)
-    for ids in (rng.integers(0, 6, 5000), np.full(4000, 3), np.zeros(50, int), np.array([1])):
+    for ids in (rng.integers(0, 6, 5000), np.full(4000, 3), np.zeros(50, int), np.array([1]), np.array([], int)):
         seq, rules = token_store.re_pair(ids, 10, 0)
         assert np.array_equal(token_store.expand(seq.astype(np.int64), rules.astype(np.int64), 10), ids)
 
