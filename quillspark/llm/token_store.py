@@ -1,15 +1,16 @@
 """Token ids as grammar-compressed binary shards with random access.
 
 Documents are encoded, dealt to ranges of ascending doc_id and written as shards of about a million ids. In a shard, Re-Pair replaces
-frequent pairs of neighbouring symbols by nonterminals, round after round; no pair holds the end id, so each document starts at a
-symbol. A shard keeps the rules, the number of ids each nonterminal stands for, the symbols, and where each document starts among
-symbols and ids, so that any range of ids is decoded by expanding only the symbols that cover it.
+frequent pairs of neighbouring symbols by nonterminals until no pair occurs `LEAST` times; no pair holds the end id, so each document
+starts at a symbol. A shard keeps the rules, the number of ids each nonterminal stands for, the symbols, and where each document starts
+among symbols and ids, so that any range of ids is decoded by expanding only the symbols that cover it.
 
 A shard is one binary value of a Parquet row (part, shard, n_docs, n_ids, payload): Spark's writer commits it, and any task can write
-it again after a lost executor. Payload: ``<4sIIIIIQ`` magic, rounds, documents, rules, symbols, width of doc_id flags, ids; then the
-sections of `_SECTIONS`, each with its length as ``<I``, compressed with zstd, integers split in byte planes.
+it again after a lost executor. Payload: ``<4sIIIIQ`` magic, first nonterminal, documents, rules, symbols, ids; then the sections of
+`SECTIONS`, each with its length as ``<I``, compressed with zstd, integers split in byte planes.
 
-Defined cases: a null text is empty (the end id alone); a null doc_id comes first; repeated rows are stored each; an empty table has no shards.
+Defined cases: a null text is empty (the end id alone); a null doc_id comes first; repeated rows, and rows of one doc_id in the order of
+their ids, are stored each; a text of more ids than a shard has a shard of its own; an empty table has no shards; other columns are left out.
 """
 
 from __future__ import annotations
@@ -32,61 +33,88 @@ MAGIC = b"QRP1"
 _HEAD = struct.Struct("<4sIIIIQ")
 #: Most ids gathered for a shard, unless one document has more.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, rules of a round, and uses below which a pair gets no rule.
-ROUNDS, RULES, LEAST = 8, 2048, 16
+#: Uses below which a pair gets no rule; pairs of a round occur at least a `STEP`-th as often as the most frequent one.
+LEAST, STEP = 16, 8
 #: The pair table has two to this many slots.
 BITS = 18
+#: Sections of a payload and their integers: whether a doc_id is null, doc_ids, where documents start among ids and among symbols,
+#: rules as left and right symbols, how many ids each nonterminal stands for, symbols.
+SECTIONS = {"null": "u1", "doc_id": "<i8", "at": "<u4", "symbol_at": "<u4", "rules": "<u4", "size": "<u4", "symbols": "<u4"}
 SHARDS = "part int, shard int, n_docs int, n_ids long, payload binary"
 
 
-def re_pair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each pair (a, b), how often each numbered pair occurs, and a place of it. Exact: pairs that share a table slot with
+    another are sorted out."""
+    place = np.zeros(1 << BITS, np.int32)
+    place[slot] = np.arange(len(slot), dtype=np.int32)
+    same = place[slot]
+    other = np.flatnonzero((a != a[same]) | (b != b[same]))
+    number = slot
+    if len(other):
+        code, first, which = np.unique(a[other].astype(np.uint64) << np.uint64(32) | b[other], return_index=True, return_inverse=True)
+        number[other] = (1 << BITS) + which
+        place = np.concatenate([place, other[first].astype(np.int32)])
+    return number, np.bincount(number, minlength=len(place)), place
+
+
+def re_pair(ids: np.ndarray, first: int, end_id: int, least: int = LEAST, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that stand for ``ids``, and the rules as rows (left, right); rule i makes the nonterminal ``first + i``.
 
-    Each round counts all pairs in a table by hash, takes one pair of each of the fullest slots, and replaces occurrences that don't
-    overlap, the more frequent first. The table and all arrays stay small enough for a processor's cache.
+    Each round counts the pairs, takes those that occur a ``step``-th as often as the most frequent one, and replaces occurrences that don't overlap, the
+    more frequent first. It ends when no pair occurs ``least`` times. A pair that has become rare stays rare unless a new symbol is in it,
+    so later rounds look at the rest only.
     """
-    seq, rules, size = ids.astype(np.uint32), np.empty((0, 2), np.uint32), 1 << BITS
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
-        slot = slot.astype(np.int32)
-        slot[(a == end_id) | (b == end_id)] = size
-        counts = np.bincount(slot, minlength=size + 1)
-        counts[size] = 0
-        least = max(LEAST, int(np.partition(counts, -RULES)[-RULES]))
-        at = np.flatnonzero((counts >= least)[slot]).astype(np.int32)
-        if not len(at):
-            break
-        there = slot[at]
-        one = np.zeros(size + 1, np.int32)
-        one[there] = at  # some place of each slot; its pair stands for the slot
-        same = one[there]
-        mine = (a[at] == a[same]) & (b[at] == b[same])
-        at, there = at[mine], there[mine]
-        exact = np.bincount(there, minlength=size + 1)
-        chosen = np.flatnonzero(exact >= LEAST)
-        if not len(chosen):
-            break
-        chosen = chosen[np.argsort(-exact[chosen], kind="stable")]
-        order = np.full(size + 1, len(chosen), np.int32)
-        order[chosen] = np.arange(len(chosen))
-        rank = np.full(len(seq) + 1, len(chosen), np.int32)  # shifted by one; the ends count as no pair
-        rank[at + 1] = order[there]
-        own = rank[at + 1]
-        use = (own < len(chosen)) & (own < rank[at]) & (own <= rank[at + 2])
-        where, own = at[use], own[use]
-        if len(where) < len(seq) // 100:
+    seq, rules = ids.astype(np.uint32), {}
+    alive = np.ones(len(seq), bool)  # whether the pair that begins here may be frequent
+    while True:
+        at = np.flatnonzero(alive[:-1])
+        a, b = seq[at], seq[at + 1]
+        use = (a != end_id) & (b != end_id)
+        alive[at[~use]] = False
+        twins = np.flatnonzero((a == b) & use)
+        head = np.flatnonzero(np.diff(at[twins], prepend=-2) != 1)
+        odd = (np.arange(len(twins)) - np.repeat(head, np.diff(head, append=len(twins)))) % 2 == 1
+        use[twins[odd]] = False  # in a run of one symbol, every other pair overlaps
+        at, a, b = at[use], a[use], b[use]
+        slot = _slots(a, b)
+        use = (np.bincount(slot, minlength=1 << BITS) >= least)[slot]
+        alive[at[~use]] = False
+        at, a, b = at[use], a[use], b[use]
+        number, counts, place = _pairs(a, b, slot[use])
+        alive[at[(counts < least)[number]]] = False
+        if (top := counts.max()) < least:
             break
-        new = np.uint32(first + len(rules))
-        rules = np.concatenate([rules, np.stack([a[one[chosen]], b[one[chosen]]], 1)])
-        seq = seq.copy()
-        seq[where] = new + own.astype(np.uint32)
+        chosen = np.flatnonzero(counts >= max(least, top // step))
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
+        rank = np.full(len(counts), len(chosen), np.int32)
+        rank[chosen] = np.arange(len(chosen))
+        own = rank[number]
+        at, own = at[own < len(chosen)], own[own < len(chosen)]
+        near = np.diff(at) == 1
+        use = np.ones(len(at), bool)
+        use[1:] &= ~near | (own[1:] < own[:-1])
+        use[:-1] &= ~near | (own[:-1] <= own[1:])
+        at, own = at[use], own[use]
+        uses = np.bincount(own, minlength=len(chosen))
+        worth = uses >= max(2, least // 2)
+        worth[0] = True
+        at, own = at[worth[own]], own[worth[own]]
+        names = np.zeros(len(chosen), np.uint32)
+        for i in np.flatnonzero(worth).tolist():
+            j = place[chosen[i]]
+            names[i] = rules.setdefault((int(a[j]), int(b[j])), first + len(rules))
+        seq[at] = names[own]
+        alive[at] = True
+        alive[at[at > 0] - 1] = True
         keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq = seq[keep]
-    return seq, rules
+        keep[at + 1] = False
+        seq, alive = seq[keep], alive[keep]
+    return seq, np.array(list(rules), np.uint32).reshape(-1, 2)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
@@ -140,8 +168,8 @@ def write_shard(keys: list[int | None], docs: list[np.ndarray], first: int, end_
     symbol_at = np.searchsorted(np.concatenate([[0], np.cumsum(width)]), at)
     null = np.array([k is None for k in keys], np.uint8)
     head = _HEAD.pack(MAGIC, first, len(docs), len(rules), len(seq), len(ids))
-    parts = [null, np.array([k or 0 for k in keys], "<i8"), at.astype("<u4"), symbol_at.astype("<u4"), rules.reshape(-1).astype("<u4"), size.astype("<u4"), seq.astype("<u4")]
-    return head + b"".join(map(_pack, parts))
+    parts = [null, np.array([k or 0 for k in keys]), at, symbol_at, rules.reshape(-1), size, seq]
+    return head + b"".join(_pack(x.astype(kind)) for x, kind in zip(parts, SECTIONS.values(), strict=True))
 
 
 class Shard:
@@ -152,7 +180,7 @@ class Shard:
         if magic != MAGIC:
             raise ValueError("not a token shard")
         view, at, got = memoryview(payload), _HEAD.size, []
-        for kind in ("u1", "<i8", "<u4", "<u4", "<u4", "<u4", "<u4"):
+        for kind in SECTIONS.values():
             x, at = _unpack(view, at, kind)
             got.append(x)
         null, keys, self.at, self.symbol_at, rules, self.size, self.symbols = got

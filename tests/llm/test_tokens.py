@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,40 @@ def test_re_pair_round_trip():
         assert np.array_equal(token_store.expand(seq.astype(np.int64), rules.astype(np.int64), 10), ids)
 
 
+def plain_re_pair(ids, first, least):
+    """One pair at a time, by counting all pairs anew."""
+    seq, rules = ids.tolist(), []
+    while True:
+        counts, last = Counter(), {}
+        for i, p in enumerate(zip(seq, seq[1:], strict=False)):
+            if 0 not in p and last.get(p) != i - 1:
+                counts[p] += 1
+                last[p] = i
+        if not counts or max(counts.values()) < least:
+            return seq, rules
+        pair = counts.most_common(1)[0][0]
+        out, i = [], 0
+        while i < len(seq):
+            both = tuple(seq[i : i + 2]) == pair
+            out.append(first + len(rules) if both else seq[i])
+            i += 2 if both else 1
+        rules.append(pair)
+        seq = out
+
+
+def test_re_pair_against_a_plain_version():
+    rng = np.random.default_rng(7)
+    words = [rng.integers(1, 300, rng.integers(1, 6)) for _ in range(400)]
+    ids = np.concatenate([words[min(399, int(x))] for x in rng.exponential(40, 6000)])
+    ids[::500] = 0
+    want, want_rules = plain_re_pair(ids, 1000, 16)
+    got, rules = token_store.re_pair(ids, 1000, 0)
+    assert len(got) + 2 * len(rules) < 1.03 * (len(want) + 2 * len(want_rules))
+    pairs = Counter(p for i, p in enumerate(zip(got.tolist(), got.tolist()[1:], strict=False)) if 0 not in p and p[0] != p[1])
+    assert max(pairs.values()) < 16
+    assert len(set(map(tuple, rules.tolist()))) == len(rules)
+
+
 def test_shard_random_access():
     rng = np.random.default_rng(2)
     docs = [np.tile(rng.integers(1, 40, 7), rng.integers(0, 60)).astype("<u2") for _ in range(40)]
