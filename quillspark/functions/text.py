@@ -5,7 +5,6 @@ Words are ``[\\p{L}\\p{N}_]+``, which Java and RE2 read alike. All functions tak
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +28,18 @@ NOISE_LINE = (
 )
 TOC_LINE = r"(?i)(?:\.{3,}|_{3,}|-{3,})\s*(?:\d+|[ivxlcdm]+)$"
 SECTION_WORD = r"^(?:§+|section|sec\.|article|art\.|clause)\s*"
+# What a reference to a section looks like in a heading, words before a number that make one operative, and limits in characters
+# of a heading's line, of a title kept whole, of capitals before a reference, and of a line of capitals.
+SECTION_REFERENCE = (
+    r"(?:(?:(?:[A-Za-z.]+\s+)*(?:Code|U\.S\.C\.|Stat\.|C\.F\.R\.)\s*)?(?:§+|Section|Sec\.|Article|Art\.|Clause|Exhibit)\s*[0-9A-Z][0-9A-Za-z.\-:]*(?:\([0-9A-Za-z]+\))*"
+    r"|\b[0-9]{1,3}\.[0-9]{2,3}\.[0-9]{2,4}(?:\([A-Za-z0-9]+\))*)"
+)
+OPERATIVE = r"(?i)(?:§+|Section|Sec\.|Article|Art\.|Clause)\s*[0-9IVXLCDM]+"
+LINE_MOST, TITLE_MOST, PREFIX_MOST, CAPITALS = 120, 100, 40, (5, 79)
+# Beginnings of headings by level, and forms of a reference to a section.
+LEVELS = ((1, r"^(?:article|art\.|chapter|part|title|exhibit|schedule|appendix)"), (2, r"^(?:section|sec\.|§|clause|\d+\.\d+)"), (3, r"^(?:\([a-z0-9]+\)|subsection|sub-section|paragraph)"))
+TREE_LEVELS = ((1, r"^(?:article|art\.|chapter|part|title )"), (2, r"^(?:section|sec\.|§|clause|[0-9]+\.[0-9]+)"), (3, r"^(?:\(|subsection|sub-section)"))
+SECTION_FORMS = (r"(?i)(?:§+|Section|Sec\.|Article|Art\.|Clause|Exhibit)\s*([0-9A-Za-z.\-:]+)", r"\b([0-9]{1,4}(?:\.[0-9]+)*)(?:\([0-9A-Za-z]+\))+", r"\b([0-9]{1,4}(?:\.[0-9]+)+)")
 # Topics by the first phrase found, in this order.
 TOPICS: list[tuple[str, tuple[str, ...]]] = [
     ("Security Deposits", ("security deposit",)),
@@ -98,38 +109,64 @@ def norm_citation(token: Column) -> Column:
 
 def section_number(text: Column) -> Column:
     """The number of the first statute reference, or of a bare number with dots or brackets; empty if there is none."""
-    named = F.regexp_extract(text, r"(?i)(?:§+|Section|Sec\.|Article|Art\.|Clause|Exhibit)\s*([0-9A-Za-z.\-:]+)", 1)
-    bare = F.regexp_extract(text, r"\b([0-9]{1,4}(?:\.[0-9]+)*)(?:\([0-9A-Za-z]+\))+", 1)
-    dotted = F.regexp_extract(text, r"\b([0-9]{1,4}(?:\.[0-9]+)+)", 1)
-    return F.when(named != "", named).when(bare != "", bare).otherwise(dotted)
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, form, 1), F.lit("")) for form in SECTION_FORMS], F.substring(text, 1, 0))
+
+
+def canonical(text: Column) -> Column:
+    """The first statute reference as lower-case letters and digits; empty if there is none."""
+    return F.regexp_replace(F.lower(section_number(text)), "[^a-z0-9]", "")
+
+
+def _capitals(text: Column) -> Column:
+    return (text == F.upper(text)) & (text != F.lower(text))
 
 
 def heading_level(heading: Column) -> Column:
     """1 for articles and the like, 2 for sections, 3 for subsections; markdown headings count their hashes, 4 at most."""
     h = F.lower(F.trim(heading))
-    hashes = F.length(F.regexp_extract(heading, r"^(#*)", 1))
-    upper = (heading == F.upper(heading)) & (heading != F.lower(heading))
-    return (
-        F.when(h.startswith("#"), F.least(hashes, F.lit(4)))
-        .when(h.rlike(r"^(?:article|art\.|chapter|part|title|exhibit|schedule|appendix)"), 1)
-        .when(h.rlike(r"^(?:section|sec\.|§|clause|\d+\.\d+)"), F.when(F.size(F.regexp_extract_all(h, F.lit(r"(\.\d+)"), F.lit(1))) >= 2, 3).otherwise(2))
-        .when(h.rlike(r"^(?:\([a-z0-9]+\)|subsection|sub-section|paragraph)"), 3)
-        .when(upper, 1)
-        .otherwise(2)
-        .cast("long")
-    )
+    dots = F.size(F.regexp_extract_all(h, F.lit(r"(\.\d+)"), F.lit(1)))
+    level = F.when(h.startswith("#"), F.least(F.length(F.regexp_extract(heading, r"^(#*)", 1)), F.lit(4)))
+    for n, pattern in LEVELS:
+        level = level.when(h.rlike(pattern), F.when(dots >= 2, 3).otherwise(2) if n == 2 else n)
+    return level.when(_capitals(heading), 1).otherwise(2).cast("long")
 
 
 def tree_level(title: Column) -> Column:
     """The level of a table-of-contents entry, by a table of its own."""
     t = F.lower(F.trim(title))
-    return (
-        F.when(t.rlike(r"^(?:article|art\.|chapter|part|title )"), 1)
-        .when(t.rlike(r"^(?:section|sec\.|§|clause|[0-9]+\.[0-9]+)"), 2)
-        .when(t.rlike(r"^(?:\(|subsection|sub-section)"), 3)
-        .otherwise(1)
-        .cast("long")
-    )
+    return F.coalesce(*[F.when(t.rlike(pattern), n) for n, pattern in TREE_LEVELS], F.lit(1)).cast("long")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def title_case(text: Column) -> Column:
+    """Letters after a non-letter in upper case, others in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def heading(line: Column) -> Column:
+    """The title that a stripped line is, or null: what follows hashes; a line with a reference to a section that has nothing but some
+    capitals before it, cut to the reference if long; a short line of capitals without a sentence's marks."""
+    size, reference = F.length(line), F.regexp_extract(line, f"(?i){SECTION_REFERENCE}", 0)
+    before = F.trim(F.regexp_extract(line, f"(?i)^(.*?){SECTION_REFERENCE}", 1))
+    leads = (before == "") | (_capitals(before) & (F.length(before) <= PREFIX_MOST))
+    cut = F.rtrim(F.regexp_replace(reference, r"[ :.\-—]+$", ""))
+    rules = [
+        (line.startswith("#"), strip(F.regexp_replace(line, "^#+", ""))),
+        (reference != "", F.when(leads, F.when(size <= TITLE_MOST, line).otherwise(cut))),
+        (_capitals(line) & size.between(*CAPITALS) & ~line.rlike("[.;!?]"), title_case(line)),
+    ]
+    title = reduce(lambda low, rule: F.when(rule[0], rule[1]).otherwise(low), reversed(rules), F.lit(None).cast("string"))
+    return F.when((size > 0) & (size <= LINE_MOST) & ~is_noise(line) & ~is_toc_line(line), title)
+
+
+def is_numbered_heading(line: Column) -> Column:
+    """Whether a heading's line has a number of its own, or hashes."""
+    return line.startswith("#") | line.rlike(OPERATIVE)
 
 
 def is_noise(line: Column) -> Column:
@@ -168,18 +205,35 @@ def locator(page: Column, raw: Column, header: Column) -> Column:
     return F.struct(kind.alias("kind"), path.alias("path"), shown.alias("formatted"))
 
 
-def contextual(text: Column, filename: Column, path: Column, header: Column) -> Column:
-    """The text below its document title and section path: ``Document: …``, ``Section: a > b``."""
+def _crumbs(path: Column, *instead: Column) -> Column:
+    """Real parts of a section path joined by ``>``, consecutive ones once; without any, the first real one of ``instead``."""
     real = lambda x: (F.trim(x) != "") & (F.lower(F.trim(x)) != "general") & ~F.lower(F.trim(x)).rlike(PAGE_CRUMB)
     kept = F.transform(F.filter(F.coalesce(path, F.array().cast("array<string>")), lambda x: x.isNotNull() & real(x)), lambda x: F.trim(x))
-    once = F.aggregate(
-        kept, F.array().cast("array<string>"), lambda a, x: F.when((F.size(a) > 0) & (F.lower(F.element_at(a, -1)) == F.lower(x)), a).otherwise(F.concat(a, F.array(x)))
-    )
-    crumbs = F.when(F.size(once) > 0, F.concat_ws(" > ", once)).when(F.coalesce(header, F.lit("")).isNotNull() & real(F.coalesce(header, F.lit(""))), F.trim(header))
+    once = F.filter(F.zip_with(kept, F.concat(F.array(F.lit("")), kept), lambda x, before: F.when(F.lower(x) != F.lower(F.coalesce(before, F.lit(""))), x)), lambda x: x.isNotNull())
+    return reduce(lambda low, c: F.coalesce(low, F.when(real(F.coalesce(c, F.lit(""))), F.trim(c))), instead, F.when(F.size(once) > 0, F.concat_ws(" > ", once)))
+
+
+def _below_title(text: Column, filename: Column, crumbs: Column) -> Column:
     title = doc_title(F.coalesce(filename, F.lit("")))
     return F.concat_ws("\n", F.when(title != "", F.concat(F.lit("Document: "), title)), F.concat(F.lit("Section: "), crumbs), text)
 
 
+def contextual(text: Column, filename: Column, path: Column, header: Column) -> Column:
+    """The text below its document title and section path: ``Document: …``, ``Section: a > b``."""
+    return _below_title(text, filename, _crumbs(path, header))
+
+
+def rerank_text(text: Column, filename: Column, path: Column, locator: Column, header: Column) -> Column:
+    """The same for a reranker; without a path the locator stands for it, then the header."""
+    return _below_title(text, filename, _crumbs(path, locator, header))
+
+
+def path_of(raw: Column) -> Column:
+    """A section path from text: a JSON array, or parts between ``>``."""
+    parts = F.filter(F.transform(F.split(raw, ">"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.trim(raw).startswith("["), F.coalesce(F.from_json(raw, "array<string>"), parts)).otherwise(parts)
+
+
 def match_terms(query: Column, most: int = 28) -> Column:
     """The terms of a lexical query: distinct, lower case, without stopwords unless nothing else is left; numbers, then long words first."""
     raw = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit("([a-z0-9]+)"), F.lit(1)))
@@ -190,17 +244,17 @@ def match_terms(query: Column, most: int = 28) -> Column:
     return F.when(F.size(chosen) > most, F.slice(ranked, 1, most)).otherwise(chosen)
 
 
-def title_case(text: str) -> str:
-    """Letters after a non-letter in upper case, others in lower case."""
-    return re.sub(r"[^\W\d_]+", lambda m: m.group(0)[0].upper() + m.group(0)[1:].lower(), text)
+# Phrases that name what a text preempts, is subject to, and defines.
+PREEMPTS, SUBJECT_TO = (("preempts", "notwithstanding any other"), r"(?i)(?:preempts|supersedes)\s+([^\n.,;]+)"), (("subject to", "exempted by"), r"(?i)(?:subject to|exempted by)\s+([^\n.,;]+)")
+DEFINES = r"['\"“]([A-Z][A-Za-z0-9\s\-_]{2,40})['\"”]\s+(?:means|shall mean|denotes)"
 
 
 def references(text: Column) -> Column:
     """A struct of what a text preempts, is subject to, and defines, each in order of first mention."""
-    low = F.lower(text)
     found = lambda p: F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x))), lambda x: x != "")
-    none = F.array().cast("array<string>")
-    preempts = F.when(low.contains("preempts") | low.contains("notwithstanding any other"), found(r"(?i)(?:preempts|supersedes)\s+([^\n.,;]+)")).otherwise(none)
-    under = F.when(low.contains("subject to") | low.contains("exempted by"), found(r"(?i)(?:subject to|exempted by)\s+([^\n.,;]+)")).otherwise(none)
-    terms = found(r"['\"“]([A-Z][A-Za-z0-9\s\-_]{2,40})['\"”]\s+(?:means|shall mean|denotes)")
-    return F.struct(preempts.alias("preempts"), under.alias("preempted_by"), terms.alias("defines"))
+
+    def told(signs: tuple[str, ...], pattern: str) -> Column:
+        said = reduce(lambda a, b: a | b, [F.lower(text).contains(s) for s in signs])
+        return F.when(said, found(pattern)).otherwise(F.array().cast("array<string>"))
+
+    return F.struct(told(*PREEMPTS).alias("preempts"), told(*SUBJECT_TO).alias("preempted_by"), found(DEFINES).alias("defines"))

@@ -1,178 +1,136 @@
-"""Structure-aware chunks: a stateful pass over each document's lines, documents dealt to tasks by Spark.
+"""Structure-aware chunks as relations: lines, blocks, sections, chunks.
 
-A document is a row with its pages; its chunks come out one by one, so a task holds one document at a time. A chunk ends at a new page,
-at a heading (unless only headings came before), or when the next paragraph would make it too long; then the last short paragraphs
-are carried over. Offsets are those of the page's text.
+Texts move once, to the task of their document. Lines are classified by column rules, windows number the blocks (headings and
+paragraphs) and the sections (a new page, or a heading below text, begins one), and running minima of heading levels give each
+section its path. Only the fill of a section, a walk over the lengths of its pieces, is Python. Offsets are those of the page's text.
+
+Defined cases: a null or empty text has no chunks; a sentence is never cut, however long; rows of one doc_id count as one document's
+pages in the order of their numbers; other columns are left out.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
 MAX_CHARS, OVERLAP = 1800, 150
-SCHEMA = "doc_id long, filename string, chunk_index int, page int, header string, heading_path array<string>, locator string, content string, char_start int, char_end int"
-_NOISE, _TOC = re.compile(T.NOISE_LINE), re.compile(T.TOC_LINE)
-_SECTION = re.compile(
-    r"(?:(?:[A-Za-z.]+\s+)*(?:Code|U\.S\.C\.|Stat\.|C\.F\.R\.)\s*)?(?:§+|Section|Sec\.|Article|Art\.|Clause|Exhibit)\s*[0-9A-Z][0-9A-Za-z.\-:]*(?:\([0-9A-Za-z]+\))*"
-    r"|\b[0-9]{1,3}\.[0-9]{2,3}\.[0-9]{2,4}(?:\([A-Za-z0-9]+\))*",
-    re.I,
-)
-_OPERATIVE = re.compile(r"(?:§+|Section|Sec\.|Article|Art\.|Clause)\s*[0-9IVXLCDM]+", re.I)
-_LEVEL_1 = ("article", "art.", "chapter", "part", "title", "exhibit", "schedule", "appendix")
-
-
-def heading(line: str) -> str | None:
-    """The heading that a line is, or None: markdown, a section number at the start, or short capitals."""
-    line = line.strip()
-    if not line or len(line) > 120 or _NOISE.match(line) or _TOC.search(line):
-        return None
-    if line.startswith("#"):
-        return line.lstrip("#").strip()
-    if m := _SECTION.search(line):
-        before = line[: m.start()].strip()
-        if before and (not before.isupper() or len(before) > 40):
-            return None
-        return line if len(line) <= 100 else m.group(0).rstrip(" :.-—").strip()
-    return T.title_case(line) if line.isupper() and 4 < len(line) < 80 and not set(line) & set(".;!?") else None
-
-
-def level(title: str) -> int:
-    low = title.strip().lower()
-    if low.startswith(_LEVEL_1):
-        return 1
-    if low.startswith(("section", "sec.", "§", "clause")) or re.match(r"\d+\.\d+", low):
-        return 3 if len(re.findall(r"\.\d+", low)) >= 2 else 2
-    return 3 if re.match(r"\([a-z0-9]+\)", low) or low.startswith(("subsection", "sub-section", "paragraph")) else 1 if title.isupper() else 2
-
-
-@dataclass(frozen=True)
-class Piece:
-    """A paragraph or heading line of a page."""
-
-    page: int | None
-    text: str
-    start: int
-    end: int
-    title: str | None = None
-
-
-def pieces(page: int | None, text: str) -> Iterator[Piece]:
-    """Paragraphs and headings of a page; blank lines and dropped furniture part paragraphs."""
-    run: list[re.Match] = []
-    last = None
-    for m in re.finditer(r"[^\r\n]+", text):
-        line = m.group(0).strip()
-        if not line or _NOISE.match(line):
-            continue
-        title = heading(line)
-        if run and (title or m.start() > last + 1):
-            yield _joined(page, run)
-            run = []
-        if title:
-            yield Piece(page, line, m.start(), m.end(), title)
-        else:
-            run.append(m)
-        last = m.end()
-    if run:
-        yield _joined(page, run)
-
-
-def _joined(page: int | None, run: list[re.Match]) -> Piece:
-    return Piece(page, "\n".join(m.group(0).strip() for m in run), run[0].start(), run[-1].end())
-
-
-def _parts(piece: Piece, most: int) -> Iterator[Piece]:
-    """A long paragraph's sentences; a sentence is never cut. Their offsets assume single spaces between them."""
-    if len(piece.text) <= most:
-        yield piece
-        return
-    at = piece.start
-    for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", piece.text))):
-        yield Piece(piece.page, s, at, at + len(s))
-        at += len(s) + 1
-
-
-@dataclass
-class _Open:
-    """The chunk being filled: its pieces, how many of them were carried over, and the headings above it."""
-
-    held: list[Piece] = field(default_factory=list)
-    carried: int = 0
-    path: list[str] = field(default_factory=list)
-    header: str = "General"
-
-    def size(self) -> int:
-        return sum(len(p.text) + 2 for p in self.held)
-
-    def settled(self) -> bool:
-        """Whether a heading that comes now starts a new chunk: there is a body, or a numbered heading."""
-        return any(p.title is None or _OPERATIVE.search(p.text) or p.text.startswith("#") for p in self.held)
-
-    def close(self, keep: int) -> dict:
-        own = self.held[min(self.carried, len(self.held) - 1)]
-        page = own.page if own.page is not None else self.held[0].page
-        out = {
-            "page": page,
-            "header": self.header,
-            "heading_path": ([f"Page {page}"] if page is not None else []) + self.path,
-            "locator": f"Page {page}" if page is not None else " > ".join(self.path) or None,
-            "content": "\n\n".join(p.text for p in self.held).strip(),
-            "char_start": self.held[0].start,
-            "char_end": self.held[-1].end,
-        }
-        tail: list[Piece] = []
-        room = keep
-        for p in reversed(self.held):
-            if len(p.text) > room:
-                break
-            tail.insert(0, p)
-            room -= len(p.text) + 2
-        self.held, self.carried = tail, len(tail)
-        return out
-
-
-def chunk(pages: Iterable[tuple[int | None, str]], most: int = MAX_CHARS, overlap: int = OVERLAP) -> Iterator[dict]:
-    """The chunks of one document's pages."""
-    now = _Open()
-    for number, text in pages:
-        for piece in pieces(number, text or ""):
-            first = now.held[0].page if now.held else None
-            turned = first is not None and number is not None and first != number
-            if now.held and (turned or piece.title and (now.settled() or first != number)):
-                yield now.close(-1)
-            if piece.title:
-                now.path = now.path[: max(0, min(level(piece.title) - 1, len(now.path)))] + [piece.title]
-                now.header = piece.title
-            for part in _parts(piece, most):
-                if now.held and now.size() + len(part.text) + 2 > most:
-                    yield now.close(overlap)
-                now.held.append(part)
-    if now.held:
-        yield now.close(-1)
+#: Levels that a heading path can have.
+DEPTH = 4
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Headings and paragraphs of ``docs`` (doc_id, filename, pages: array of struct(page, text)), numbered within each page.
+
+    Columns: doc_id, filename, seq (place of the page), page, block, text, raw (text with its white space), start, end, title (of a heading).
+    """
+    pages = docs.select("doc_id", "filename", "pages").repartition("doc_id").select("doc_id", "filename", F.posexplode("pages").alias("seq", "_p"))
+    lines = pages.select("doc_id", "filename", "seq", F.col("_p.page").alias("page"), F.posexplode(F.split("_p.text", r"[\r\n]")).alias("line", "raw"))
+    on_page = Window.partitionBy("doc_id", "seq").orderBy("line")
+    before = on_page.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumns({"start": F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("int"), "text": T.strip(F.col("raw"))})
+    lines = lines.withColumn("gap", (F.col("text") == "") | T.is_noise(F.col("text"))).withColumn("title", F.when(~F.col("gap"), T.heading(F.col("text"))))
+    alone = F.col("gap") | F.col("title").isNotNull()
+    begins = alone | F.coalesce(F.lag(alone).over(on_page), F.lit(True))
+    lines = lines.withColumn("block", F.sum(begins.cast("int")).over(on_page)).where(~F.col("gap"))
+    parts = F.array_sort(F.collect_list(F.struct("line", "text", "raw")))
+    found = lines.groupBy("doc_id", "seq", "block").agg(
+        F.first("filename").alias("filename"),
+        F.first("page").alias("page"),
+        parts.alias("_l"),
+        F.min("start").alias("start"),
+        F.max(F.col("start") + F.length("raw")).alias("end"),
+        F.max("title").alias("title"),
+    )
+    return found.select("doc_id", "filename", "seq", "page", "block", F.array_join("_l.text", "\n").alias("text"), F.array_join("_l.raw", "\n").alias("raw"), "start", "end", "title")
+
+
+def sections(found: DataFrame) -> DataFrame:
+    """Blocks with the number of their section, the heading they are under and its path.
+
+    A section begins on a new page, and at a heading unless only headings without a number come right before it. A heading of level n
+    hangs below the last one of a lesser level, one step deeper at most: with depth d of the i-th heading, d - i is the running minimum of
+    level - 1 - i, so windows give all depths, and each level of the path is the last heading of that depth.
+    """
+    doc = Window.partitionBy("doc_id").orderBy("seq", "block")
+    is_heading = F.col("title").isNotNull()
+    turned = F.lag("page").over(doc) != F.col("page")
+    text_before = F.lag(~is_heading | T.is_numbered_heading(F.col("text"))).over(doc)
+    begins = F.coalesce(turned, F.lit(False)) | (is_heading & (F.coalesce(text_before, F.lit(True)) | ~F.col("page").eqNullSafe(F.lag("page").over(doc))))
+    rows = found.withColumns({"section": F.sum(begins.cast("int")).over(doc), "_i": F.sum(is_heading.cast("int")).over(doc)})
+    floor = F.min(F.when(is_heading, T.heading_level(F.col("title")) - 1 - F.col("_i"))).over(doc)
+    rows = rows.withColumn("_d", F.col("_i") + F.least(F.lit(-1), floor))
+    step = lambda k: F.when(F.col("_d") >= k, F.last(F.when(is_heading & (F.col("_d") == k), F.col("title")), ignorenulls=True).over(doc))
+    path = F.array_compact(F.array(*[step(k) for k in range(DEPTH)]))
+    return rows.withColumns({"header": F.coalesce(F.last("title", ignorenulls=True).over(doc), F.lit("General")), "path": path}).drop("_i", "_d")
+
+
+def pieces(rows: DataFrame, most: int) -> DataFrame:
+    """Blocks, those of more than ``most`` characters as their sentences, each with its offsets."""
+    long = F.length("text") > most
+    cut = rows.select("*", F.posexplode(F.when(long, F.split("raw", r"(?<=[.!?])(?=\s)")).otherwise(F.array("raw"))).alias("part", "_s"))
+    at = F.coalesce(F.sum(F.length("_s")).over(Window.partitionBy("doc_id", "seq", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.withColumns({"_at": F.col("start") + at, "_t": T.strip(F.col("_s"))}).where("_t != ''")
+    lead = F.length("_s") - F.length(F.regexp_replace("_s", r"(?U)^\s+", ""))
+    exact = {"start": F.when(long, F.col("_at") + lead).otherwise(F.col("start")), "end": F.when(long, F.col("_at") + lead + F.length("_t")).otherwise(F.col("end"))}
+    cut = cut.withColumns({**exact, "text": F.when(long, F.regexp_replace("_t", r"[^\S\n]*\n[^\S\n]*", "\n")).otherwise(F.col("text"))})
+    return cut.drop("raw", "_s", "_at", "_t")
+
+
+def fill(lengths: Sequence[int], most: int, overlap: int) -> Iterator[tuple[int, int, int]]:
+    """Chunks of a section as (first piece, piece after the last, first piece that is not carried over).
+
+    A chunk is closed when the next piece would make it too long; the next one then begins with the last pieces that fit into ``overlap``.
+    """
+    low = own = size = 0
+    for i, n in enumerate(lengths):
+        if i > low and size + n + 2 > most:
+            yield low, i, min(own, i - 1)
+            own, size, room, back = i, 0, overlap, i
+            while back > low and lengths[back - 1] <= room:
+                back -= 1
+                room -= lengths[back] + 2
+                size += lengths[back] + 2
+            low = back
+        size += n + 2
+    if len(lengths) > low:
+        yield low, len(lengths), min(own, len(lengths) - 1)
+
+
+def filled(lengths: Column, most: int, overlap: int) -> Column:
+    @F.pandas_udf("array<struct<low:int,high:int,own:int>>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda n: [{"low": a, "high": b, "own": c} for a, b, c in fill(n.tolist(), most, overlap)])
+
+    return run(lengths)
 
 
 def chunk_documents(docs: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, filename, pages: array of struct(page, text)) with citation and source_hash."""
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [
-                {"doc_id": d.doc_id, "filename": d.filename, "chunk_index": i, **c}
-                for d in batch.itertuples()
-                for i, c in enumerate(chunk(((p["page"], p["text"]) for p in d.pages), most, overlap))
-            ]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"page": "Int32"})
-
-    out = docs.select("doc_id", "filename", "pages").mapInPandas(step, SCHEMA)
+    """Chunks of ``docs`` (doc_id, filename, pages: array of struct(page, text)): doc_id, filename, chunk_index, page, header,
+    heading_path, locator, content, char_start, char_end, citation and source_hash."""
+    rows = pieces(sections(blocks(docs)), most)
+    items = F.array_sort(F.collect_list(F.struct("seq", "block", "part", "text", "page", "start", "end")))
+    whole = rows.groupBy("doc_id", "section").agg(F.first("filename").alias("filename"), F.max(F.struct("seq", "block", "header", "path")).alias("_h"), items.alias("_x"))
+    cut = whole.select("*", F.explode(filled(F.transform("_x", lambda x: F.length(x["text"])), most, overlap)).alias("_c"))
+    low, high, own = (F.col(f"_c.{c}") for c in ("low", "high", "own"))
+    page = F.coalesce(F.get("_x", own)["page"], F.get("_x", low)["page"])
+    named = F.concat(F.lit("Page "), page.cast("string"))
+    path = F.col("_h.path")
+    out = cut.select(
+        "doc_id",
+        "filename",
+        (F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "_c.low", "_c.high")) - 1).alias("chunk_index"),
+        page.alias("page"),
+        F.col("_h.header").alias("header"),
+        F.concat(F.when(page.isNotNull(), F.array(named)).otherwise(F.array().cast("array<string>")), path).alias("heading_path"),
+        F.when(page.isNotNull(), named).when(F.size(path) > 0, F.concat_ws(" > ", path)).alias("locator"),
+        T.strip(F.array_join(F.transform(F.slice("_x", low + 1, high - low), lambda x: x["text"]), "\n\n")).alias("content"),
+        F.get("_x", low)["start"].alias("char_start"),
+        F.get("_x", high - 1)["end"].alias("char_end"),
+    )
     cite = T.citation(F.col("filename"), F.col("page"), F.col("locator"), F.col("header"))
     return out.withColumns({"citation": cite, "source_hash": T.source_hash(F.col("content"))})
