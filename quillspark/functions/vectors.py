@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +24,21 @@ def sigmoid(x: Column) -> Column:
     """The logistic function without overflow."""
     e = F.exp(-F.abs(x))
     return F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+
+
+def pack(vector: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
+
+    return run(vector)
+
+
+def unpack(raw: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: np.frombuffer(b, "<f4"), na_action="ignore")
+
+    return run(raw)

@@ -87,3 +87,26 @@ def exhibit_siblings(documents: DataFrame) -> DataFrame:
     s = d.where(F.lower("stem").rlike("exhibit|attachment")).select("workspace", F.col("document_id").alias("sibling_id"), F.col("stem").alias("sibling"))
     s = s.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("sibling")), lambda n: F.substring("sibling", F.lit(1), n))).alias("stem"))
     return d.join(s, ["workspace", "stem"]).where("sibling_id != document_id").select("workspace", "document_id", "sibling_id", "sibling")
+
+
+#: Orders of listings: columns, ``-`` for descending.
+ORDERS = {"chunks": ("chunk_index", "chunk_id"), "lineage": ("version",), "audit": ("-at", "event_id"), "poison": ("-failed_at", "path"), "workspaces": ("workspace",)}
+
+
+def ordered(rows: DataFrame, listing: str) -> DataFrame:
+    """Rows in the order of a kind of listing."""
+    return rows.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[listing]])
+
+
+def report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row for each document: its chunks, pages, characters, headers in order of first mention, and mean confidence if it has any."""
+    first = chunks.groupBy("document_id", "header").agg(F.min("chunk_index").alias("i"))
+    headers = first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "header"))), lambda x: x["header"]).alias("headers"))
+    sums = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.count_distinct("page").alias("n_pages"), F.sum(F.length("content")).alias("n_chars"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_chunks", "n_pages", "n_chars")}
+    return documents.join(sums, "document_id", "left").join(headers, "document_id", "left").withColumns({**zero, "headers": F.coalesce("headers", F.array().cast("array<string>"))})
+
+
+def reprocessed(chunks: DataFrame, document: DataFrame) -> DataFrame:
+    """Chunks without those of documents (workspace, file_hash) that are to be made again."""
+    return chunks.join(document.select("workspace", "file_hash").distinct(), ["workspace", "file_hash"], "left_anti")

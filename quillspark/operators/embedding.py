@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.errors import DimensionMismatch
+
 
 @lru_cache(maxsize=50_000)
 def _stream(text: str, dim: int) -> np.ndarray:
@@ -21,10 +23,16 @@ def _stream(text: str, dim: int) -> np.ndarray:
 
 
 def deterministic(texts: Sequence[str], dim: int) -> list[np.ndarray]:
-    """The text's own stream and twice that of each of its words, at unit length, rounded to 6 places."""
-    out = []
-    for t in texts:
-        v = _stream(t, dim) + 2.0 * sum((_stream(w, dim) for w in t.lower().split()), np.zeros(dim))
+    """The text's own stream and twice that of each of its words, at unit length, rounded to 6 places. Each distinct word counts once a batch."""
+    words = [t.lower().split() for t in texts]
+    place: dict[str, int] = {}
+    at = [place.setdefault(w, len(place)) for ws in words for w in ws]
+    streams = np.array([_stream(w, dim) for w in place]).reshape(len(place), dim)
+    out, low = [], 0
+    for t, ws in zip(texts, words, strict=True):
+        which, many = np.unique(at[low : low + len(ws)], return_counts=True) if ws else (np.zeros(0, int), np.zeros(0))
+        low += len(ws)
+        v = _stream(t, dim) + 2.0 * (many @ streams[which])
         n = np.linalg.norm(v)
         out.append(np.round(v / n if n else v, 6))
     return out
@@ -33,6 +41,10 @@ def deterministic(texts: Sequence[str], dim: int) -> list[np.ndarray]:
 BACKENDS: dict[str, Callable[[Sequence[str], int], list[np.ndarray]]] = {"deterministic": deterministic}
 
 
+def register_backend(name: str, embed: Callable[[Sequence[str], int], list[np.ndarray]]) -> None:
+    BACKENDS[name] = embed
+
+
 def embed(text: Column, backend: str = "deterministic", dim: int = 1024) -> Column:
     """A vector column; texts go to the backend in Arrow batches."""
     make = BACKENDS[backend]
@@ -45,6 +57,6 @@ def embed(text: Column, backend: str = "deterministic", dim: int = 1024) -> Colu
 
 
 def check_dimension(found: int, expected: int) -> None:
-    """Fails before planning when stored and query vectors differ in length."""
+    """Refuses stored and query vectors of different lengths, before a search is planned."""
     if found != expected:
-        raise ValueError(f"vectors have {found} dimensions, the corpus has {expected}")
+        raise DimensionMismatch(f"vectors have {found} dimensions, the corpus has {expected}")

@@ -12,6 +12,22 @@ def recall_and_mrr(ranks: DataFrame, k: int = 5) -> DataFrame:
     return ranks.groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def citation_accuracy(tops: DataFrame) -> DataFrame:
+    """By family: the share of queries whose top hit is the expected file, on the expected page or, where there is none, with a place of its own.
+
+    ``tops`` has family, filename, page, place (locator or header), expected_file and expected_page.
+    """
+    right = F.when(F.col("expected_page").isNotNull(), F.col("page").eqNullSafe(F.col("expected_page"))).otherwise(F.col("page").isNull() & (F.coalesce("place", F.lit("")) != ""))
+    hit = F.coalesce((F.col("filename") == F.col("expected_file")) & right, F.lit(False)).cast("double")
+    return tops.groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("citation_accuracy"))
+
+
+def span_precision(hits: DataFrame) -> DataFrame:
+    """By family: the share of queries of which some hit holds the expected words. ``hits`` has family, query_id, content and expected."""
+    held = F.max(F.lower("content").contains(F.lower("expected")).cast("int"))
+    return hits.groupBy("family", "query_id").agg(held.alias("_h")).groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("_h"), 6).alias("span_precision"))
+
+
 def ndcg(hits: DataFrame, k: int = 5) -> DataFrame:
     """nDCG@k of each query from (query_id, rank, relevant), against its own ideal order."""
     gain = lambda r: 1 / F.log2(r + 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +35,19 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, F.posexplode(F.aggregate(rows, empty, add, close)).alias("paragraph", "content"))
 
 
-def row_groups(rows: DataFrame, group: str, order: str, cells: list[str], size: int = 30) -> DataFrame:
-    """Pages of ``size`` rows in order, each a markdown table's rows with the locator ``Rows a-b``."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
+def row_groups(rows: DataFrame, group: str, order: str, cells: list[str], size: int = 30, parts: int = 64) -> DataFrame:
+    """Pages of ``size`` rows in order, each a markdown table's rows with the locator ``Rows a-b``.
+
+    A group of any size is cut into ``parts`` ranges of ``order`` by its quantiles; the ranges' counts give each its start, so no task orders a whole group.
+    """
+    cuts = rows.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cells]), F.lit(" |"))
-    numbered = rows.select(group, n.alias("_n"), line.alias("_l")).withColumn("page_seq", F.floor((F.col("_n") - 1) / size))
+    dealt = rows.join(cuts, group).select(group, part.alias("_part"), F.col(order).alias("_o"), line.alias("_l"))
+    starts = dealt.groupBy(group, "_part").count()
+    starts = starts.select(group, "_part", F.coalesce(F.sum("count").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    n = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_o", "_l")) + F.col("_start")
+    numbered = dealt.join(starts, [group, "_part"]).select(group, n.alias("_n"), "_l").withColumn("page_seq", F.floor((F.col("_n") - 1) / size))
     out = numbered.groupBy(group, "page_seq").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"), F.sort_array(F.collect_list(F.struct("_n", "_l"))).alias("_x"))
     return out.select(group, "page_seq", F.concat(F.lit("Rows "), F.col("_a"), F.lit("-"), F.col("_b")).alias("locator"), F.concat_ws("\n", F.col("_x._l")).alias("content"))
 
@@ -75,39 +86,66 @@ def exhibits(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "identifier").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("header", "chunk_index").alias("title"))
 
 
-# Number words of legal texts, and the phrases that state each slot (the number is the first group).
+# Number words of legal texts; for each slot its unit and the phrase that states it (the number is the first group that
+# matches), with the dollar amounts that are sought in the text as written; flags and the phrases that raise them; words that ground a flag.
 NUMBER_WORDS = {
-    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12,
-    "fourteen": 14, "twenty": 20, "twenty-one": 21, "twenty-four": 24, "thirty": 30, "forty-five": 45, "sixty": 60, "ninety": 90, "twice": 2,
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+    "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "twenty": 20, "twenty-one": 21, "twenty-two": 22, "twenty-three": 23, "twenty-four": 24, "twenty-five": 25, "thirty": 30, "thirty-three": 33,
+    "thirty-six": 36, "forty": 40, "forty-five": 45, "fifty": 50, "sixty": 60, "ninety": 90, "twice": 2,
 }
-_N = r"(\d+(?:,\d{3})*(?:\.\d+)?|[a-z]+(?:-[a-z]+)?)"
 SLOTS = {
-    "deposit_cap_months": rf"(?:in\s+excess\s+of|security\s+deposit.*?(?:exceed|cap\s+is)|security.*?limited\s+to)\s+{_N}\s+months?'?s?\s+rent",
-    "accounting_days": rf"within\s+{_N}\s+(?:calendar\s+)?days",
-    "statutory_damages_multiplier": rf"statutory\s+damages\s+of\s+(?:up\s+to\s+)?{_N}\s+(?:the\s+amount|times)",
-    "minimum_ownership_percent_omi": r"(\d+(?:\.\d+)?)\s*%\s*(?:recorded\s+)?ownership",
-    "occupancy_threshold_months": rf"occupancy\s+of\s+at\s+least\s+{_N}\s+months",
-    "base_cap_percent": r"increase\s+[^.]*?more\s+than\s+(\d+(?:\.\d+)?)\s*(?:%|percent)\s+plus",
-    "max_cap_percent": r"or\s+(\d+(?:\.\d+)?)\s*(?:%|percent),?\s+whichever\s+is\s+lower",
-    "cure_days": rf"{_N}\s+(?:calendar\s+)?days\s+to\s+cure",
-    "sla_availability_percent": r"availability\s+of\s+(?:at\s+least\s+)?(\d+(?:\.\d+)?)\s*%",
-    "max_server_nodes": rf"(?:up\s+to|maximum\s+of)\s+{_N}\s+(?:server\s+)?nodes",
-    "monthly_base_rent": r"monthly\s+base\s+rent\s+(?:of|is|shall\s+be)\s+\$(\d+(?:,\d{3})*(?:\.\d+)?)",
+    "deposit_cap_months": ("months", r"(?s)(?:demand(?:\s+or\s+receive)?\s+security.*?in\s+excess\s+of|security\s+deposit.*?(?:exceed|cap\s+is)|security.*?limited\s+to)\s+(\d+(?:\.\d+)?|one|two)\s+month(?:'s|s'|s)?\s+rent|(\d+(?:\.\d+)?|one|two)\s+month(?:'s|s'|s)?\s+rent\s+(?:as\s+a\s+security\s+deposit|for\s+an?\s+(?:unfurnished|furnished))"),
+    "small_landlord_cap_months": ("months", r"(?s)(?:no\s+more\s+than\s+two\s+residential\s+rental\s+properties.*?demand\s+up\s+to\s+|small\s+landlord.*?up\s+to\s+)(two|\d+(?:\.\d+)?)\s+month(?:'s|s'|s)?\s+rent"),
+    "accounting_days": ("days", r"within\s+(\d+|twenty-one|thirty|fourteen|sixty)\s+(?:calendar\s+)?days"),
+    "statutory_damages_multiplier": ("multiplier", r"statutory\s+damages\s+of\s+(?:up\s+to\s+)?(twice|two|\d+(?:\.\d+)?)\s+(?:the\s+amount|times)"),
+    "minimum_ownership_percent_omi": ("percent", r"(\d+(?:\.\d+)?)\s*%\s*(?:recorded\s+)?ownership"),
+    "occupancy_threshold_months": ("months", r"(?:lawfully\s+occupied[^.]*?for\s+|occupancy\s+of\s+at\s+least\s+)(\d+|twelve|twenty-four)\s+months"),
+    "base_cap_percent": ("percent", r"increase\s+[^.]*?more\s+than\s+(\d+(?:\.\d+)?)\s*(?:%|percent)\s+plus"),
+    "max_cap_percent": ("percent", r"or\s+(\d+(?:\.\d+)?)\s*(?:%|percent),?\s+whichever\s+is\s+lower"),
+    "max_increases_per_year": ("count", r"no\s+more\s+than\s+(\d+|one|two)\s+increments?\s+over\s+(?:any\s+)?12-month"),
+    "cure_days": ("days", r"(?:cure\s+within|written\s+notice\s+to\s+cure\s+of)\s+(\d+|one|two|five|ten|fourteen|twenty|thirty|sixty)\s+(?:calendar\s+)?days"),
+    "sla_availability_percent": ("percent", r"(?:warrants?\s+|availability\s+of\s+|uptime\s+of\s+)(\d{2}(?:\.\d+)?)\s*%\s*(?:monthly\s+)?(?:service\s+)?(?:availability|uptime)"),
+    "liability_cap_months": ("months", r"(?:exceed\s+)?fees\s+paid\s+(?:by\s+customer\s+)?in\s+(?:the\s+)?(?:prior|preceding)\s+(\d+|twelve|twenty-four)\s+months"),
+    "max_server_nodes": ("nodes", r"up\s+to\s+(\d+)\s+server\s+nodes"),
+    "monthly_base_rent": ("USD", r"base\s+rent[^.]*?shall\s+be\s+\$([0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?)\s+per\s+month"),
+    "annual_escalation_percent": ("percent", r"(\d+(?:\.\d+)?)\s*%\s*annual\s+escalation"),
+    "allowance_per_sqft": ("USD/sqft", r"allowance\s+of\s+\$([0-9]+(?:\.[0-9]{2})?)\s+per\s+rentable\s+square\s+foot"),
+    "rentable_square_feet": ("sqft", r"(\d+(?:,[0-9]{3})*)\s+rentable\s+square\s+feet"),
+}
+SLOTS_AS_WRITTEN = {
+    "daily_statutory_penalty": ("USD", r"\$([0-9]+(?:\.[0-9]{2})?)\s+for\s+each\s+(?:calendar\s+)?day"),
+    "minimum_statutory_damages": ("USD", r"(?:not\s+less\s+than|minimum\s+statutory\s+damages\s+of)\s+[^$0-9]*\$([0-9]+(?:\.[0-9]{2})?)"),
+}
+FLAGS = {
+    "prevailing_attorney_fees": ("reasonable attorney's fees to the prevailing party", "award reasonable attorney"),
+    "requires_written_warning_notice": ("written notice to cease", "written notice of the rent adjustment program"),
+    "requires_relocation_payment": ("relocation assistance", "relocation payments"),
+    "vacancy_decontrol": ("initial and all subsequent rental rates", "vacancy decontrol"),
 }
+FLAG_GROUNDS = ("true", "1", "one", "shall", "must", "required", "prohibited", "may not", "notice")
 
 
 def slots(sections: DataFrame) -> DataFrame:
-    """Typed values that sentences of a section state, each with the sentence; the last sentence of a slot wins.
+    """Typed values that sentences of a section state, with unit and sentence; the last sentence that grounds a slot wins.
 
+    A value is grounded if its sentence holds its whole part in digits or as a number word; a flag (value 1) needs a word that binds.
     ``sections`` has section_id and text.
     """
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in (kv[0], float(kv[1]))])
-    each = sections.select("section_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
-    rules = F.explode(F.array(*[F.struct(F.lit(name).alias("slot"), F.regexp_extract(F.lower("sentence"), pattern, 1).alias("raw")) for name, pattern in SLOTS.items()]))
-    found = each.select("section_id", "at", "sentence", rules.alias("r")).select("section_id", "at", "sentence", "r.*").where("raw != ''")
-    number = F.when(F.col("raw").rlike("^[0-9]"), F.regexp_replace("raw", ",", "").try_cast("double")).otherwise(words[F.col("raw")])
-    found = found.withColumn("value", number).where("value is not null")
-    return found.groupBy("section_id", "slot").agg(F.max_by("value", "at").alias("value"), F.max_by("sentence", "at").alias("quoted_sentence"))
+    holds = lambda text, phrases: reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
+    each = sections.select("section_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")).withColumn("low", F.lower("sentence"))
+    said = lambda text, pattern: reduce(F.concat, [F.regexp_extract(text, pattern, i + 1) for i in range(len(re.findall(r"\((?!\?)", pattern)))])
+    rule = lambda slot, unit, raw, flag: F.struct(F.lit(slot).alias("slot"), F.lit(unit).cast("string").alias("unit"), raw.alias("raw"), F.lit(flag).alias("flag"))
+    rules = [rule(s, unit, said(F.col("low"), p), False) for s, (unit, p) in SLOTS.items()]
+    rules += [rule(s, unit, said(F.col("sentence"), p), False) for s, (unit, p) in SLOTS_AS_WRITTEN.items()]
+    rules += [rule(s, None, F.when(holds(F.col("low"), phrases), "1").otherwise(""), True) for s, phrases in FLAGS.items()]
+    found = each.select("section_id", "at", "sentence", "low", F.explode(F.filter(F.array(*rules), lambda r: r["raw"] != "")).alias("r")).select("section_id", "at", "sentence", "low", "r.*")
+    value = F.when(F.col("raw").rlike("^[0-9]"), F.regexp_replace("raw", ",", "").try_cast("double")).otherwise(words[F.col("raw")])
+    found = found.withColumn("value", F.coalesce(value, F.lit(0.0))).withColumn("_whole", F.floor("value").cast("string"))
+    spoken = F.exists(F.map_keys(words), lambda w: (words[w] == F.floor("value")) & F.col("low").contains(w))
+    found = found.where(F.when(F.col("flag"), holds(F.col("low"), FLAG_GROUNDS)).otherwise(F.col("low").contains(F.col("_whole")) | spoken))
+    return found.groupBy("section_id", "slot").agg(F.max_by("value", "at").alias("value"), F.max_by("unit", "at").alias("unit"), F.max_by("sentence", "at").alias("quoted_sentence"))
 
 
 def pack_violations(entries: DataFrame, budget: int = 850) -> DataFrame:
@@ -129,3 +167,15 @@ def bbox_union(boxes: DataFrame, key: str) -> DataFrame:
     """The least box around all boxes (left, top, width, height) of a key, rounded to 2 places."""
     g = boxes.groupBy(key).agg(F.min("left").alias("l"), F.min("top").alias("t"), F.max(F.col("left") + F.col("width")).alias("r"), F.max(F.col("top") + F.col("height")).alias("b"))
     return g.select(key, F.round("l", 2).alias("left"), F.round("t", 2).alias("top"), F.round(F.col("r") - F.col("l"), 2).alias("width"), F.round(F.col("b") - F.col("t"), 2).alias("height"))
+
+
+def line_boxes(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Lines (doc, page, text, ...) with the box of the block of the same text on their page; of several blocks the last."""
+    last = blocks.groupBy("doc", "page", F.trim("text").alias("_t")).agg(F.max_by(F.struct("left", "top", "width", "height"), "block").alias("box"))
+    named = lines.withColumn("_t", F.trim("text"))
+    return named.join(last, ["doc", "page", "_t"], "left").drop("_t")
+
+
+def chunk_confidence(items: DataFrame) -> DataFrame:
+    """The mean confidence of a chunk's pieces that have one; null without any. ``items`` has doc, chunk_index and confidence."""
+    return items.groupBy("doc", "chunk_index").agg(F.round(F.avg("confidence"), 6).alias("confidence"))

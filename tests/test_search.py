@@ -61,3 +61,56 @@ def test_access(chunks):
         search.scoped(chunks, "b", ["a"])
     with pytest.raises(ValueError):
         search.scoped(chunks, "")
+    with pytest.raises(ValueError, match="unknown filters: colour"):
+        search.scoped(chunks, "a", colour="red")
+
+
+def test_filters(chunks):
+    dated = chunks.withColumns({"doc_id": F.col("chunk_id") % 2, "ingested_at": F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(chunk_id as int))")})
+    assert [r["chunk_id"] for r in search.scoped(dated, "a", doc_id=1, date_from="2024-01-03", date_to="2024-01-06").collect()] == [3, 5]
+    assert ids(search.search(dated, "deposit", "a", doc_id=0)) == [2]
+
+
+def rows_of(df):
+    return [tuple(r[c] for c in ("rank", "chunk_id", "score", "citation", "dense_rank", "sparse_rank")) for r in df.orderBy("rank").collect()]
+
+
+VECTOR = "array(" + ", ".join(f"cast(sin(chunk_id * {i + 1}) as float)" for i in range(4)) + ")"
+
+
+def test_a_table_of_queries_gives_what_single_queries_give(spark, chunks, monkeypatch):
+    chunks = chunks.withColumn("embedding", F.when(F.col("chunk_id") != 2, F.expr(VECTOR)))
+    asked = [(1, "security deposit landlord month", "a", [0.3, 0.5, 0.1, 0.2]), (2, '"in excess" rent -draft', "a", None), (3, "clause doc_type:authority", "b", [1.0, 0.0, 0.0, 0.0]), (4, "deposit page:2 header:1950", "a", [0.1, 0.9, 0.1, 0.0]), (5, "zzzz", "c", None)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, workspace string, embedding array<float>")
+    for mode in ("hybrid", "fts", "vector", "rrf+rerank"):
+        many = search.search_batch(chunks, queries, mode, floor=-1.0)
+        for k, text, workspace, vector in asked:
+            if vector is not None or mode != "vector":
+                v = [float(x) for x in queries.where(F.col("query_id") == k).first()["embedding"] or []] or None
+                assert rows_of(many.where(F.col("query_id") == k)) == rows_of(search.explain(chunks, text, workspace, v, mode=mode, floor=-1.0)), (mode, k)
+    monkeypatch.setattr(search, "QUERIES", 2)  # in blocks
+    assert {r["query_id"] for r in search.search_batch(chunks, queries, floor=-1.0).collect()} == {1, 2, 3, 4}
+    with pytest.raises(PermissionError):
+        search.search_batch(chunks, queries, allowed=["a"])
+
+
+def test_vectors_of_another_length_are_refused(chunks):
+    with pytest.raises(ValueError, match="dimensions"):
+        search.search(chunks.withColumn("embedding", F.expr(VECTOR)), "deposit", "a", [1.0, 2.0])
+
+
+def test_rerankers(chunks):
+    search.register_reranker("longest", lambda q, texts: [len(t) for t in texts])
+    search.register_reranker("broken", lambda q, texts: 1 / 0)
+    longest = search.explain(chunks, "deposit month", "a", reranker="longest").orderBy("rank").collect()
+    assert longest[0]["score"] > 50 and [r["score"] for r in longest] == sorted((r["score"] for r in longest), reverse=True)
+    assert rows_of(search.explain(chunks, "deposit month", "a", reranker="broken")) == rows_of(search.explain(chunks, "deposit month", "a", rerank=True))
+    assert search.explain(chunks, "deposit month", "a", rerank=True, rerank_top_k=1).count() == 1
+
+
+def test_trace(chunks, tmp_path):
+    found = search.explain(chunks, "deposit month", "a")
+    row = search.trace(found, "deposit  month", "hybrid", 12.5)
+    assert search.append_trace(row, str(tmp_path / "traces")) and not search.append_trace(row, "/proc/no/such")
+    got = chunks.sparkSession.read.parquet(str(tmp_path / "traces")).first()
+    assert got["n_hits"] == found.count() and got["sparse_ranks"]["2"] == 1 and got["duration_ms"] == 12.5 and len(got["query_hash"]) == 64
