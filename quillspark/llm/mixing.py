@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in hash order, form blocks of `BLOCK`. With a target share w, the i-th block of a source has the window from
-floor(i / w) to ceil((i + 1) / w) on a line of slots, one block a slot. Earliest deadline first puts each block into its window, so at
-every point of the mixture a source is less than one block away from its share. Shares are exact ratios of the given weights, not
-rounded. The driver runs through the slots and keeps only how far each source is at every `PERIOD` slots; from there Spark tasks run
-through their own period again and give each block its slot.
+Each source's documents, in hash order, form blocks of `BLOCK`, and each block two halves. On a line of slots, one half a slot, a source of
+target share w is due floor(w t) or ceil(w t) halves by slot t. The line is cut into periods. At each period's end the halves that are due go
+first, then the sources whose next half has the earliest deadline, so the ends keep to the exact shares; the driver only steps from end to
+end. Within a period, a source with c of its P slots has for its i-th half the window from release floor(i P / c) to deadline
+ceil((i + 1) P / c), and Spark tasks fill the slots earliest deadline first. Both steps stay within one half, so at every point of the
+mixture a source is less than one block away from its share. Shares are exact ratios of the given weights, not rounded.
 
 The mixture ends with the slot in which the last source has shown all its documents; by then others start again (``epoch`` > 0), so
 nothing is dropped and each source has its weight.
 
 Defined cases: a null source is a source; a source without a given weight has none and is left out only if weights are given;
-repeated rows are separate documents; an empty table gives an empty mixture; columns named as those added are replaced.
+repeated rows are separate documents; documents of one hash follow by doc_id; texts of any length count as one document; an empty table
+gives an empty mixture; columns named as those added are replaced; more than `SOURCES` sources raise ValueError.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import in_batches, with_start
 
 BLOCK = 8
-#: Slots that one task gives out at a time.
-PERIOD = 1000
+#: Slots of a period, about: as many whole rounds of the shares as fit, if one does.
+PERIOD = 1 << 16
+#: Sources of a mixture, at most: each has a row on the driver.
+SOURCES = 100_000
 #: Default weights are the sources' sizes to this power: large sources shrink a little against small ones.
 TEMPER = 0.9
 _NONE = "\x00none"
@@ -40,8 +44,11 @@ def source_key() -> Column:
 
 
 def sizes(docs: DataFrame) -> dict[str, int]:
-    """Documents of each source. One row a source reaches the driver; a mixture names its sources, so they are few."""
-    return {r["s"]: r["n"] for r in docs.groupBy(source_key().alias("s")).agg(F.count("*").alias("n")).collect()}
+    """Documents of each source."""
+    rows = docs.groupBy(source_key().alias("s")).agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"a mixture has {SOURCES} sources at most; group them first")
+    return {r["s"]: r["n"] for r in rows}
 
 
 def tempered(counts: dict[str, int], power: float = TEMPER) -> dict[str, float]:
@@ -57,73 +64,97 @@ def shares(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(f * scale) for s, f in exact.items()}
 
 
-def run(whole: list[int], done: list[int], at: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Slots from ``at`` on as (source, block, slot, release, deadline), without end, after ``done`` blocks of each source."""
+def period_of(whole: list[int]) -> int:
     total = sum(whole)
-    job = lambda s, i: (i * total // whole[s], -(-(i + 1) * total // whole[s]), s, i)
-    waiting = [job(s, i) for s, i in enumerate(done)]
+    return PERIOD // total * total if 0 < total <= PERIOD else PERIOD
+
+
+def ends(whole: list[int], needed: list[int], period: int) -> list[list[int]]:
+    """Halves done of each source before every ``period`` slots, until each has done what it needs.
+
+    A half that is done stays done: at each end come the halves that are due by then, those taken ahead at an earlier end, and then the
+    next halves of earliest deadline. There are always enough slots for the first two, as each lacks less than its own share of the rest.
+    """
+    total, out, at = sum(whole), [[0] * len(whole)], 0
+    while any(d < n for d, n in zip(out[-1], needed, strict=True)):
+        at += period
+        done = [max(d, w * at // total) for d, w in zip(out[-1], whole, strict=True)]
+        free = [s for s, w in enumerate(whole) if w * at % total and done[s] == w * at // total]
+        free.sort(key=lambda s: (-(-(done[s] + 1) * total // whole[s]), s))
+        for s in free[: at - sum(done)]:
+            done[s] += 1
+        out.append(done)
+    return out
+
+
+def fill(counts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, its i-th half, slot, release, deadline) for sum(counts) slots, earliest deadline first."""
+    total = sum(counts)
+    job = lambda s, i: (i * total // counts[s], -(-(i + 1) * total // counts[s]), s, i)
+    waiting = [job(s, 0) for s, c in enumerate(counts) if c]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int, int]] = []
-    while True:
+    for at in range(total):
         while waiting and waiting[0][0] <= at:
             release, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i, release))
         deadline, s, i, release = heapq.heappop(ready)
-        heapq.heappush(waiting, job(s, i + 1))
+        if i + 1 < counts[s]:
+            heapq.heappush(waiting, job(s, i + 1))
         yield s, i, at, release, deadline
-        at += 1
-
-
-def states(whole: list[int], needed: list[int], period: int = PERIOD) -> tuple[list[list[int]], int]:
-    """Blocks done of each source before every ``period`` slots, and the slot in which the last source has all it needs."""
-    done, out, last = [0] * len(whole), [], -1
-    left = sum(n > 0 for n in needed)
-    if not left:
-        return out, last
-    for s, i, t, _, _ in run(whole, done, 0):
-        if t % period == 0:
-            out.append(list(done))
-        done[s], last = i + 1, t
-        left -= i + 1 == needed[s]
+
+
+def finish(edges: list[list[int]], needed: list[int], period: int) -> tuple[int, list[int]]:
+    """The slot in which the last source has all it needs, and the halves that each has done by its end."""
+    if len(edges) < 2:
+        return -1, list(edges[0])
+    done, after = list(edges[-2]), edges[-1]
+    left = sum(d < n for d, n in zip(done, needed, strict=True))
+    for s, _, t, _, _ in fill([b - a for a, b in zip(done, after, strict=True)]):
+        done[s] += 1
+        left -= done[s] == needed[s]
         if not left:
             break
-    return out, last
+    return (len(edges) - 2) * period + t, done
 
 
 def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period of sum(slots) as (source, block, slot, release, deadline)."""
+    """One round of sum(slots) as (source, half, slot, release, deadline)."""
     names = list(slots)
-    return [(names[s], *rest) for s, *rest in islice(run(list(slots.values()), [0] * len(names), 0), sum(slots.values()))]
+    return [(names[s], *rest) for s, *rest in islice(fill(list(slots.values())), sum(slots.values()))]
 
 
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with epoch, block, slot, release, deadline and position; a row appears once for each epoch it is in."""
-    spark = docs.sparkSession
+    if block < 2 or block % 2:
+        raise ValueError("a block has two halves")
+    spark, half = docs.sparkSession, block // 2
     docs = docs.drop("epoch", "block", "slot", "release", "deadline", "position")
     counts = sizes(docs)
     share = shares({s: (weights or tempered(counts)).get(s, 0.0) for s in counts})
     names, whole = list(share), list(share.values())
-    starts, last = states(whole, [-(-counts[s] // block) for s in names])
-    ends = [starts[-1][j] for j in range(len(names))] if starts else []
-    most = {s: (ends[j] + PERIOD) * block for j, s in enumerate(names)}
+    needed = [-(-counts[s] // half) for s in names]
+    period = period_of(whole)
+    edges = ends(whole, needed, period)
+    last, most = finish(edges, needed, period)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), *[pa.int64()] * 4]
         for batch in batches:
-            for p, done in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = min(PERIOD, last + 1 - p * PERIOD)
-                rows = [(names[s], i, t, r, d) for (s, i, t, r, d), _ in zip(run(whole, done, p * PERIOD), range(n), strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_s", "block", "slot", "release", "deadline"])
-
-    periods = spark.createDataFrame(list(enumerate(starts)), "p long, done array<long>")
-    of_slot = in_batches(periods, slots, "_s string, block long, slot long, release long, deadline long")
-    # a row for each source
-    of_source = spark.createDataFrame([(s, counts[s], most[s]) for s in names], "_s string, _n long, _most long")
+            for p, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start = p * period
+                rows = [(names[s], low[s] + i, start + t, start + r, start + d) for s, i, t, r, d in islice(fill([b - a for a, b in zip(low, high, strict=True)]), max(0, last + 1 - start))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_s", "_half", "slot", "release", "deadline"])
+
+    periods = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "p long, low array<long>, high array<long>")
+    of_slot = in_batches(periods.repartition(max(1, min(len(edges), 4096)), "p"), slots, "_s string, _half long, slot long, release long, deadline long")
+    # a row for each source, `SOURCES` at most
+    of_source = spark.createDataFrame([(s, counts[s], most[j] * half) for j, s in enumerate(names)], "_s string, _n long, _most long")
     ranked = with_start(docs.withColumn("_s", source_key()), ["_s"], [F.xxhash64("doc_id"), "doc_id"], ["doc_id"], "_rank")
     rows = ranked.join(F.broadcast(of_source), "_s").withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_most - 1 - _rank) div _n))")))
-    rows = rows.withColumn("_g", F.col("_rank") + F.col("epoch") * F.col("_n")).withColumn("block", F.expr(f"_g div {block}"))
-    rows = rows.join(of_slot, ["_s", "block"])
-    return rows.select(*docs.columns, "epoch", "block", "slot", "release", "deadline", (F.col("slot") * block + F.col("_g") % block).alias("position"))
+    rows = rows.withColumn("_g", F.col("_rank") + F.col("epoch") * F.col("_n")).withColumn("_half", F.expr(f"_g div {half}"))
+    rows = rows.join(of_slot.hint("merge"), ["_s", "_half"])  # a row for each half block: it grows with the documents
+    return rows.select(*docs.columns, "epoch", F.expr(f"_g div {block}").alias("block"), "slot", "release", "deadline", (F.col("slot") * half + F.col("_g") % half).alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
