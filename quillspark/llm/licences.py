@@ -1,13 +1,17 @@
-"""Licence scan: sparse TF-IDF cosine of licence lines to templates, then the nearest ancestor directory.
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then the nearest ancestor directory.
 
-Every line of a whole text that speaks of licences or copyright is compared with the templates by the cosine of TF-IDF vectors: its
-terms join the templates' weights, and products add up by line and template. A file's best template at `LEAST` or more is its own licence. A
-file that is mostly licence lines is a licence file and speaks for its directory. A file without a licence of its own takes that of the
-nearest ancestor directory that has one, by joins on paths.
+The units of a file are its lines, its paragraphs, the comment at its head, and the whole, without comment marks. A unit's terms are its
+words and pairs of neighbouring words; a word's idf comes from how many files of the corpus hold it, a pair weighs as its rarer word, and
+words of no template weigh 1. Units join the templates' weights by term, products add up by unit and template, and a file's best template at `LEAST`
+or more is its own licence. A file speaks for its directory if it is called like a licence file, matches as a whole, or if at least half of its words
+are in units that match. A file without a licence of its own takes that of the nearest ancestor directory that has one, by joins on paths.
 
-Defined cases: null or empty texts have no own licence; a null path inherits from the root only; two licence files of one directory: the
-better match, then the lesser name; repeated rows get a row each, and rows of one path share their licence; columns named as those added
-are replaced.
+Only units with one of a template's rarest terms are compared: without these, the rest of the template's weight can't reach `LEAST`, so
+nothing is lost.
+
+Defined cases: null or empty texts have no own licence; long texts are read whole; a null path inherits from the root only; equal matches: the text of more
+terms, then the lesser name; two licence files of one directory: the better match, then the lesser path; repeated rows get a row each, and rows of one path share
+their licence; an empty table gives an empty result; columns named as those added are replaced.
 """
 
 from __future__ import annotations
@@ -16,64 +20,115 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import join_hot, stored
+from quillspark.llm.licence_texts import TEMPLATES
 
 LEAST = 0.6
-#: Notices of common licences, as their authors ask to print them (fixed texts).
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms is governed by a BSD-style license.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License (CC BY 4.0).",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
-}
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
-_MENTION = r"(?i)licen[cs]e|copyright|creative commons|public domain|redistribution"
+COMMENT = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--)[ \t]?"
+CODE = r"^[ \t]*(?![ \t]|#|//|/\*|\*|--|;|%|<!--)."
+#: Names of files that speak for their directory.
+NAMES = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying)(?:[.\-][^/]*)?$"
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
+
+
+def bag(text: str) -> Counter:
+    """Words and pairs of a text."""
+    w = re.findall(TERM, text.lower())
+    return Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+
+
+def vectors(rarity: dict[str, float], templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int, dict[str, float]]]:
+    """(licence, number of its text, unit weights by term)."""
+    out = []
+    for name, texts in templates.items():
+        for i, text in enumerate(texts):
+            raw = {t: n * weight(t, rarity) for t, n in bag(text).items()}
+            norm = math.sqrt(sum(w * w for w in raw.values()))
+            out.append((name, i, {t: w / norm for t, w in sorted(raw.items())}))
+    return out
+
 
+def weight(term: str, rarity: dict[str, float]) -> float:
+    return max(rarity[w] for w in term.split())
 
-def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(template, term, unit weight) rows, each term's idf, and the idf of a term in no template."""
-    bags = {k: Counter(re.findall(TERM, t.lower())) for k, t in templates.items()}
-    n, seen = len(bags), Counter(t for b in bags.values() for t in b)
-    idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in seen.items()}
-    rows = []
-    for k, b in bags.items():
-        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in b.items()))
-        rows += [(k, t, c * idf[t] / norm) for t, c in sorted(b.items())]
-    return rows, idf, math.log(1 + n) + 1
 
+def needed(rows: list[tuple[str, int, dict[str, float]]], rarity: dict[str, float], least: float = LEAST) -> set[str]:
+    """Words one of which a unit must hold to reach ``least`` with any template, the rarest first: the cosine is at most the root of the squared
+    weights of the template's terms that the unit holds. A pair counts with its rarer word."""
+    out: set[str] = set()
+    for _, _, terms in rows:
+        mass: dict[str, float] = {}
+        for t, w in terms.items():
+            one = max(t.split(), key=lambda x: (rarity[x], x))
+            mass[one] = mass.get(one, 0.0) + w * w
+        rest = sum(mass.values())
+        for t in sorted(mass, key=lambda t: (-rarity[t], t)):
+            if rest < least * least - 1e-5:
+                break
+            out.add(t)
+            rest -= mass[t]
+    return out
 
-def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """path, best template, its cosine, and whether the file is a licence file, for files with a match. One row for each path."""
+
+def corpus_rarity(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> dict[str, float]:
+    """The idf of each word of the templates over all files: one scan, and a row for each word reaches the driver."""
+    known = sorted({w for texts in templates.values() for t in texts for w in bag(t) if " " not in w})
+    held = F.array_intersect(F.array_distinct(words_of(F.col("text"))), F.array(*[F.lit(w) for w in known]))
+    counts = files.where("text is not null").select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
+    seen = {r["word"]: r["count"] for r in counts}
+    n = seen.get("", 0)  # every file once
+    return {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in known}
+
+
+def units(files: DataFrame) -> DataFrame:
+    """path, file (hash of the text), kind, part and words of each unit; kinds: 0 line, 1 paragraph, 2 head, 3 whole."""
+    clean = F.regexp_replace("text", COMMENT, "")
+    lines = F.split("text", "\n")
+    code = F.array_position(F.transform(lines, lambda x: x.rlike(CODE)), True)  # the first line that is no comment
+    head = F.regexp_replace(F.array_join(F.slice(lines, 1, F.greatest(code - 1, F.lit(0)).cast("int")), "\n"), COMMENT, "")
+    parts = lambda kind, array: F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("part"), x.alias("text")))
+    every = F.concat(parts(0, F.split(clean, "\n")), parts(1, F.split(clean, r"\n[ \t]*\n")), parts(2, F.array(head)), parts(3, F.array(clean)))
+    rows = files.select("path", F.xxhash64("text").alias("file"), F.explode(every).alias("u"))
+    return rows.select("path", "file", "u.kind", "u.part", words_of(F.col("u.text")).alias("words"))
+
+
+def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """path, best template, its cosine, and whether the file speaks for its directory, for files with a match. One row for each path."""
     spark = files.sparkSession
-    weights, idf, other = template_weights(templates)
+    rarity = corpus_rarity(files, templates)
+    rows = vectors(rarity, templates)
+    telling = F.array(*[F.lit(w) for w in sorted(needed(rows, rarity))])
     # a row for each term of each template
-    vectors = F.broadcast(spark.createDataFrame(weights, "licence string, term string, weight double"))
-    rarity = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    found = files.where("path is not null and text is not null").select("path", "text", F.filter(F.split("text", "\n"), lambda x: x.rlike(_MENTION)).alias("_f")).where("size(_f) > 0")
-    lines = stored(found.select("path", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.explode("_f").alias("line")), "licence-lines")  # read three times below
-    per_file = lines.groupBy("path").agg(F.sum(F.regexp_count("line", F.lit(r"\S+"))).alias("_l"), F.max("n_words").alias("_n"))
-    bag = lines.select("path", "line").distinct().select("path", "line", F.explode(F.expr(f"regexp_extract_all(lower(line), '{TERM}', 0)")).alias("term")).groupBy("path", "line", "term").count()
-    bag = bag.join(rarity, "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(other)))
-    norm = bag.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = bag.join(vectors, "term").groupBy("path", "line", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, ["path", "line"]).select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= LEAST)
-    best = cosine.groupBy("path").agg(F.min_by(F.struct("licence", "score"), F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.join(per_file, "path").select("path", "b.licence", "b.score", (2 * F.col("_l") >= F.col("_n")).alias("is_licence_file"))
-
-
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    weights = F.broadcast(spark.createDataFrame([(n, i, len(terms), t, w) for n, i, terms in rows for t, w in terms.items()], "licence string, template int, size int, term string, weight double"))
+    idf = F.broadcast(spark.createDataFrame([(t, weight(t, rarity)) for t in sorted({t for _, _, terms in rows for t in terms})], "term string, idf double"))
+    keys = ["path", "file", "kind", "part"]
+    some = files.where("path is not null and text is not null").where(F.arrays_overlap(words_of(F.col("text")), telling)).select("path", "text")
+    kept = stored(units(some).where(F.arrays_overlap("words", telling)).dropDuplicates(keys), "licence-units")  # read three times below
+    pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    terms = kept.select(*keys, F.explode(F.concat("words", pairs)).alias("term")).groupBy(*keys, "term").count().join(idf, "term", "left")
+    terms = terms.withColumn("w", F.col("count") * F.coalesce("idf", F.when(F.col("term").contains(" "), 0.0).otherwise(1.0)))
+    norm = terms.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = terms.where("idf is not null").join(weights, "term").groupBy(*keys, "licence", "template", "size").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    match = dot.join(norm, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= LEAST)
+    best = match.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("size")).alias("n"), "licence", "score")).alias("b"))
+    covered = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.size("words"))), F.lit(0))
+    share = best.join(kept, keys).groupBy("path", "file").agg(covered(0).alias("_l"), covered(1).alias("_p"), covered(3).alias("_f"))
+    sizes = some.groupBy("path", F.xxhash64("text").alias("file")).agg(F.max(F.size(words_of(F.regexp_replace("text", COMMENT, "")))).alias("_n"))
+    speaks = share.join(sizes, ["path", "file"]).groupBy("path").agg(F.max(F.expr("2 * greatest(_l, _p, _f) >= _n")).alias("is_licence_file"))
+    first = best.groupBy("path").agg(F.min("b").alias("b"))
+    return first.join(speaks, "path").select("path", "b.licence", "b.score", (F.col("is_licence_file") | F.col("path").rlike(NAMES)).alias("is_licence_file"))
+
+
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """The rows of ``files`` (path, text, any others) without text, with own_licence, score, inherited_licence, inherited_from, licence."""
-    own = own_licences(files.select("path", "text"), templates)
+    own = stored(own_licences(files.select("path", "text"), templates), "licences")
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     speaks = own.where("is_licence_file").groupBy(folder(F.col("path")).alias("above")).agg(F.min_by("licence", F.struct((-F.col("score")).alias("s"), "path")).alias("inherited_licence"))
     rows = files.drop("text", "own_licence", "score", "inherited_licence", "inherited_from", "licence").withColumn("_dir", folder(F.coalesce("path", F.lit(""))))
@@ -81,5 +136,6 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     dirs = rows.select("_dir").distinct().withColumn("_names", F.split("_dir", "/"))
     up = dirs.select("_dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_names")), lambda i: F.concat_ws("/", F.slice("_names", 1, i)))).alias("depth", "above"))
     near = up.join(speaks, "above").groupBy("_dir").agg(F.max_by(F.struct("inherited_licence", F.col("above").alias("inherited_from")), "depth").alias("i"))
-    out = rows.join(own.select("path", F.col("licence").alias("own_licence"), "score"), "path", "left").join(near, "_dir", "left")
+    named = rows.join(own.select("path", F.col("licence").alias("own_licence"), "score"), "path", "left")
+    out = join_hot(named, near, "_dir", "path", "left", counts=rows.groupBy("_dir").count())
     return out.select(*[c for c in rows.columns if c != "_dir"], "own_licence", "score", "i.inherited_licence", "i.inherited_from", F.coalesce("own_licence", "i.inherited_licence").alias("licence"))
