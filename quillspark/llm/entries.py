@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import cotrain, fingerprints, licences, mixing, neardup, packing, quality_rules, sharding, token_store, toxicity
-from quillspark.llm.common import documents
+from quillspark.llm.common import documents, stored
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return cotrain.score(docs, cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    feats = stored(cotrain.features(documents(spark, sf_dir)), "features")
+    return cotrain.score(feats, cotrain.fit(feats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
