@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch that a Python stage gets at once, at most; texts may be long.
-BATCH_ROWS, BATCH_BYTES = "512", str(32 << 20)
+BATCH_ROWS, BATCH_BYTES = "4096", str(32 << 20)
+#: A key is hot if it holds more than this part of the rows, and more than so many.
+HOT, HOT_ROWS = 1000, 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +42,32 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def in_batches(df: DataFrame, step: Callable, schema: str) -> DataFrame:
-    """mapInArrow over batches of bounded size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """mapInArrow over batches of bounded size, by two Arrow settings of the session; where the caller has set one, it stays."""
+    conf = df.sparkSession.conf
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            conf.set(f"spark.sql.execution.arrow.{name}", value)
     return df.mapInArrow(step, schema)
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner", counts: DataFrame | None = None, salts: int = 64) -> DataFrame:
+    """``rows.join(side, key, how)`` where any key may hold a large share of ``rows``; ``how`` is inner or left.
+
+    At most `HOT` keys hold more than a `HOT`-th of the rows, so a table of them is broadcast. Their rows are dealt to ``salts`` tasks
+    by a hash of ``spread``, and their rows of ``side`` are repeated for each. The keys are counted first, from ``counts`` (key, count) if given.
+    """
+    counts = rows.groupBy(key).count() if counts is None else counts
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    if (most or 0) <= max(HOT_ROWS, (total or 0) // HOT):
+        return rows.join(side, key, how)
+    hot = F.broadcast(counts.where((F.col("count") > HOT_ROWS) & (F.col("count") * HOT > total)).select(F.col(key).alias("_key"), F.lit(True).alias("_hot")))
+    marked = lambda df: df.join(hot, F.col(key) == F.col("_key"), "left")
+    zero = F.lit(0).cast("long")
+    dealt = marked(rows).withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(zero)).drop("_key", "_hot")
+    each = F.explode(F.when(F.col("_hot"), F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero)))
+    return dealt.join(marked(side).withColumn("_salt", each).drop("_key", "_hot"), [key, "_salt"], how).drop("_salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once in each row and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]

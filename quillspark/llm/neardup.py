@@ -1,42 +1,50 @@
 """Near-duplicates by SetSketch registers: band, estimate by likelihood, verify on whole sets, join components.
 
 A document's set holds its distinct 2-word shingles, A-Z in lower case. Documents with equal sets form a class, and only the class's
-least doc_id goes on. Register bands put similar classes in common buckets. In a bucket, members are compared with one leader, not with
-each other, so a bucket of g members costs g comparisons; in the buckets that still hold more than one component, later rounds compare new
-members of the largest with the members of the others, until a round links nothing new or `ROUNDS` have run. Each comparison first estimates the similarity from the registers
-and the set sizes, then counts the common shingles of the full sets (64-bit hashes). The rounds only save work: at last all members of
-different components that still share a bucket are compared on their full sets, in blocks of `BLOCK` by `BLOCK` members.
-
-Defined cases: a null or empty text has an empty set and is linked with nothing; a text of one word has that word as its shingle;
-repeated rows are one document; a row without a doc_id joins its text's component but is never its representative.
+least doc_id goes on. Register bands put similar classes in common buckets, and every two members of a bucket are either joined or
+compared:
+
+1. Each member is compared with one leader of its bucket, which joins most of a crowd at the cost of its size. While much work is left, rounds
+   with other leaders follow, as long as they help.
+2. In each bucket that still holds more than one component, the members of all but its largest component are compared with each other and with the
+   largest; small buckets give their pairs, each once for all bands. In large ones members are dealt to blocks, and two blocks are a group of their own, so a crowded bucket is spread over many tasks. A pair
+   is compared in the first band that it shares, and not at all once it is joined or if its sizes rule it out.
+
+A comparison first estimates the similarity from the registers and set sizes, then counts the common shingles of the full sets (64-bit
+hashes). What can be missed: a pair at 0.8 that shares no band, once in 29 million times, or whose estimate is below `LEAST_ESTIMATE`,
+less than once in 700 million times (the binomial bound for the share of equal registers); less above 0.8.
+
+Defined cases: a null or empty text has an empty set and is linked with nothing; a text of one word has that word as its shingle; texts
+of any length are read whole; repeated rows, and rows that share a doc_id, are one document; ties go to the least doc_id; a row without
+a doc_id joins its text's component but never represents it; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import setsketch
-from quillspark.llm.common import in_batches, stored
+from quillspark.llm.common import in_batches, join_hot, stored
 from quillspark.llm.components import components
 from quillspark.llm.shingles import shingles
 from quillspark.llm.tokens import in_slices
 
 WORDS, PERCENT = 2, 80
-ROUNDS = 6
-#: Members of a block, and shingles of a slice, of the last step's tables of members by shingles.
-BLOCK, SLICE = 256, 8192
-#: An estimate this low can't belong to a similarity of 0.8: the estimate's standard error is below 0.03.
+#: Members of a block, about, and shingles of a slice of the tables of members by shingles; buckets up to `SMALL` are compared pair by pair.
+BLOCK, SLICE, SMALL = 512, 8192, 8
 LEAST_ESTIMATE = 0.68
-#: Bits of the filter that keeps documents outside all buckets from being read in full; a fixed size, whatever the corpus.
-FILTER_BITS = 1 << 23
+#: Leader rounds go on while more comparisons than this for each member of a bucket are left, and each round saves a fifth of them.
+WORK = 64
+#: Most bits of the filter that keeps documents outside all buckets from being read in full. Beyond some millions of candidates it fills
+#: up, and documents outside the buckets are read in full too; nothing is lost by that.
+FILTER_BITS = 1 << 26
 
 
 def _sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -63,17 +71,18 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _payloads(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Registers and sets of the documents that buckets hold (and of a few more), read without a shuffle of texts.
 
-    The members' ids set bits of a filter of fixed size; whatever passes it is kept, so a full filter costs work but loses nothing.
+    The members' ids set bits of a filter of bounded size; whatever passes it is kept, so a full filter costs work but loses nothing.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    word = members.select(slot("rep").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in word.collect():  # at most FILTER_BITS / 64 rows
-        bits[r["w"]] = r["b"]
-    filled = zstandard.ZstdCompressor().compress(bits.tobytes())
+    spark = docs.sparkSession
+    size = min(FILTER_BITS, 1 << max(16, (16 * members.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    word = members.select(slot("rep").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[word.column("w").to_numpy()] = word.column("b").to_numpy()  # at most FILTER_BITS / 64 rows
+    filled = spark.sparkContext.broadcast(zstandard.ZstdCompressor().compress(bits.tobytes()))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(zstandard.ZstdDecompressor().decompress(filled), np.uint64)
+        held = np.frombuffer(zstandard.ZstdDecompressor().decompress(filled.value), np.uint64)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             s = batch.column(2).to_numpy()
@@ -83,11 +92,11 @@ def _payloads(docs: DataFrame, members: DataFrame) -> DataFrame:
             for part in in_slices(texts, 500_000):
                 sets = _sets(texts[part])
                 regs = setsketch.registers(sets)
-                rows = [batch.column(0)[part.start : part.stop], pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([pack(_planes(x)) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names=["id", "regs", "set"])
+                rows = [batch.column(0)[part.start : part.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([pack(_planes(x)) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=["id", "n", "regs", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot(F.col("doc_id").cast("long")).alias("s"))
-    return in_batches(rows.where(F.col("doc_id").isNotNull()), step, "id long, regs binary, set binary")
+    return in_batches(rows.where(F.col("doc_id").isNotNull()), step, "id long, n long, regs binary, set binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -96,40 +105,53 @@ def _planes(x: np.ndarray) -> bytes:
     return d.view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
     return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().reshape(-1).view("<u8"), dtype=np.uint64)
 
 
+def _registers(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), setsketch.M)
+
+
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The estimated similarity of pairs of register rows with set sizes."""
+    out = [np.zeros(0)]
+    for low in range(0, len(a), 20_000):
+        x, y = a[low : low + 20_000], b[low : low + 20_000]
+        out.append(setsketch.estimate((x > y).sum(1), (x < y).sum(1), n[low : low + 20_000], m[low : low + 20_000]))
+    return np.concatenate(out)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _links(pairs: DataFrame, payloads: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets have ``100 * common >= percent * all``."""
+    """The pairs (u, v) whose sets have ``100 * common >= percent * all``. A leader v may be in any share of the pairs."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            u, v, ra, rb, a, b = (c.to_pylist() for c in batch.columns)
-            regs = [np.frombuffer(b"".join(r), np.uint16).reshape(len(r), -1) for r in (ra, rb)]
-            left, right, n, m = [], [], [], []
-            for x, y in zip(a, b, strict=True):
-                if last[0] is not x and last[0] != x:
-                    last = (x, _from_planes(unpack(x)))
-                left.append(last[1])
-                right.append(_from_planes(unpack(y)))
-                n.append(len(left[-1]))
-                m.append(len(right[-1]))
-            near = setsketch.estimate(regs[0], regs[1], np.array(n), np.array(m)) >= LEAST_ESTIMATE
+            u, v, n, m, ra, rb, a, b = (c.to_pylist() for c in batch.columns)
             ok = []
-            for i in np.flatnonzero(near).tolist():
-                both = len(np.intersect1d(left[i], right[i], assume_unique=True))
-                if 100 * both >= percent * (n[i] + m[i] - both):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in ok], pa.int64()), pa.array([v[i] for i in ok], pa.int64())], names=["u", "v"])
-
-    side = lambda end: payloads.select(F.col("id").alias(end), F.col("regs").alias(f"r{end}"), F.col("set").alias(f"s{end}"))
-    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "ru", "rv", "su", "sv")
+            for i in np.flatnonzero(_near(_registers(ra), _registers(rb), np.array(n), np.array(m)) >= LEAST_ESTIMATE).tolist():
+                if last[0] != b[i]:
+                    last = (b[i], _unpacked(b[i]))
+                if _linked(_unpacked(a[i]), last[1], percent):
+                    ok.append((u[i], v[i]))
+            yield _pairs(ok)
+
+    side = lambda end: payloads.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("regs").alias(f"r{end}"), F.col("set").alias(f"s{end}"))
+    both = join_hot(pairs.join(side("u"), "u"), side("v"), "v", "u", counts=pairs.groupBy("v").count()).select("u", "v", "nu", "nv", "ru", "rv", "su", "sv")
     return in_batches(both, step, "u long, v long")
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
 def _joined(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which sets of ``left`` (rows) and ``right`` (columns) have ``100 * common >= percent * all``."""
     size = np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :]
@@ -156,106 +178,178 @@ def _joined(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np
     return (both > 0) & (100 * both >= percent * (size[0] + size[1] - both))
 
 
-def _rest(own: DataFrame, payloads: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that join all components with a link between members of one bucket; ``own`` has bucket, leader, rep and c.
+def _compared(bucket: int, left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of members (rep, component, size, registers, set), or within one, that join their components.
 
-    A bucket's leader has met all members, so it stays out. Buckets of equal members count once. Members are dealt to blocks, and each
-    two blocks of a bucket, or a block with itself, are a group of its own: a large bucket is spread over many tasks.
+    Pairs that share an earlier band than the bucket's are left to that band; the surest are compared first, and a pair is skipped once
+    others have joined it.
     """
-    others = own.where("rep != leader")
-    same = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt)))
-    buckets = others.groupBy("bucket").agg(F.count("*").alias("_n"), same(1).alias("_x"), same(2).alias("_y"), F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b")
-    buckets = buckets.groupBy("_n", "_x", "_y").agg(F.min("bucket").alias("bucket")).select("bucket", F.expr(f"(_n + {BLOCK - 1}) div {BLOCK}").alias("_blocks"))
-    dealt = others.join(buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("_blocks")))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "rep", "c")
+    same, right = right is None, left if right is None else right
+    (a, b), (n, m) = (_registers([r[3] for r in x]) for x in (left, right)), (np.array([r[2] for r in x]) for x in (left, right))
+    c, d = (np.array([r[1] for r in x]) for x in (left, right))
+    open_ = (c[:, None] != d[None, :]) & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :]))
+    if same:
+        open_ = np.triu(open_, 1)
+    own, other = setsketch.band_keys(a), setsketch.band_keys(b)
+    for k in range(int(np.flatnonzero(own[0] == bucket)[0])):
+        open_ &= own[:, k][:, None] != other[:, k][None, :]
+    i, j = np.nonzero(open_)
+    sure = _near(a[i], b[j], n[i], m[j])
+    order = np.argsort(-sure, kind="stable")[: int((sure >= LEAST_ESTIMATE).sum())]
+    i, j = i[order], j[order]
+    sets: dict[bytes, np.ndarray] = {}
+
+    def of(row: tuple) -> np.ndarray:
+        if row[4] not in sets:
+            sets[row[4]] = _unpacked(row[4])
+        return sets[row[4]]
+
+    if len(i) > 8 * (len(left) + len(right)):  # so many that all at once is faster
+        rows, columns = np.unique(i), np.unique(j)
+        near = np.zeros(open_.shape, bool)
+        near[np.ix_(rows, columns)] = _joined([of(left[x]) for x in rows], [of(right[x]) for x in columns], percent)
+        keep = near[i, j]
+        i, j, check = i[keep], j[keep], False
+    else:
+        check = True
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    found = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = find(left[x][1]), find(right[y][1])
+        if p != q and (not check or _linked(of(left[x]), of(right[y]), percent)):
+            root[max(p, q)] = min(p, q)
+            found.append((left[x][0], right[y][0]))
+    return found
+
+
+def _rest(own: DataFrame, open_: DataFrame, payloads: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join all components with a link between members of one bucket.
+
+    ``own`` has bucket, rep and component c; ``open_`` the buckets with more than one component, their size n, their largest component
+    top and its size m.
+    """
+    blocks = lambda n: F.expr(f"({n} + {BLOCK - 1}) div {BLOCK}")
+    rows = join_hot(own.drop("size"), open_.select("bucket", "top", blocks("n - m").alias("_few"), blocks("m").alias("_many")), "bucket", "rep")
+    few = F.col("c") != F.col("top")
+    rows = rows.withColumn("block", F.when(few, F.pmod(F.xxhash64("rep"), F.col("_few"))).otherwise(F.col("_few") + F.pmod(F.xxhash64("rep"), F.col("_many"))))
+    met = F.when(few, F.sequence(F.lit(0).cast("long"), F.col("_few") + F.col("_many") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_few") - 1))
+    rows = rows.withColumn("_o", F.explode(met)).select("bucket", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "rep", "c")
     keys = ["bucket", "low", "high"]
-    mixed = dealt.groupBy(*keys).agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select(*keys)
-    dealt = dealt.join(mixed, keys).join(payloads.select(F.col("id").alias("rep"), "set"), "rep").select(*keys, "block", "rep", "c", "set")
+    dealt = rows.join(payloads.withColumnRenamed("id", "rep"), "rep").select(*keys, "block", "rep", "c", "n", "regs", "set")
 
     def compare(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
-        sides = [[m for m in held if m[0] == b] for b in key[1:]]
-        if not held or not all(sides):
-            return []
-        # members of the most common component need only meet the others
-        most = Counter(m[2] for m in held).most_common(1)[0][0]
-        root = {m[2]: m[2] for m in held}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                c = root[c]
-            return c
-
-        found = []
-        for left, right in ((sides[0], sides[1]), (sides[1], sides[0])):
-            left = [m for m in left if m[2] != most]  # noqa: PLW2901
-            if not left:
-                continue
-            for i, j in zip(*(x.tolist() for x in np.nonzero(_joined([m[3] for m in left], [m[3] for m in right], percent))), strict=True):
-                a, b = find(left[i][2]), find(right[j][2])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    found.append((left[i][1], right[j][1]))
-            if key[1] == key[2]:
-                break
-        return found
+        left = [r[1:] for r in held if r[0] == key[1]]
+        right = [r[1:] for r in held if r[0] == key[2]] if key[1] != key[2] else None
+        return _compared(key[0], left, right, percent) if left and (right or right is None) else []
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         key: tuple = ()
         held: list[tuple] = []
         for batch in batches:
             found = []
-            for b, low, high, *member, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (b, low, high):
-                    found += compare(key, held)
-                    key, held = (b, low, high), []
-                held.append((*member, _from_planes(unpack(packed))))
+            for bucket, low, high, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (bucket, low, high):
+                    found += compare(key, held) if held else []
+                    key, held = (bucket, low, high), []
+                held.append(tuple(member))
             yield _pairs(found)
-        yield _pairs(compare(key, held))
+        yield _pairs(compare(key, held) if held else [])
 
     return in_batches(dealt.repartition(*keys).sortWithinPartitions(*keys), step, "u long, v long")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+def _fits(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (whether it is the component's representative) for every row."""
-    drawn = stored(sketches(docs), "sketches")
-    classes = drawn.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
-    in_bucket = Window.partitionBy("bucket")
-    rows = classes.where(F.col("rep").isNotNull()).select("rep", F.explode("bands").alias("bucket"))
-    rows = rows.select("rep", "bucket", F.count("*").over(in_bucket).alias("_n"), F.min_by("rep", F.xxhash64("rep")).over(in_bucket).alias("leader"))
-    buckets = stored(rows.where("_n > 1").select("rep", "bucket", "leader"), "buckets")
-    payloads = stored(_payloads(docs, buckets), "payloads")
-    pairs = lambda b: b.where("rep != leader").select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")).distinct()
-    found = links = stored(_links(pairs(buckets), payloads, percent), "links")
+def _small_pairs(own: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of different components in the open buckets of at most `SMALL` members."""
+    held = own.join(open_.where(F.col("n") <= SMALL).select("bucket"), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("rep", "c", "size")).alias("x"))
+    later = lambda a: F.filter("x", lambda b: (b["rep"] > a["rep"]) & (b["c"] != a["c"]) & _fits(a["size"], b["size"], percent))
+    pairs = F.flatten(F.transform("x", lambda a: F.transform(later(a), lambda b: F.struct(a["rep"].alias("u"), b["rep"].alias("v")))))
+    return held.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+
+
+def _open(own: DataFrame, turn: int) -> DataFrame:
+    """Buckets with more than one component: size n, the largest component top, its size m, and a member of it by turn."""
+    parts = own.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "size"), F.xxhash64("rep", F.lit(turn))).alias("leader"))
+    most = F.max(F.struct("m", "c", "leader")).alias("t")
+    return parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.count("*").alias("_k"), most).where("_k > 1").select("bucket", "n", "t.m", F.col("t.c").alias("top"), "t.leader")
+
+
+def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the representatives of classes that are linked with another."""
+    rows = classes.where(F.col("rep").isNotNull()).select("rep", "size", F.explode("bands").alias("bucket"))
+    leaders = stored(rows.groupBy("bucket").agg(F.count("*").alias("count"), F.min_by(F.struct("rep", "size"), F.xxhash64("rep")).alias("leader")).where("count > 1"), "leaders")
+    members = stored(join_hot(rows, leaders.drop("count"), "bucket", "rep", counts=leaders), "members")
+    payloads = stored(_payloads(docs, members), "payloads")
+
+    def starred(met: DataFrame) -> DataFrame:
+        use = met.where((F.col("rep") != F.col("leader.rep")) & _fits(F.col("size"), F.col("leader.size"), percent))
+        return stored(use.select(F.col("rep").alias("u"), F.col("leader.rep").alias("v")).distinct(), "pairs")
+
+    links = stored(_links(starred(members), payloads, percent), "links")
     labels = components(links)
-    owned = lambda: buckets.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").select("bucket", "leader", "rep", F.coalesce("c", "rep").alias("c"))
-    for i in range(1, rounds):
-        # a new member of the bucket's largest component, and every third round any member, meets all members of other components
-        own = owned().drop("leader").repartition("bucket").withColumn("_m", F.count("*").over(Window.partitionBy("bucket", "c")))
-        largest = F.struct(-F.col("_m"), F.xxhash64("c", F.lit(i)), F.xxhash64("rep", "bucket", F.lit(i)))
-        anyone = F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"), F.xxhash64("rep", F.lit(i), F.pmod("bucket", F.lit(3))))
-        first = F.min_by(F.struct("rep", "c"), anyone if i % 3 == 0 else largest).over(in_bucket)
-        open_ = own.select("*", first.alias("l"), F.min("c").over(in_bucket).alias("_a"), F.max("c").over(in_bucket).alias("_b")).where("_a != _b and c != l.c")
-        found = stored(_links(pairs(open_.select("rep", F.col("l.rep").alias("leader"))), payloads, percent), "links")
-        if found.isEmpty():
+    turn, left, few = 0, None, WORK * members.count()
+    while True:
+        turn += 1
+        named = labels.select(F.col("id").alias("rep"), F.col("component").alias("c"))
+        own = stored(members.select("bucket", "rep", "size").join(named, "rep", "left").select("bucket", "rep", "size", F.coalesce("c", "rep").alias("c")), "own")
+        open_ = stored(_open(own, turn), "open")
+        work = open_.agg(F.sum(F.expr("double(n - m) * n"))).first()[0] or 0
+        if not work:
+            return labels
+        if work <= few or left is not None and work > 0.8 * left:
             break
-        links = links.union(found)
+        left = work
+        met = join_hot(own, open_.select("bucket", "top", "leader"), "bucket", "rep").where("c != top")
+        links = links.union(stored(_links(starred(met), payloads, percent), "links"))
         labels = components(links)
-    found = stored(_rest(owned(), payloads, percent), "links")
-    if not found.isEmpty():
-        labels = components(links.union(found))
+    found = _links(stored(_small_pairs(own, open_, percent), "pairs"), payloads, percent)
+    large = stored(open_.where(F.col("n") > SMALL), "open")
+    if not large.isEmpty():
+        found = found.union(_rest(own, large, payloads, percent))
+    found = stored(found, "links")
+    return labels if found.isEmpty() else components(links.union(found))
+
+
+def _found(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The result of `near_duplicates`, and the classes."""
+    drawn = stored(sketches(docs), "sketches")
+    classes = stored(drawn.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands")), "classes")
+    labels = _components(docs, classes, percent)
     member = classes.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(member, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = join_hot(drawn.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), member, "set_key", "doc_id").drop("set_key")
+    empty = drawn.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id").unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), classes
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (whether it is the component's representative) for every row."""
+    return _found(docs, percent)[0]
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that represent their components, with all their columns; rows without a doc_id stay."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).where(F.col("_kept").isNotNull()).distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents that represent their components, one row each, with all their columns.
+
+    Of rows that share a doc_id the one with the least hash stays. A row without a doc_id stays if no document has its set, and it has the
+    least hash of those with its set.
+    """
+    columns = docs.columns
+    once = lambda df, key: df.withColumn("_all", F.struct(*columns)).groupBy(key).agg(F.min_by("_all", F.xxhash64("_all")).alias("_all")).select("_all.*")
+    result, classes = _found(docs, percent)
+    found = stored(result.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    one = docs.join(found.where("_rows = 1").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    several = once(docs.join(found.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").select(*columns), "doc_id")
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("_row", F.xxhash64(*columns))
+    keys = sketches(unnamed.select(F.col("_row").alias("doc_id"), "text"))
+    free = keys.where("n_shingles > 0").join(classes.where("rep is not null").select("set_key"), "set_key", "left_anti").groupBy("set_key").agg(F.min("doc_id").alias("_row")).select("_row")
+    free = free.unionByName(keys.where("n_shingles = 0").select(F.col("doc_id").alias("_row"))).distinct()
+    return one.unionByName(several).unionByName(once(unnamed.join(free, "_row", "left_semi"), "_row"))

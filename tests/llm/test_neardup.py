@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillspark.llm import neardup, setsketch
 from quillspark.llm.components import components
@@ -91,7 +92,64 @@ def test_odd_rows(odd, none):
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert neardup.near_duplicates(none).collect() == []
     kept = neardup.representatives(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 7, 8, 9]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9]
+    assert neardup.representatives(none).collect() == []
+
+
+def test_rows_without_a_doc_id_or_with_the_same_one(spark):
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "x y z"), (None, "X Y Z"), (None, ""), (None, None), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in neardup.representatives(docs).collect()]
+    assert sorted((k or 0) for k, _ in kept) == [0, 0, 0, 1, 3]
+    assert sum((t or "").lower() == "x y z" for _, t in kept) == 1 and (2, "A b c d e f") not in kept
+
+
+def test_random_edits_of_one_text(spark):
+    """Three crowds of 1,200 texts of 120 words, 5 or 6 of them edited: most pairs are just below or above 0.8."""
+    texts = {10_000 * seed + k: t for seed in (1, 2, 3) for k, t in crowd(seed).items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    want, _ = brute(texts)
+    assert len(set(want.values())) > 60
+    assert got == want
+
+
+def crowd(seed):
+    rng = np.random.default_rng(seed)
+    base, texts = [f"{seed}w{i}" for i in range(120)], {}
+    for k in range(1200):
+        w = list(base)
+        for i in rng.choice(120, rng.integers(10, 13) // 2, replace=False):
+            w[i] = f"x{rng.integers(0, 10**6)}"
+        texts[k] = " ".join(w)
+    for k in range(1200, 1260):  # and a few that are further away
+        w = texts[k - 1200].split()
+        for i in rng.choice(120, 7, replace=False):
+            w[i] = f"y{rng.integers(0, 10**6)}"
+        texts[k] = " ".join(w)
+    return texts
+
+
+def test_blocks_and_rounds(spark, monkeypatch):
+    """The same with small blocks, hot keys from the start, and leader rounds."""
+    from quillspark.llm import common
+
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for k in range(300):
+        w = list(base)
+        for i in rng.choice(120, 6, replace=False):
+            w[i] = f"x{k}_{i}"
+        texts[k] = " ".join(w)
+    want, _ = brute(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block, work in ((16, 0),):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "WORK", work)
+        monkeypatch.setattr(neardup, "SMALL", 3)
+        monkeypatch.setattr(common, "HOT_ROWS", 50)
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == want
 
 
 def test_registers_merge_and_estimate():
@@ -100,7 +158,7 @@ def test_registers_merge_and_estimate():
     a, b = x[:2000], x[1000:]
     r = setsketch.registers([a, b, x, a[:0]])
     assert np.array_equal(np.maximum(r[0], r[1]), r[2]) and not r[3].any()
-    j = setsketch.estimate(r[:1], r[1:2], np.array([2000]), np.array([2000]))[0]
+    j = setsketch.estimate((r[:1] > r[1:2]).sum(1), (r[:1] < r[1:2]).sum(1), np.array([2000]), np.array([2000]))[0]
     assert abs(j - 1 / 3) < 0.1
 
 
