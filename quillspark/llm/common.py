@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = "4096", str(32 << 20)
 #: A key is hot if it holds more than this part of the rows, and more than so many.
 HOT, HOT_ROWS = 1000, 1000
+_written: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,20 +25,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset a new local one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a new folder (tests), and
+    a cluster raises: executors would write where nobody else reads."""
     folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
     return (folder or sc.getCheckpointDir()).rstrip("/")
 
 
+def clear(spark: SparkSession, frames: Sequence[DataFrame] = ()) -> int:
+    """Removes the tables that `stored` has written in this session, but for those that ``frames`` still read; returns how many.
+
+    For callers that have their result: a frame that reads a removed table fails.
+    """
+    kept = {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}
+    gone = [p for p in _written if not any(k == p or k.endswith(p) for k in kept)]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+        _written.remove(path)
+    return len(gone)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing.
 
-    The files stay until the folder is cleared: the frame returned may be read later, and more than once.
+    The files stay until `clear` is called: the frame returned may be read later, and more than once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,40 +101,52 @@ def with_start(
     A group may hold any share of the rows: each is dealt to ``buckets`` parts by a hash of ``spread``; the sums of the parts,
     ``buckets`` rows a group, give each part its start, and a window adds what comes before within the part. The order is by
     part, then ``order``. ``df`` is read twice, the first time only for the columns of ``group``, ``spread`` and ``weight``.
-    Group columns must not be null.
+    Group columns must not be null; a column called ``name`` is replaced. Helper columns have names that ``df`` hasn't.
     """
-    part, w = f"{name}_part", F.col(weight) if weight else F.lit(1).cast("long")
+    own, start, total, part = (unused(df, f"_{x}") for x in ("own", "start", "total", "part"))
+    w = F.col(weight) if weight else F.lit(1).cast("long")
     keys = [*group, part]
-    df = df.withColumn(part, F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
+    df = df.drop(name).withColumn(part, F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys).agg(F.sum(w).alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = df.groupBy(*keys).agg(F.sum(w).alias(total)).select(*keys, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
     inside = Window.partitionBy(*keys).orderBy(*order)
-    own = F.coalesce(F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inside) - 1
-    return df.withColumn("_own", own).join(sums, keys).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before", part)
+    here = F.coalesce(F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inside) - 1
+    return df.withColumn(own, here).join(sums, keys).withColumn(name, (F.col(start) + F.col(own)).cast("long")).drop(own, start, part)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
-def range_parts(ids: DataFrame, key: str, rows_per_part: int, most_parts: int = 4096) -> list[int]:
-    """At most ``most_parts`` ascending boundaries of an integer key; part i holds keys of boundary i-1 (exclusive) to i (inclusive).
+def range_parts(ids: DataFrame, key: str, rows_per_part: int, most_parts: int = 1 << 16) -> list[int]:
+    """Ascending boundaries of an integer key, about one for ``rows_per_part`` rows; part i holds keys of boundary i-1 (exclusive) to i (inclusive).
 
-    One pass over one column gives quantiles, so parts are near equal for any spread of the keys. Only the boundaries reach the driver.
+    Counts in steps of equal width give the boundaries, and steps with too many rows are counted again in finer steps, so parts are
+    near equal for any spread of the keys. At most ``most_parts`` counts reach the driver at a time; beyond that, parts grow with the
+    rows: at 100 TB and the default, one holds about 1.5 GB of text.
     """
-    n = ids.agg(F.count(key)).first()[0]
-    parts = max(1, min(most_parts, -(-n // rows_per_part)))
-    if parts == 1:
+    low, high, n = ids.agg(F.min(key), F.max(key), F.count(key)).first()
+    parts = max(1, min(most_parts // 4, -(-n // rows_per_part)))
+    if parts == 1 or low == high:
         return []
-    at = [i / parts for i in range(1, parts)]
-    return sorted(set(ids.agg(F.percentile_approx(key, at, max(10_000, 4 * parts))).first()[0] or []))
-
-
-def part_of(key: Column, bounds: list[int]) -> Column:
-    """The part of a key: how many boundaries are less than it, found in two steps of about the square root of their count. Null: 0."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    many = lambda values: F.array(*[F.lit(int(x)) for x in values])
-    less = lambda array: F.size(F.filter(array, lambda b: b < key))
-    firsts = many([c[0] for c in chunks])
-    table = F.array(*[many(c) for c in chunks])
-    part = let(less(firsts), lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + less(F.element_at(table, F.greatest(c, F.lit(1))))))
-    return F.coalesce(part, F.lit(0))
+    share = -(-n // parts)
+    width = max(1, -(-(high - low + 1) // most_parts))
+    step = lambda w: F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(w).cast("decimal(20,0)")).cast("decimal(20,0)")
+    counts = {(int(r["s"]), width): r["n"] for r in ids.where(F.col(key).isNotNull()).groupBy(step(width).alias("s")).agg(F.count("*").alias("n")).collect()}
+    while width > 1 and (large := [s for (s, w), c in counts.items() if w == width and c > 2 * share]):
+        fine = max(1, width // max(2, most_parts // len(large)))
+        found = ids.where(F.col(key).isNotNull() & step(width).isin([Decimal(s) for s in large])).groupBy(step(fine).alias("s")).agg(F.count("*").alias("n")).collect()
+        for s in large:
+            del counts[s, width]
+        counts |= {(int(r["s"]), fine): r["n"] for r in found}
+        width = fine
+    bounds, held = [], 0
+    for (s, w), c in sorted(counts.items(), key=lambda x: x[0][0] * x[0][1]):
+        if held and held + c > share:
+            bounds.append(low + s * w - 1)
+            held = 0
+        held += c
+    return bounds

@@ -5,13 +5,15 @@ whole, and two of them estimate resemblance, containment and the number of disti
 a hash.
 
 Defined cases: a null text is empty; texts with fewer than five words have one shingle, all their words; two empty sketches are alike
-(1.0), an empty one and another aren't (0.0); equal doc_ids follow each other in the order of their texts; a null doc_id is the least.
+(1.0), an empty one and another aren't (0.0); rows of one doc_id follow each other in the order of a checksum of their texts; a null
+doc_id is the least; a text of any length is read whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_batches, part_of, range_parts
+from quillspark.llm.common import in_batches, range_parts
 from quillspark.llm.shingles import shingles
 from quillspark.llm.tokens import in_slices
 
@@ -93,6 +95,17 @@ def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
     return low.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("_o", "_h"))).alias("_s")).select(key, F.concat_ws("", F.col("_s._h")).alias("fingerprint"))
 
 
+def _heads(ids: DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
+    """The greatest key of each range that has rows: a row for each range reaches the driver."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, batch.column(0).to_numpy()).astype(np.int32)), batch.column(0)], names=["part", "_key"])
+
+    rows = in_batches(ids, step, "part int, _key long").groupBy("part").agg(F.max("_key").alias("head")).collect()
+    return sorted((r["part"], r["head"]) for r in rows)
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -106,15 +119,18 @@ def against_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(least))
     ids = docs.select(key.alias("_key"))
     bounds = range_parts(ids, "_key", 50)
-    heads = ids.groupBy(part_of(F.col("_key"), bounds).alias("part")).agg(F.max("_key").alias("head")).collect()  # a row for each range
-    heads = sorted((r["part"], r["head"]) for r in heads)
+    cuts = np.array(bounds, np.int64)
+    heads = _heads(ids, cuts)
     follows = [(heads[i - 1][1], heads[i][0]) for i in range(len(heads))]  # the head of the range below, or of the highest, goes to a range
     table = docs.sparkSession.createDataFrame(follows, "_key long, _to int")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["_key", "z"])
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            part = np.searchsorted(cuts, batch.column(0).to_numpy()).astype(np.int32)
+            cols = [batch.column(0), pa.array(part), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array([pack(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_key", "_part", "_sum", "z"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -138,9 +154,9 @@ def against_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    rows = in_batches(docs.select(key.alias("_key"), "text"), squeeze, "_key long, z binary").join(F.broadcast(table), "_key", "left")
-    own = F.struct(part_of(F.col("_key"), bounds).alias("part"), F.lit(False).alias("ghost"))
+    rows = in_batches(docs.select(key.alias("_key"), "text"), squeeze, "_key long, _part int, _sum long, z binary").join(F.broadcast(table), "_key", "left")
+    own = F.struct(F.col("_part").alias("part"), F.lit(False).alias("ghost"))
     more = F.struct(F.col("_to").alias("part"), F.lit(True).alias("ghost"))
-    dealt = rows.select(F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("p"), "_key", "z")
-    dealt = dealt.select("p.part", "p.ghost", "_key", "z").repartition("part").sortWithinPartitions("part", "ghost", F.desc("_key"), "z")
+    dealt = rows.select(F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("p"), "_key", "_sum", "z")
+    dealt = dealt.select("p.part", "p.ghost", "_key", "_sum", "z").repartition("part").sortWithinPartitions("part", "ghost", F.desc("_key"), "_sum", "z").drop("_sum")
     return in_batches(dealt, compare, RESULT)

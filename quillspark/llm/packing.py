@@ -5,8 +5,9 @@
 time, which gives a few thousand packing patterns. `pack` then joins the patterns back to the pieces by their rank among pieces of
 the same length.
 
-Defined cases: a null text is empty and gives one piece, the end id; repeated rows are packed each on their own; other columns of the
-pieces are kept.
+Defined cases: a null or empty text gives one piece, the end id; a text of more ids than a sequence is cut into as many pieces as it takes;
+pieces of one length go by doc_id and start, so ties are repeated rows, which are packed each on their own; an empty table gives no
+pieces; other columns of the pieces are kept.
 """
 
 from __future__ import annotations

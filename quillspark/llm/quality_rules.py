@@ -4,7 +4,9 @@
 ``fail_mask & policy == 0``, so a new policy, or the question what a rule alone removes, never reads a text again. Built-in SQL
 functions only; all work is within a row, so nothing is shuffled and no group can be hot.
 
-Defined cases: a null text has no words and fails ``few_words``; repeated rows each get their own row; other columns are ignored.
+Defined cases: a null or empty text has no words and fails ``few_words``; a text of any length is measured whole, within its row; equal windows
+count each time; repeated rows each get their own row; an empty table gives an empty ledger; other columns stay, and those named as the
+measures or ``fail_mask`` are replaced.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE, SPACE_CLASS, let
+from quillspark.llm.common import SPACE, SPACE_CLASS, let, unused
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -116,8 +118,9 @@ def policy_mask(version: str) -> int:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns, one column for each measure, and ``fail_mask``; same-named columns are replaced."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs"]
-    df = docs.drop("_m", "fail_mask").withColumn("_m", measures(F.col(text)))
-    df = df.withColumns({n: F.col("_m")[n] for n in names}).drop("_m")
+    held = unused(docs, "_m")
+    df = docs.drop("fail_mask").withColumn(held, measures(F.col(text)))
+    df = df.withColumns({n: F.col(held)[n] for n in names}).drop(held)
     bits = [F.when(F.expr(sql), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, sql in RULES]
     mask = bits[0]
     for b in bits[1:]:

@@ -4,9 +4,12 @@ At every level each child draws ``-weight / ln(u)`` with u from a hash of the ch
 draw wins, so a child gets its share of the weight. A draw depends on nothing but the child, so if a subtree's weight changes,
 documents move only into it or out of it; its siblings swap none among themselves. Built-in functions only.
 
-`tree(n)` lays out the first 16 shards as 2 regions of 2 racks of 4; every shard added later opens a region of its own, so it takes
-documents from all others and gives none elsewhere (law ``key``). Defined cases: a null key is hashed as such and lands in one shard;
-repeated keys share a shard and get slots of their own; a null text has size 1.
+`tree(n)` lays out the first 16 shards as 2 regions of 2 racks of 4; every shard after these opens a region of its own, so it takes
+documents from all others and gives none elsewhere (law ``key``). Below 16, `tree(n)` and `tree(n + 1)` differ in weights of regions and racks
+that hold old shards, so keys move among old shards too; `grown` adds a shard to any tree in a region of its own, and the law holds for every
+count. Defined cases: a null key is hashed as such and lands in one shard; repeated keys share a shard and get slots of their own; equal
+draws go to the first child; a null text has size 1, one of any length its bytes and 1; an empty table gives an empty result; columns named
+as those added are replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +50,12 @@ def tree(n: int, weights: dict[int, float] | None = None) -> Node:
     return _above("", regions)
 
 
+def grown(root: Node, shard: int, weight: float = 1.0) -> Node:
+    """The tree with one more shard in a region of its own: keys move into it and nowhere else."""
+    r = f"/+{shard}"
+    return _above(root.path, [*root.children, _above(r, [_above(f"{r}/0", [Node(f"{r}/0/{shard}", weight, (), shard)])])])
+
+
 def draw(key: Column, node: Node) -> Column:
     """The weighted draw of a child for a key."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(node.path), key), 11).cast("double") + 0.5) / float(1 << 53)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_batches, part_of, range_parts, shared_dir
+from quillspark.llm.common import in_batches, range_parts, shared_dir
 from quillspark.llm.tokens import BYTE_BPE, column_slices, encoder, id_bytes
 
 MAGIC = b"QRP1"
@@ -208,14 +208,16 @@ class Shard:
 def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order to ``path``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = range_parts(docs.select("doc_id"), "doc_id", 500)
+    cuts = np.array(range_parts(docs.select("doc_id"), "doc_id", 500), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
             for part in column_slices(batch.column(1)):
                 some = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([some.column(0), id_bytes(*enc.encode(some.column(1)))], names=["doc_id", "ids"])
+                keys = some.column(0)
+                at = np.where(keys.is_valid(), np.searchsorted(cuts, keys.fill_null(0).to_numpy()), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(at), id_bytes(*enc.encode(some.column(1)))], names=["doc_id", "part", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -243,7 +245,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0
         if held:
             yield flush()
 
-    dealt = in_batches(docs, encode, "doc_id long, ids binary").withColumn("part", part_of(F.col("doc_id"), bounds))
+    dealt = in_batches(docs, encode, "doc_id long, part int, ids binary")
     dealt = dealt.select("part", "doc_id", "ids").repartition("part").sortWithinPartitions("part", "doc_id", "ids")
     in_batches(dealt, shards, SHARDS).write.option("compression", "none").parquet(path)
 
@@ -266,7 +268,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     docs = in_batches(files.select("part", "shard", "payload"), read, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     in_part = files.select("part", "shard", "n_ids", before(Window.partitionBy("part").orderBy("shard")).alias("in_part"))
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # at most 4,096 rows
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row for each range
     parts = parts.select("part", before(Window.orderBy("part")).alias("to_part"))
     starts = in_part.join(F.broadcast(parts), "part").select("part", "shard", (F.col("to_part") + F.col("in_part")).alias("before"))
     return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

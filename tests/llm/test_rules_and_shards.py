@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm import entries, quality_rules, sharding
 from tests.conftest import rows
@@ -80,3 +81,18 @@ def test_shards_odd_rows(odd, none):
     placed = sharding.with_slots(sharding.assign(odd, sharding.tree(16))).collect()
     assert len(placed) == odd.count()
     assert sharding.with_slots(sharding.assign(none, sharding.tree(16))).collect() == []
+
+
+def test_a_grown_tree_moves_keys_only_into_the_new_shard(spark):
+    keys = spark.range(4000).withColumnRenamed("id", "doc_id")
+    for n in (1, 5, 9, 15, 16, 23):
+        old, new = sharding.tree(n), sharding.grown(sharding.tree(n), n)
+        rows = sharding.assign(sharding.assign(keys, old), new, name="after").where("shard != after")
+        assert {r["after"] for r in rows.collect()} == {n}
+
+
+def test_helper_columns_do_not_clash(spark):
+    rows = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y")], "doc_id long, text string, _m string").withColumns({"_own": F.lit(1), "_part": F.lit(2), "_start": F.lit(3), "_total": F.lit(4), "shard": F.lit(9), "slot": F.lit(9)})
+    got = sharding.with_slots(sharding.assign(rows, sharding.tree(2))).collect()
+    assert all((r["_own"], r["_part"], r["_start"], r["_total"]) == (1, 2, 3, 4) and r["shard"] < 2 for r in got)
+    assert [r["_m"] for r in quality_rules.ledger(rows).orderBy("doc_id").collect()] == ["x", "y"]
