@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_batches, with_start
+from quillspark.llm.common import in_batches, unused, with_start
 
 BLOCK = 8
 #: Slots of a period, about: as many whole rounds of the shares as fit, if one does.
@@ -158,7 +158,12 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """The documents of the mixture, with their own columns, in its order: files and rows follow the position."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source")}
-    out = mixture(docs.withColumnsRenamed(names), weights, block)
-    return out.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    """The documents of the mixture, with their own columns, in its order: files and rows follow the position.
+
+    Places are made for a 128-bit hash of each row; whole rows meet them once, equal rows being one, and move once more into order.
+    """
+    one, two = unused(docs, "_one"), unused(docs, "_two")
+    keyed = docs.withColumns({one: F.xxhash64(*docs.columns), two: F.xxhash64(F.lit(1), *docs.columns)})
+    place = mixture(keyed.select("doc_id", "source", one, two), weights, block).select(one, two, F.col("position").alias("_position"))
+    rows = keyed.dropDuplicates([one, two]).withColumnsRenamed(names := {c: f"_c{i}" for i, c in enumerate(docs.columns)}).join(place.hint("merge"), [one, two])
+    return rows.repartitionByRange("_position").sortWithinPartitions("_position").select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillspark.llm import quality_rules, toxicity
 from tests.llm.test_neardup import brute
@@ -28,6 +30,33 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert full > 0.97
 
 
+def through(spark, docs, sf_dir, folder):
+    """All stages, each written and read, with the rows that each leaves."""
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        stage(spark, docs, sf_dir).write.parquet(str(folder / name))
+        docs = spark.read.parquet(str(folder / name))
+        assert name == "packing" or docs.columns == columns
+        left[name] = docs.collect()
+    return left
+
+
+def test_odd_rows_and_clashing_columns(spark, sf_dir, tmp_path, odd):
+    more = [(20 + i, f"Sentence number {i} tells of apples, pears and of plums in plenty." + " More words follow here now." * (i % 3), "en", None if i % 2 else "a", 60) for i in range(8)]
+    rows = odd.unionByName(spark.createDataFrame(more + more[:2] + [(None, "A text of ten words without any id of its own.", "en", "a", 40)] * 2, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    rows = rows.withColumns({c: F.lit(1) for c in ("_key", "_salt", "_one", "_rows", "_row", "position", "slot", "epoch", "rep", "bucket")})
+    left = through(spark, rows, sf_dir, tmp_path)
+    kept = [r["doc_id"] for r in left["near_duplicates"]]
+    assert len(kept) == len(set(kept)) and {20, 21, 22}.issuperset(k for k in kept if k in (20, 21, 22)) and kept.count(None) == 1
+    assert {r["doc_id"] for r in left["packing"]} == {r["doc_id"] for r in left["mixing"]} == set(kept)
+    assert {4, 5, 6, 7}.isdisjoint(kept)
+
+
+def test_an_empty_table(spark, sf_dir, tmp_path, none):
+    assert not any(through(spark, none, sf_dir, tmp_path).values())
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The library's own queries stay when the optional folders are gone."""
     import shutil
