@@ -2,6 +2,10 @@
 
 Toxic documents go, then those that the quality rules reject, then all but one of each group of near-duplicates; the rest is mixed to
 target weights of its sources (a small source may come more than once) and packed into sequences of 1,024 tokens.
+
+Defined cases: a null or empty text has no words, so the quality rules reject it; a text of any length is worked on whole; rows that share a
+doc_id, and equal rows, leave one row at near-duplicates, as do rows without a doc_id that have one text; ties there go to the least doc_id; a null
+source is a source of its own; an empty table gives an empty result; other columns stay up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
