@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.llm import cotrain, toxicity
+from quillspark.llm.common import stored
 
 BIG = "/root/testdata/sf0.1"
 
@@ -57,7 +58,7 @@ def test_scores_against_brute_force(spark, docs, sf_dir, texts):
 
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
-    feats = cotrain.features(docs)
+    feats = stored(cotrain.features(docs), "features")
     got = cotrain.score(feats, cotrain.fit(feats, labels)).join(labels, "doc_id").where("held_out").select("score", "quality").collect()
     y, p = np.array([r["quality"] for r in got]), np.array([r["score"] for r in got])
     order = p.argsort().argsort() + 1
@@ -69,7 +70,7 @@ def test_quality_on_held_out_labels(spark):
 def test_quality_against_brute_force(spark, docs, sf_dir):
     """Rounds of two naive Bayes views in plain Python give the same model."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    feats = cotrain.features(docs)
+    feats = stored(cotrain.features(docs), "features")
     model = cotrain.fit(feats, labels, rounds=2)
     known = {}
     held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", cotrain.held_out().alias("h"), F.lit(0)).collect()}
@@ -110,7 +111,7 @@ def test_quality_odd_rows(spark, docs, sf_dir, odd, none):
     assert cotrain.fit(odd, labels) is None and cotrain.fit(none, labels) is None
     got = cotrain.score(odd, None).collect()
     assert len(got) == odd.count() and {r["score"] for r in got} == {0.5}
-    model = cotrain.fit(cotrain.features(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = cotrain.fit(stored(cotrain.features(docs), "features"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     for m in (None, model):
         assert cotrain.score(none, m).collect() == []
     by = {r["doc_id"]: r["score"] for r in cotrain.score(odd, model).collect()}
