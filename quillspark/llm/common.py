@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch that a Python stage gets at once, at most; texts may be long.
-BATCH_ROWS, BATCH_BYTES = "4096", str(32 << 20)
+BATCH_ROWS, BATCH_BYTES = "512", str(16 << 20)
 #: A key is hot if it holds more than this part of the rows, and more than so many.
 HOT, HOT_ROWS = 1000, 1000
 _written: list[str] = []

@@ -58,7 +58,7 @@ def _gnu(name: str, version: str, date: str, what: str = "program") -> tuple[str
 
 TEXTS: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    "MIT": ("Released under the MIT License.", "The MIT License (MIT)", "MIT License", _MIT),
+    "MIT": ("Released under the MIT License.", "MIT License", _MIT),
     "ISC": ("ISC License", _ISC),
     "BSD-2-Clause": ("BSD 2-Clause License", _BSD + _BSD_END),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms is governed by a BSD-style license.", "BSD 3-Clause License", _BSD + _BSD_3 + _BSD_END),

@@ -88,14 +88,14 @@ def corpus_rarity(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> di
 
 
 def units(files: DataFrame) -> DataFrame:
-    """path, file (hash of the text), kind, part and words of each unit; kinds: 0 line, 1 paragraph, 2 head, 3 whole."""
+    """path, file (hash of path and text), kind, part and words of each unit; kinds: 0 line, 1 paragraph, 2 head, 3 whole."""
     clean = F.regexp_replace("text", COMMENT, "")
     lines = F.split("text", "\n")
     code = F.array_position(F.transform(lines, lambda x: x.rlike(CODE)), True)  # the first line that is no comment
     head = F.regexp_replace(F.array_join(F.slice(lines, 1, F.greatest(code - 1, F.lit(0)).cast("int")), "\n"), COMMENT, "")
     parts = lambda kind, array: F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("part"), x.alias("text")))
     every = F.concat(parts(0, F.split(clean, "\n")), parts(1, F.split(clean, r"\n[ \t]*\n")), parts(2, F.array(head)), parts(3, F.array(clean)))
-    rows = files.select("path", F.xxhash64("text").alias("file"), F.explode(every).alias("u"))
+    rows = files.select("path", F.xxhash64("path", "text").alias("file"), F.explode(every).alias("u"))
     return rows.select("path", "file", "u.kind", "u.part", words_of(F.col("u.text")).alias("words"))
 
 
@@ -108,7 +108,7 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     # a row for each term of each template
     weights = F.broadcast(spark.createDataFrame([(n, i, len(terms), t, w) for n, i, terms in rows for t, w in terms.items()], "licence string, template int, size int, term string, weight double"))
     idf = F.broadcast(spark.createDataFrame([(t, weight(t, rarity)) for t in sorted({t for _, _, terms in rows for t in terms})], "term string, idf double"))
-    keys = ["path", "file", "kind", "part"]
+    keys = ["file", "kind", "part"]
     some = files.where("path is not null and text is not null").where(F.arrays_overlap(words_of(F.col("text")), telling)).select("path", "text")
     kept = stored(units(some).where(F.arrays_overlap("words", telling)).dropDuplicates(keys), "licence-units")  # read three times below
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
@@ -118,10 +118,11 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     dot = terms.where("idf is not null").join(weights, "term").groupBy(*keys, "licence", "template", "size").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     match = dot.join(norm, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= LEAST)
     best = match.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("size")).alias("n"), "licence", "score")).alias("b"))
-    covered = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.size("words"))), F.lit(0))
-    share = best.join(kept, keys).groupBy("path", "file").agg(covered(0).alias("_l"), covered(1).alias("_p"), covered(3).alias("_f"))
-    sizes = some.groupBy("path", F.xxhash64("text").alias("file")).agg(F.max(F.size(words_of(F.regexp_replace("text", COMMENT, "")))).alias("_n"))
-    speaks = share.join(sizes, ["path", "file"]).groupBy("path").agg(F.max(F.expr("2 * greatest(_l, _p, _f) >= _n")).alias("is_licence_file"))
+    covered = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("_w"))), F.lit(0))
+    best = stored(best.join(kept.select("path", *keys, F.size("words").alias("_w")), keys), "licence-matches")
+    share = best.groupBy("path", "file").agg(covered(0).alias("_l"), covered(1).alias("_p"), covered(3).alias("_f"))
+    sizes = kept.where("kind = 3").select("file", F.size("words").alias("_n"))
+    speaks = share.join(sizes, "file").groupBy("path").agg(F.max(F.expr("2 * greatest(_l, _p, _f) >= _n")).alias("is_licence_file"))
     first = best.groupBy("path").agg(F.min("b").alias("b"))
     return first.join(speaks, "path").select("path", "b.licence", "b.score", (F.col("is_licence_file") | F.col("path").rlike(NAMES)).alias("is_licence_file"))
 

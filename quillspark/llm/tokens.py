@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Segments remembered by a worker.
-KEPT = 1_500_000
+KEPT = 400_000
 #: Kinds of bytes, as bits: white space that a cut may precede; bytes that surely begin no white space (code points of the blocks that
 #: hold some begin with C2, E1, E2 or E3) and no special token (they begin with ``<``); plain letters and digits; plain punctuation.
 BLANK, SOLID, ALNUM, STOP = 1, 2, 4, 8
@@ -172,7 +172,7 @@ def in_slices(texts: list[str | None], most_chars: int = 2_000_000) -> list[slic
     return _runs([len(t) if t else 0 for t in texts], most_chars)
 
 
-def column_slices(texts: pa.Array, most_bytes: int = 8 << 20) -> list[slice]:
+def column_slices(texts: pa.Array, most_bytes: int = 4 << 20) -> list[slice]:
     """Runs of a column's texts of bounded size, one text at least."""
     return _runs(np.diff(column_bytes(texts)[1]).tolist(), most_bytes)
 

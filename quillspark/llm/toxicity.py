@@ -83,7 +83,7 @@ def scorer(model: Model) -> Callable[[str | None], float]:
     seen: dict[str, tuple[str, ...]] = {}
 
     def of(word: str) -> tuple[str, ...]:
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             seen.clear()
         seen[word] = tuple(t for t in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if t in weights)
         return seen[word]
