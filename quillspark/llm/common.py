@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,12 @@ def in_batches(df: DataFrame, step: Callable, schema: str) -> DataFrame:
     for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         if conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
             conf.set(f"spark.sql.execution.arrow.{name}", value)
-    return df.mapInArrow(step, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
+
+    return df.mapInArrow(run, schema)
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner", counts: DataFrame | None = None, salts: int = 64) -> DataFrame:
