@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and SQL for those that SQL can express."""
+"""The queries of the operators and of the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import cotrain, fingerprints, licences, mixing, neardup, packing, quality_rules, sharding, token_store, toxicity
+from quillspark.llm import cotrain, fingerprints, importance, licences, mixing, neardup, packing, quality_rules, sharding, spelling, token_store, toxicity, url_filter
 from quillspark.llm.common import documents, stored
 
 
@@ -81,6 +81,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(placed, sharding.tree(17), name="grown_shard").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url", "n_hits")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -93,12 +106,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_licences": op9_licences,
         "op10_sharding": op10_sharding,
+        "op11_url_filter": op11_url_filter,
+        "op12_spelling": op12_spelling,
+        "op13_importance": op13_importance,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY_RULES}
+    return {"op5_quality_rules": QUALITY_RULES, "op11_url_filter": URL_FILTER}
 
 
 QUALITY_RULES = r"""
@@ -123,3 +139,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, fail_mask & 3 <> 0 AS base_failed,
        fail_mask = 0 AS kept, fail_mask::BIGINT AS fail_mask FROM b
 """
+
+URL_FILTER = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+r AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/]*([\s\S]*)$', 1) AS path FROM r),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES RULES),
+best AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+         FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+terms(term, weight, pattern) AS (VALUES TERMS),
+found AS (SELECT page_id, term, weight FROM h JOIN terms ON regexp_matches(lower(url_decode(url)), pattern)),
+t AS (SELECT page_id, count(*) FILTER (weight >= 100) AS n_strict, count(*) FILTER (weight < 100) AS n_soft, coalesce(sum(weight) FILTER (weight < 100), 0) AS soft_weight
+      FROM found GROUP BY page_id)
+SELECT h.page_id, host, path, rule,
+       coalesce(rule_verdict, CASE WHEN coalesce(n_strict, 0) > 0 OR coalesce(n_soft, 0) >= 2 AND soft_weight >= 100 THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_strict, 0)::BIGINT AS n_strict, coalesce(n_soft, 0)::BIGINT AS n_soft, coalesce(soft_weight, 0)::BIGINT AS soft_weight
+FROM h LEFT JOIN best USING (page_id) LEFT JOIN t USING (page_id)
+""".replace("RULES", ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in url_filter.RULES)).replace(
+    "TERMS", ", ".join(f"('{t}', {w}, '(^|[^\\p{{L}}]){t}([^\\p{{L}}]|$)')" for t, w in url_filter.VOCABULARY.items())
+)
