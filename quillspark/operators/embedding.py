@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
@@ -14,27 +16,35 @@ from pyspark.sql import functions as F
 from quillspark.errors import DimensionMismatch
 
 
-@lru_cache(maxsize=50_000)
-def _stream(text: str, dim: int) -> np.ndarray:
-    """``dim`` numbers in [-1, 1) from SHA-256 in counter mode."""
-    need = -(-dim * 4 // 32)
-    raw = b"".join(hashlib.sha256(f"{i}:{text}".encode()).digest() for i in range(need))
-    return np.frombuffer(raw, "<u4")[:dim] / 2.0**31 - 1.0
+def _drawn(seed: str, dim: int) -> np.ndarray:
+    """``dim`` numbers from -1 to 1, each from the SHA-256 of the text's own and its number."""
+    start = hashlib.sha256(hashlib.sha256(seed.encode()).digest())
+    raw = bytearray()
+    for i in range(dim):
+        one = start.copy()
+        one.update(i.to_bytes(4, "big"))
+        raw += one.digest()[:4]
+    return np.frombuffer(bytes(raw), ">u4") / float(0xFFFFFFFF) * 2.0 - 1.0
+
+
+#: Words are drawn once in a Python worker, up to so many (at 1,024 dimensions, 64 MB).
+_drawn_word = lru_cache(maxsize=8192)(_drawn)
 
 
 def deterministic(texts: Sequence[str], dim: int) -> list[np.ndarray]:
-    """The text's own stream and twice that of each of its words, at unit length, rounded to 6 places. Each distinct word counts once a batch."""
-    words = [t.lower().split() for t in texts]
-    place: dict[str, int] = {}
-    at = [place.setdefault(w, len(place)) for ws in words for w in ws]
-    streams = np.array([_stream(w, dim) for w in place]).reshape(len(place), dim)
-    out, low = [], 0
-    for t, ws in zip(texts, words, strict=True):
-        which, many = np.unique(at[low : low + len(ws)], return_counts=True) if ws else (np.zeros(0, int), np.zeros(0))
-        low += len(ws)
-        v = _stream(t, dim) + 2.0 * (many @ streams[which])
-        n = np.linalg.norm(v)
-        out.append(np.round(v / n if n else v, 6))
+    """The draw of the text (white space collapsed) and twice that of each of its words, at unit length, rounded to 6 places.
+
+    Words are runs of two word characters or more in lower case, repeats counted; a text without one counts as a word itself, an empty one as ``_empty_``.
+    """
+    out = []
+    for text in texts:
+        clean = re.sub(r"\s+", " ", text).strip()
+        counts = Counter(w for w in re.findall(r"\w+", clean.lower()) if len(w) > 1) or Counter([clean.lower() or "_empty_"])
+        v = _drawn(clean, dim)
+        for word, n in counts.items():
+            v = v + 2.0 * n * _drawn_word(word, dim)
+        length = np.linalg.norm(v)
+        out.append(np.round(v / length if length else v, 6))
     return out
 
 

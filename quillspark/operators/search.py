@@ -62,7 +62,7 @@ class ParsedQuery:
 def parse_query(query: str) -> ParsedQuery:
     """Reads ``doc_type:x``, ``page:n``, ``header:re`` and ``-term``; the last of a kind wins. An invalid pattern raises ValueError."""
     rest, found = query, {}
-    for name, pattern in (("doc_type", r"doc_type:(\S+)"), ("page", r"page:(\d+)"), ("header", r'header:(?:"([^"]+)"|(\S+))')):
+    for name, pattern in (("doc_type", r"\bdoc_type:(\w+)"), ("page", r"\bpage:(\d+)"), ("header", r'''\bheader:(?:"([^"]+)"|'([^']+)'|(\S+))''')):
         for m in re.finditer(pattern, rest, re.I):
             found[name] = next(g for g in m.groups() if g is not None)
         rest = re.sub(pattern, " ", rest, flags=re.I)
@@ -113,10 +113,16 @@ def label() -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce("header", F.lit("")), F.coalesce("locator", F.lit(""))))
 
 
-def without_terms(hits: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Drops hits whose content or header holds a term; applied after the top k, so a result may get shorter."""
+def without_negated(base: DataFrame, leg: DataFrame, negative: DataFrame, score: str, rank: str) -> DataFrame:
+    """Drops a leg's hits whose content or header holds a term that their query negates (query_id, _negative), and ranks what is left.
+
+    It comes after the top k and before the fusion: a leg may get shorter, and its first kept hit has rank 1. ``leg`` has at most k rows a query.
+    """
     full = F.lower(F.concat(F.col("content"), F.lit(" "), F.coalesce("header", F.lit(""))))
-    return reduce(lambda d, t: d.where(~full.contains(t)), terms, hits)
+    rows = base.select("chunk_id", full.alias("_full")).join(F.broadcast(leg), "chunk_id").join(F.broadcast(negative), "query_id")
+    kept = rows.where(~F.exists("_negative", lambda t: F.col("_full").contains(t)))
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    return kept.withColumn(rank, F.row_number().over(order).cast("long")).select(leg.columns)
 
 
 def _ranked(scored: DataFrame, score: str, rank: str, k: int) -> DataFrame:
@@ -336,12 +342,10 @@ def _parsed(spark: SparkSession, queries: Sequence[tuple[int, ParsedQuery]]) ->
 
 
 def _finished(base: DataFrame, hits: DataFrame, queries: DataFrame, mode: str, limit: int, first: int, score: Callable[[str, Sequence[str]], Sequence[float]] | None) -> DataFrame:
-    """From fused hits (query_id, chunk_id, ranks, rrf) to results: negation, boosts, header pattern, order, rerank, deduplication, citation."""
+    """From fused hits (query_id, chunk_id, ranks, rrf) to results: boosts, header pattern, order, rerank, deduplication, citation."""
     if mode in ("vector_only", "fts_only"):
         hits = hits.withColumn("rrf", F.col("sim" if mode == "vector_only" else "hits"))
     rows = base.drop("embedding").join(hits, "chunk_id").join(queries, "query_id")
-    full = F.lower(F.concat(F.col("content"), F.lit(" "), F.coalesce("header", F.lit(""))))
-    rows = rows.where(~F.exists("_negative", lambda t: full.contains(t)))
     rows = boosted(rows, F.col("_phrases"), F.col("_section")) if mode in BOOSTED else boosted(rows)
     named = F.concat_ws(" ", F.coalesce("header", F.lit("")), F.coalesce("locator", F.lit("")))
     rows = reranked(rows.where(F.col("_header").isNull() | F.regexp_like(named, F.col("_header"))), F.col("_text"), first, score)
@@ -354,13 +358,19 @@ def _finished(base: DataFrame, hits: DataFrame, queries: DataFrame, mode: str, l
 
 
 def _guarded(base: DataFrame, size: int) -> None:
-    """Refuses vectors of another length than the corpus has."""
-    found = base.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
-    if found is not None:
-        check_dimension(size, found["n"])
-
-
-def _hits(spark: SparkSession, dense: DataFrame | None, sparse: DataFrame | None) -> DataFrame:
+    """Refuses a query vector if any vector of the scope has another length."""
+    sizes = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    for found in base.agg(F.min(sizes), F.max(sizes)).first():
+        if found is not None:
+            check_dimension(size, found)
+
+
+def _hits(base: DataFrame, queries: DataFrame, negated: bool, dense: DataFrame | None, sparse: DataFrame | None) -> DataFrame:
+    """Both legs without what their queries negate, fused."""
+    spark = base.sparkSession
+    if negated:
+        dense = dense and without_negated(base, dense, queries.select("query_id", "_negative"), "sim", "dense_rank")
+        sparse = sparse and without_negated(base, sparse, queries.select("query_id", "_negative"), "hits", "sparse_rank")
     none = lambda *c: spark.createDataFrame([], "query_id long, chunk_id long, " + ", ".join(c))
     return rrf(dense if dense is not None else none("sim double", "dense_rank long"), sparse if sparse is not None else none("hits double", "sparse_rank long"), by=("query_id", "chunk_id"))
 
@@ -375,7 +385,7 @@ def _least(floor: float | None, mode: str) -> float:
 
 
 def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, mode: str = "hybrid", limit: int = LIMIT, floor: float | None = None, rerank: bool = False, reranker: str | None = None, rerank_top_k: int | None = None, **scope: object) -> DataFrame:
-    """Ranked hits with citation, both ranks, score breakdown, reasons and snippet, by the stages: scope, two top-k legs, negation, fusion, boosts,
+    """Ranked hits with citation, both ranks, score breakdown, reasons and snippet, by the stages: scope, two top-k legs, negation, ranks, fusion, boosts,
     header pattern, order, rerank, deduplication, citation."""
     mode, q, spark = MODES.get(mode, "rrf"), parse_query(query), chunks.sparkSession
     scope = {**scope, **{k: v for k, v in (("doc_type", q.doc_type), ("page", q.page)) if v is not None}}
@@ -386,8 +396,9 @@ def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[floa
     dense = mine(dense_topk(base, vector, floor=_least(floor, mode))) if vector is not None and mode != "fts_only" else None
     sparse = mine(sparse_topk(base, q.words)) if mode != "vector_only" else None
     first, score = _reranking(mode, rerank, reranker)
-    hits = F.broadcast(_hits(spark, dense, sparse))  # at most the rows of both legs
-    return _finished(base, hits, _parsed(spark, [(0, q)]), mode, effective_limit(limit, rerank_top_k), first, score).drop("query_id")
+    parsed = _parsed(spark, [(0, q)])
+    hits = F.broadcast(_hits(base, parsed, bool(q.negative), dense, sparse))  # at most the rows of both legs
+    return _finished(base, hits, parsed, mode, effective_limit(limit, rerank_top_k), first, score).drop("query_id")
 
 
 def search(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, **options: object) -> DataFrame:
@@ -395,6 +406,15 @@ def search(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float
     return explain(chunks, query, workspace, vector, **options).drop("rank", "dense_rank", "sparse_rank")
 
 
+def blocks_of(queries: DataFrame, size: int | None = None) -> Iterator[list]:
+    """The rows of a table of queries (query_id), about `QUERIES` at a time."""
+    blocks = max(1, -(-queries.count() // (size or QUERIES)))
+    for i in range(blocks):
+        rows = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries).collect()
+        if rows or blocks == 1:
+            yield rows
+
+
 def search_batch(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", limit: int = LIMIT, floor: float | None = None, rerank: bool = False, reranker: str | None = None, rerank_top_k: int | None = None, allowed: Sequence[str] = ("*",), include_superseded: bool = False, include_low_ocr: bool = False) -> DataFrame:
     """`explain` for a table of queries (query_id, text, workspace and, for the dense leg, embedding): one scan of the chunks for `QUERIES` queries.
 
@@ -402,23 +422,20 @@ def search_batch(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", li
     """
     mode, spark = MODES.get(mode, "rrf"), chunks.sparkSession
     has_vector = "embedding" in queries.columns and mode != "fts_only"
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES))
     base = readable(chunks, include_superseded, include_low_ocr)
     first, score = _reranking(mode, rerank, reranker)
     out = []
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        rows = block.select("query_id", "text", "workspace", *(["embedding"] if has_vector else [])).collect()  # about QUERIES rows
+    for rows in blocks_of(queries.select("query_id", "text", "workspace", *(["embedding"] if has_vector else []))):
         if refused := sorted({r["workspace"] for r in rows} - set(allowed)) if "*" not in allowed else []:
             raise PermissionError(f"no access to workspaces {', '.join(refused)}")
         asked = [(r["query_id"], parse_query(r["text"]), r["workspace"], r["embedding"] if has_vector else None) for r in rows]
         sizes = {len(v) for *_, v in asked if v is not None}
-        if sizes:
-            _guarded(base, max(sizes))
+        for size in sizes:
+            _guarded(base, size)
         dense, sparse = batch_legs(base, asked, _least(floor, mode))
-        hits = _hits(spark, dense if sizes else None, sparse if mode != "vector_only" else None)
-        out.append(_finished(base, hits, _parsed(spark, [(k, q) for k, q, _, _ in asked]), mode, effective_limit(limit, rerank_top_k), first, score))
+        parsed = _parsed(spark, [(k, q) for k, q, _, _ in asked])
+        hits = _hits(base, parsed, any(q.negative for _, q, _, _ in asked), dense if sizes else None, sparse if mode != "vector_only" else None)
+        out.append(_finished(base, hits, parsed, mode, effective_limit(limit, rerank_top_k), first, score))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine, dot, pack, sigmoid, unpack
-from quillspark.operators import chunker, corpus, embedding, evals, packs, search, structure
+from quillspark.operators import chunker, corpus, embedding, evals, packs, postings, search, structure, versions
 from quillspark.sources import files, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,9 +121,9 @@ def filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.scoped(chunks(spark, sf_dir), "src0", page=3).select("chunk_id", "page")
 
 
-@query("filter_filename", f"WITH {SCOPED} SELECT chunk_id, filename FROM base WHERE filename = 'doc_23.txt'")
+@query("filter_filename", f"WITH {SCOPED} SELECT chunk_id, filename FROM base WHERE filename = 'doc_20.txt'")
 def filter_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.scoped(chunks(spark, sf_dir), "src0", filename="doc_23.txt").select("chunk_id", "filename")
+    return search.scoped(chunks(spark, sf_dir), "src0", filename="doc_20.txt").select("chunk_id", "filename")
 
 
 @query("filter_doc_id", f"WITH {SCOPED} SELECT chunk_id, workspace FROM base WHERE chunk_id = 20")
@@ -162,11 +163,15 @@ SPARSE_TOP = f"SELECT chunk_id, ({SPARSE})::DOUBLE AS hits FROM base WHERE ({SPA
 SPARSE_LEG = f"s AS (SELECT chunk_id, hits, row_number() OVER (ORDER BY hits DESC, chunk_id) AS sparse_rank FROM ({SPARSE_TOP}))"
 
 
-@query("neg_term", f"WITH {SCOPED}, {SPARSE_LEG} SELECT s.chunk_id, sparse_rank FROM s JOIN base USING (chunk_id) WHERE NOT contains(lower(concat(content, ' ', header)), 'section 2.1')")
+NEG = "section 2.1"
+
+
+@query("neg_term", f"WITH {SCOPED} SELECT chunk_id, row_number() OVER (ORDER BY hits DESC, chunk_id) AS sparse_rank FROM ({SPARSE_TOP}) JOIN base USING (chunk_id) WHERE NOT contains(lower(concat(content, ' ', header)), '{NEG}')")
 def neg_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = search.scoped(chunks(spark, sf_dir), "src0")
-    top = search.sparse_topk(base, search.parse_query(TEXT).words)
-    return search.without_terms(base.join(F.broadcast(top), "chunk_id"), ["section 2.1"]).select("chunk_id", "sparse_rank")
+    top = search.sparse_topk(base, search.parse_query(TEXT).words).withColumn("query_id", F.lit(0))
+    negative = spark.range(1).select(F.lit(0).alias("query_id"), F.array(F.lit(NEG)).alias("_negative"))
+    return search.without_negated(base, top, negative, "hits", "sparse_rank").select("chunk_id", "sparse_rank")
 
 
 @query("header_regex", f"WITH {SCOPED}, {SPARSE_LEG} SELECT s.chunk_id, header FROM s JOIN base USING (chunk_id) WHERE regexp_matches(concat_ws(' ', header, locator), '(?i)SECTION [12]\\.')")
@@ -276,10 +281,13 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 HYBRID = TEXT + ' "of the" -worthless'
 
 
-def _sparse_leg(text: str) -> str:
+def _sparse_leg(text: str, without: str) -> str:
     hits = " + ".join(f"(contains(lower(concat_ws(' ', content, header, locator)), '{w}'))::INT" for w in search.parse_query(text).words)
     top = f"SELECT chunk_id, ({hits})::DOUBLE AS hits FROM base WHERE ({hits}) > 0 ORDER BY hits DESC, chunk_id LIMIT 25"
-    return f"s AS (SELECT chunk_id, hits, row_number() OVER (ORDER BY hits DESC, chunk_id) AS sparse_rank FROM ({top}))"
+    return f"s AS (SELECT chunk_id, hits, row_number() OVER (ORDER BY hits DESC, chunk_id) AS sparse_rank FROM ({top}) JOIN base USING (chunk_id) WHERE {without})"
+
+
+NOT_WORTHLESS = "NOT contains(lower(concat(content, ' ', header)), 'worthless')"
 
 
 def _distinct_sql(source: str, limit: int) -> str:
@@ -294,8 +302,9 @@ picked AS (SELECT * FROM cand WHERE list_contains((SELECT ids FROM g ORDER BY p
 
 @query(
     "hybrid_search",
-    f"""WITH RECURSIVE {SCOPED}, {DENSE_LEG}, {_sparse_leg(HYBRID)}, f AS (SELECT chunk_id, sim, dense_rank, hits, sparse_rank, coalesce(1 / (60.0::DOUBLE + dense_rank), 0) + coalesce(1 / (60.0::DOUBLE + sparse_rank), 0) AS rrf FROM d FULL JOIN s USING (chunk_id)),
-h AS (SELECT f.*, base.* EXCLUDE (chunk_id), contains(lower(content), 'of the') OR contains(lower(concat_ws(' ', header, locator)), 'of the') AS ph FROM f JOIN base USING (chunk_id) WHERE NOT contains(lower(concat(content, ' ', header)), 'worthless')),
+    f"""WITH RECURSIVE {SCOPED}, {Q0}, d AS (SELECT chunk_id, sim, row_number() OVER (ORDER BY sim DESC, chunk_id) AS dense_rank FROM ({DENSE_TOP}) JOIN base USING (chunk_id) WHERE {NOT_WORTHLESS}),
+{_sparse_leg(HYBRID, NOT_WORTHLESS)}, f AS (SELECT chunk_id, sim, dense_rank, hits, sparse_rank, coalesce(1 / (60.0::DOUBLE + dense_rank), 0) + coalesce(1 / (60.0::DOUBLE + sparse_rank), 0) AS rrf FROM d FULL JOIN s USING (chunk_id)),
+h AS (SELECT f.*, base.* EXCLUDE (chunk_id), contains(lower(content), 'of the') OR contains(lower(concat_ws(' ', header, locator)), 'of the') AS ph FROM f JOIN base USING (chunk_id)),
 n AS (SELECT *, rrf + CASE WHEN ph THEN 0.10::DOUBLE ELSE 0 END AS total FROM h), o AS (SELECT *, row_number() OVER (ORDER BY total DESC, hits DESC NULLS LAST, sim DESC NULLS LAST, chunk_id) AS position FROM n),
 {_distinct_sql('o', 5)} SELECT position, chunk_id, round(total, 5) AS score, concat(filename, ' p.', page, ' ', header) AS citation,
 concat_ws(',', 'dense_rank_' || dense_rank, 'sparse_rank_' || sparse_rank, CASE WHEN ph THEN 'quoted_phrase_match' END) AS reasons FROM picked""",
@@ -314,7 +323,7 @@ def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.distinct_hits(search.reranked(base.drop("embedding").join(F.broadcast(hits), "chunk_id"), TEXT), 20).select("position", "chunk_id")
 
 
-ASKED = ["thing eror onhentha", "the and worthless the", "con que los", "der und die"]
+ASKED = ["thing eror onhentha", "the and worthless the", "con que los", "der und die -keit"]
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +356,53 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_batch(chunks(spark, sf_dir, True), _queries(spark, sf_dir), floor=0.05).select("query_id", "rank", "chunk_id", "score", "citation")
 
 
+# A stored index. Every document whose id is divisible by 20 asks for its first four words.
+
+INDEXED = [("header", 2.0), ("heading_path", 1.5), ("content", 1.0)]
+TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+ASKING = f"q AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) AS i, len(t) AS need FROM (SELECT doc_id AS query_id, list_distinct({TOKENS.format('text')}[1:4]) AS t FROM documents WHERE doc_id % 20 = 0))"
+
+
+def _indexed(spark: SparkSession, sf_dir: str, ask: Callable[[postings.Index, list], DataFrame]) -> DataFrame:
+    """Builds an index of all chunks in the shared folder, and asks it."""
+    index = postings.Index(spark, versions.scratch(spark, "index"), [f for f, _ in INDEXED], [w for _, w in INDEXED], "plain", parts=2, buckets=8)
+    index.put(chunks(spark, sf_dir).select("doc_id", "chunk_id", *index.fields))
+    asking = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)), 1, 4).alias("words"))
+    return reduce(DataFrame.unionByName, [ask(index, [tuple(r) for r in rows]) for rows in search.blocks_of(asking)])
+
+
+BM25_POSTINGS = f"""WITH {CHUNKS}, {ASKING}, w AS (SELECT chunk_id, unnest({TOKENS.format('header')}) AS term, 3.5::DOUBLE AS w, 2 AS n FROM chunks
+UNION ALL SELECT chunk_id, unnest({TOKENS.format('content')}), 1.0, 1 FROM chunks), len AS (SELECT chunk_id, sum(n) AS len FROM w GROUP BY chunk_id),
+st AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT sum(len) FROM len) / (SELECT count(*) FROM chunks) AS mean), tf AS (SELECT chunk_id, term, sum(w) AS tf FROM w GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sc AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS bm25
+FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (chunk_id), st GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS bm25_rank FROM sc) WHERE bm25_rank <= 10"""
+
+
+@query("bm25_postings", BM25_POSTINGS)
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks of the queries' terms are scored."""
+    return _indexed(spark, sf_dir, lambda index, asked: index.bm25(asked, 10, pruned=False))
+
+
+@query("bm25_pruned", BM25_POSTINGS)
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the blocks that can reach the best ten."""
+    return _indexed(spark, sf_dir, lambda index, asked: index.bm25(asked, 10))
+
+
+@query(
+    "cover_density",
+    f"""WITH {CHUNKS}, {ASKING}, e AS (SELECT query_id, chunk_id, need, i, p, row_number() OVER o AS j FROM q JOIN (SELECT chunk_id, unnest(t) AS term, generate_subscripts(t, 1) AS p FROM (SELECT chunk_id, {TOKENS.format('content')} AS t FROM chunks)) USING (term) WINDOW o AS (PARTITION BY query_id, chunk_id ORDER BY p)),
+l AS (SELECT query_id, chunk_id, p, j, least({', '.join(f'CASE WHEN need < {i} THEN 1::BIGINT << 60 ELSE coalesce(max(CASE WHEN i = {i} THEN (p::BIGINT << 30) + j END) OVER o, -1) END' for i in range(1, 5))}) AS low FROM e WINDOW o AS (PARTITION BY query_id, chunk_id ORDER BY p)),
+c AS (SELECT query_id, chunk_id, low, min(p) AS p, min(j) AS j FROM l WHERE low >= 0 GROUP BY ALL),
+d AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (p - (low >> 30)) - (j - (low & ((1::BIGINT << 30) - 1))))), 6) AS density FROM c GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, chunk_id) AS density_rank FROM d) WHERE density_rank <= 25""",
+)
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, lambda index, asked: index.cover_density(asked, 25))
+
+
 CARTRIDGE = "SELECT chunk_id, bm25_rank, bm25, doc_type, workspace FROM b JOIN base USING (chunk_id)"
 
 

@@ -25,6 +25,8 @@ def test_operators_leave_the_text():
     assert (q.doc_type, q.page, q.header_regex, q.negative, q.phrases, q.section) == ("authority", 2, "1950", ("draft",), ("in excess",), "1950.5")
     assert "doc_type" not in q.text and "-draft" not in q.text
     assert search.parse_query("-x").text == "-x"
+    q = search.parse_query("header:'Article IV' rent")
+    assert (q.header_regex, q.text) == ("Article IV", "rent")
 
 
 @pytest.mark.parametrize("pattern", ["header:[", "header:" + "a" * 121])
@@ -46,6 +48,16 @@ def test_negation_filters_after_the_top_k(chunks):
     assert ids(search.search(chunks, "tenant rent deposit -draft", "a", mode="fts")) == [3, 2]
 
 
+def test_negated_hits_take_no_rank(spark, chunks):
+    """Three hits that would come first are negated: the best of the others has rank 1 in both legs."""
+    chunks = chunks.withColumns({"content": F.when(F.col("chunk_id") < 4, F.concat("content", F.lit(" deposit landlord Gone"))).otherwise(F.col("content")), "embedding": F.expr(VECTOR)})
+    vector = [float(x) for x in chunks.where("chunk_id = 3").first()["embedding"]]
+    found = search.explain(chunks, "deposit landlord month demand -gone", "a", vector, floor=-1.0).collect()
+    assert [(r["chunk_id"], r["dense_rank"], r["sparse_rank"], r["score"]) for r in found] == [(5, 1, 1, round(2 / 61, 5))]
+    queries = spark.createDataFrame([(7, "deposit landlord month demand -gone", "a", vector)], "query_id long, text string, workspace string, embedding array<float>")
+    assert rows_of(search.search_batch(chunks, queries, floor=-1.0)) == rows_of(search.explain(chunks, "deposit landlord month demand -gone", "a", vector, floor=-1.0))
+
+
 def test_boosts_are_capped(chunks):
     hits = search.search(chunks, '"in excess" "one month" Section 1950.5', "a").collect()
     assert max(r["boost"] for r in hits) == pytest.approx(0.12)
@@ -97,6 +109,9 @@ def test_a_table_of_queries_gives_what_single_queries_give(spark, chunks, monkey
 def test_vectors_of_another_length_are_refused(chunks):
     with pytest.raises(ValueError, match="dimensions"):
         search.search(chunks.withColumn("embedding", F.expr(VECTOR)), "deposit", "a", [1.0, 2.0])
+    for odd in (1, 5):  # any row of the scope, not the first alone
+        with pytest.raises(ValueError, match="dimensions"):
+            search.search(chunks.withColumn("embedding", F.when(F.col("chunk_id") == odd, F.expr("array(1f, 0f)")).otherwise(F.expr(VECTOR))), "deposit", "a", [1.0, 2.0, 0.0, 0.0])
 
 
 def test_rerankers(chunks):
