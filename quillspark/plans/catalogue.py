@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine, dot, pack, sigmoid, unpack
-from quillspark.operators import chunker, corpus, embedding, evals, packs, postings, search, structure, versions
+from quillspark.operators import chunker, corpus, embedding, evals, overlap, packs, postings, search, structure, versions
 from quillspark.sources import files, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,6 +323,19 @@ def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.distinct_hits(search.reranked(base.drop("embedding").join(F.broadcast(hits), "chunk_id"), TEXT), 20).select("position", "chunk_id")
 
 
+@query(
+    "near_dup_pairs",
+    f"""WITH {CHUNKS}, s AS (SELECT chunk_id, list_sort(list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')[1:60])) AS w FROM chunks),
+g AS (SELECT w, min(chunk_id) AS set_id, count(*) AS copies FROM s GROUP BY w),
+p AS (SELECT a.set_id AS a, b.set_id AS b FROM g a JOIN g b ON a.set_id < b.set_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) > 0.85),
+n AS (SELECT set_id, count(*) AS n_links FROM (SELECT a AS set_id FROM p UNION ALL SELECT b FROM p) GROUP BY set_id)
+SELECT chunk_id, set_id, copies, coalesce(n_links, 0) AS n_links FROM s JOIN g USING (w) LEFT JOIN n USING (set_id)""",
+)
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir)
+    return overlap.members(rows, overlap.near_dup_pairs(rows)[1])
+
+
 ASKED = ["thing eror onhentha", "the and worthless the", "con que los", "der und die -keit"]
 
 
