@@ -34,6 +34,8 @@ BLOCK = 8
 PERIOD = 1 << 16
 #: Sources of a mixture, at most: each has a row on the driver.
 SOURCES = 100_000
+#: Numbers of kept ends, at most: beyond it every other end goes.
+KEPT = 1 << 21
 #: Default weights are the sources' sizes to this power: large sources shrink a little against small ones.
 TEMPER = 0.9
 _NONE = "\x00none"
@@ -69,24 +71,45 @@ def period_of(whole: list[int]) -> int:
     return PERIOD // total * total if 0 < total <= PERIOD else PERIOD
 
 
-def ends(whole: list[int], needed: list[int], period: int) -> list[list[int]]:
-    """Halves done of each source before every ``period`` slots, until each has done what it needs.
+def next_end(done: list[int], whole: list[int], total: int, at: int) -> list[int]:
+    """Halves done of each source by slot ``at``, a period's end, from those by the end before.
 
-    A half that is done stays done: at each end come the halves that are due by then, those taken ahead at an earlier end, and then the
+    A half that is done stays done: first come the halves that are due by then, those taken ahead at an earlier end, and then the
     next halves of earliest deadline. There are always enough slots for the first two, as each lacks less than its own share of the rest.
     """
-    total, out, at = sum(whole), [[0] * len(whole)], 0
-    while any(d < n for d, n in zip(out[-1], needed, strict=True)):
-        at += period
-        done = [max(d, w * at // total) for d, w in zip(out[-1], whole, strict=True)]
-        free = [s for s, w in enumerate(whole) if w * at % total and done[s] == w * at // total]
-        free.sort(key=lambda s: (-(-(done[s] + 1) * total // whole[s]), s))
-        for s in free[: at - sum(done)]:
-            done[s] += 1
-        out.append(done)
+    out = [max(d, w * at // total) for d, w in zip(done, whole, strict=True)]
+    free = [s for s, w in enumerate(whole) if w * at % total and out[s] == w * at // total]
+    free.sort(key=lambda s: (-(-(out[s] + 1) * total // whole[s]), s))
+    for s in free[: at - sum(out)]:
+        out[s] += 1
     return out
 
 
+def ends(whole: list[int], needed: list[int], period: int) -> Iterator[list[int]]:
+    """Halves done of each source before every ``period`` slots, until each has done what it needs."""
+    total, done, at = sum(whole), [0] * len(whole), 0
+    yield done
+    while any(d < n for d, n in zip(done, needed, strict=True)):
+        at += period
+        done = next_end(done, whole, total, at)
+        yield done
+
+
+def kept_ends(whole: list[int], needed: list[int], period: int, most: int | None = None) -> tuple[list[list[int]], int, int, int, list[int]]:
+    """Every so many-th end, how many periods lie between two of them, the number of periods, and what `finish` gives."""
+    out, every, n, before, done = [], 1, -1, [0] * len(whole), [0] * len(whole)
+    for n, end in enumerate(ends(whole, needed, period)):
+        before, done = done, end
+        if n % every == 0:
+            out.append(end)
+        if len(out) * len(whole) > (KEPT if most is None else most) and len(out) > 1:
+            out, every = out[::2], 2 * every
+    if n < 1:
+        return out, every, 0, -1, done
+    last, most_done = finish([before, done], needed, period)
+    return out, every, n, (n - 1) * period + last, most_done
+
+
 def fill(counts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
     """(source, its i-th half, slot, release, deadline) for sum(counts) slots, earliest deadline first."""
     total = sum(counts)
@@ -135,18 +158,25 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     names, whole = list(share), list(share.values())
     needed = [-(-counts[s] // half) for s in names]
     period = period_of(whole)
-    edges = ends(whole, needed, period)
-    last, most = finish(edges, needed, period)
+    edges, every, n_periods, last, most = kept_ends(whole, needed, period)
+    total = sum(whole)
+
+    def steps(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int]]]:
+        for first, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p in range(first, min(first + every, n_periods)):
+                high = next_end(low, whole, total, (p + 1) * period)
+                yield p, low, high
+                low = high  # noqa: PLW2901
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), *[pa.int64()] * 4]
         for batch in batches:
-            for p, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, low, high in steps(batch):
                 start = p * period
                 rows = [(names[s], low[s] + i, start + t, start + r, start + d) for s, i, t, r, d in islice(fill([b - a for a, b in zip(low, high, strict=True)]), max(0, last + 1 - start))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_s", "_half", "slot", "release", "deadline"])
 
-    periods = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "p long, low array<long>, high array<long>")
+    periods = spark.createDataFrame([(i * every, e) for i, e in enumerate(edges) if i * every < n_periods], "p long, low array<long>")
     of_slot = in_batches(periods.repartition(max(1, min(len(edges), 4096)), "p"), slots, "_s string, _half long, slot long, release long, deadline long")
     # a row for each source, `SOURCES` at most
     of_source = spark.createDataFrame([(s, counts[s], most[j] * half) for j, s in enumerate(names)], "_s string, _n long, _most long")

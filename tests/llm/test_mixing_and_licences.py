@@ -56,7 +56,7 @@ def test_ends_of_periods_keep_the_exact_weights():
         whole = [rng.choice([1, 1, 2, 3, 7, 50, 1000, 12345]) for _ in range(rng.randint(1, 9))]
         period, total = rng.choice([1, 2, 5, 16, 64, 257]), sum(whole)
         needed = [max(1, 2000 * w // total) for w in whole]
-        edges, done, at = mixing.ends(whole, needed, period), [0] * len(whole), 0
+        edges, done, at = list(mixing.ends(whole, needed, period)), [0] * len(whole), 0
         for low, high in zip(edges, edges[1:], strict=False):
             assert done == low
             for s, i, t, release, deadline in mixing.fill([b - a for a, b in zip(low, high, strict=True)]):
@@ -74,12 +74,26 @@ def test_a_tiny_source_keeps_its_weight():
     share = mixing.shares(mixing.tempered(counts))
     whole, needed = list(share.values()), [250_000, 1]
     period = mixing.period_of(whole)
-    edges = mixing.ends(whole, needed, period)
+    edges = list(mixing.ends(whole, needed, period))
     last, most = mixing.finish(edges, needed, period)
     assert most[1] <= 2 and 250_000 <= last < 2 * 250_000
     assert abs(edges[-1][1] - (len(edges) - 1) * period * whole[1] / sum(whole)) < 1
 
 
+def test_few_kept_ends_give_the_same_mixture(spark, docs, monkeypatch):
+    """Many short periods, of which the driver keeps a few ends: tasks step on from these."""
+    few = docs.select("doc_id", "source").where("doc_id < 400")
+    monkeypatch.setattr(mixing, "PERIOD", 16)
+    shown = lambda: sorted(map(str, mixing.mixture(few, {f"src{i}": i + 1.0 for i in range(20)}).collect()))
+    want = shown()
+    monkeypatch.setattr(mixing, "KEPT", 60)
+    assert shown() == want and len(want) >= 400
+    whole, needed = [5, 3, 1], [900, 500, 200]
+    edges = list(mixing.ends(whole, needed, 9))
+    kept, every, n, last, most = mixing.kept_ends(whole, needed, 9, 30)
+    assert len(kept) * 3 <= 30 and every > 1 and kept == edges[::every] and n == len(edges) - 1 and (last, most) == mixing.finish(edges, needed, 9)
+
+
 def test_the_whole_table(spark, sf_dir, docs):
     from quillspark.llm import entries
 
