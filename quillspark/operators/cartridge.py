@@ -1,13 +1,14 @@
 """Cartridges: a corpus of documents and embedded chunks in a folder, with a manifest that names the model; built by Spark, searched by BM25 and cosine.
 
 `documents` has doc_id, title, jurisdiction, source_table and any others; `chunks` has chunk_id, doc_id, chunk_index, filename, header, locator,
-heading_path, content, citation, char_start, char_end, embedding. Defined cases: rows of a key that the cartridge has already replace it; a
+heading_path, content, citation, char_start, char_end, embedding. `write` also makes a lexical index (stems, three fields), from which `find` takes its candidates; a
+cartridge without one is searched by a scan of its texts. Defined cases: rows of a key that the cartridge has already replace it; a
 query without a lexical hit falls back to a scan of the first chunks; equal scores go by chunk_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.errors import CartridgeError
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine
-from quillspark.operators import chunker, embedding, search
+from quillspark.operators import chunker, embedding, postings, search
 
 # Pool of lexical candidates, weight of their rank, and least lengths of source texts.
 POOL, BONUS, CASE_CHARS, CODE_CHARS = 300, 0.05, 50, 30
@@ -31,6 +32,11 @@ class Cartridge:
     dimension: int
     n_documents: int
     n_chunks: int
+    index: postings.Index | None = None
+
+
+def _index(spark: SparkSession, path: str) -> postings.Index:
+    return postings.Index(spark, f"{path}/index")
 
 
 def write(documents: DataFrame, chunks: DataFrame, path: str, embed_model: str, dimension: int) -> None:
@@ -38,6 +44,7 @@ def write(documents: DataFrame, chunks: DataFrame, path: str, embed_model: str,
     spark = documents.sparkSession
     documents.write.mode("errorifexists").parquet(f"{path}/documents")
     chunks.write.mode("errorifexists").parquet(f"{path}/chunks")
+    _index(spark, path).put(spark.read.parquet(f"{path}/chunks").select("doc_id", "chunk_id", *postings.FIELDS))
     n, m = (spark.read.parquet(f"{path}/{t}").count() for t in ("documents", "chunks"))
     spark.createDataFrame([(embed_model, dimension, n, m)], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
@@ -58,7 +65,8 @@ def open_cartridge(spark: SparkSession, path: str, embed_model: str | None = Non
         raise CartridgeError(f"the cartridge at {path} is incomplete")
     if embed_model is not None and embed_model != manifest["embed_model"]:
         raise CartridgeError(f"the cartridge was made with {manifest['embed_model']}, not {embed_model}")
-    return Cartridge(documents, chunks, **manifest.asDict())
+    index = _index(spark, path)
+    return Cartridge(documents, chunks, **manifest.asDict(), index=index if index.store.version().number else None)
 
 
 def bundle(cartridge: Cartridge, path: str) -> None:
@@ -83,8 +91,12 @@ def find(cartridge: Cartridge, query: str, vector: Sequence[float], jurisdiction
     rows = cartridge.chunks.join(docs, "doc_id")
     if terms is None:
         terms = spark.createDataFrame([(query,)], "q string").select(T.match_terms(F.col("q"))).first()[0]
-    full = rows.select("chunk_id", F.concat_ws(" ", "citation", F.concat_ws(" ", "heading_path"), "content").alias("content"))
-    best = search.bm25_topk(full, terms, pool) if terms else None
+    if terms and cartridge.index is not None:
+        within = rows.select("chunk_id") if jurisdiction or source_table else None
+        best = cartridge.index.bm25([(0, terms)], pool, within).drop("query_id")
+    else:
+        full = rows.select("chunk_id", F.concat_ws(" ", "citation", F.concat_ws(" ", "heading_path"), "content").alias("content"))
+        best = search.bm25_topk(full, terms, pool) if terms else None
     q = F.array(*[F.lit(float(x)) for x in vector])
     near = F.coalesce(cosine(F.col("embedding"), q), F.lit(0.0))
     if best is not None and not best.isEmpty():
@@ -107,10 +119,55 @@ def codes(rows: DataFrame, data_type: str) -> DataFrame:
     return rows.where((F.col("data_type") == data_type) & (F.length("content") > CODE_CHARS)).withColumnRenamed("content", "text")
 
 
-def read_sql(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int, **options: str) -> DataFrame:
-    """A table of a database in ``parts`` ranges of an integer key; filters on the result go to the database."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts), fetchsize="1000")
-    return reader.options(**options).load()
+def key_ranges(counts: Callable[[int, int, int], Sequence[tuple[int, int]]], low: int, high: int, parts: int, steps: int = 4096) -> list[tuple[int, int]]:
+    """About ``parts`` ranges (from, to; both included) of an integer key with near equal numbers of rows.
+
+    ``counts(low, high, width)`` gives (step, rows) of the steps of ``width`` keys from ``low`` to ``high``. A step with more rows than a range should have is
+    counted again in finer steps, until it has one key. At most ``steps`` counts come at a time.
+    """
+    width = max(1, -(-(high - low + 1) // steps))
+    found = [(low + s * width, min(low + (s + 1) * width - 1, high), n) for s, n in sorted(counts(low, high, width))]
+    share = max(1, -(-sum(n for *_, n in found) // parts))
+    while any(n > share and b > a for a, b, n in found):
+        finer = []
+        for a, b, n in found:
+            if n > share and b > a:
+                w = max(1, -(-(b - a + 1) // steps))
+                finer += [(a + s * w, min(a + (s + 1) * w - 1, b), m) for s, m in sorted(counts(a, b, w))]
+            else:
+                finer.append((a, b, n))
+        found = finer
+    out, held = [[low, low]], 0
+    for a, b, n in found:
+        if held and held + n > share:
+            out.append([a, b])
+            held = 0
+        out[-1][1] = b
+        held += n
+    return [(a, next_[0] - 1 if next_ else high) for (a, _), next_ in zip(out, [*out[1:], None], strict=True)]
+
+
+def read_sql(spark: SparkSession, url: str, table: str, key: str, parts: int, where: str = "", **options: str) -> DataFrame:
+    """A table of a database in about ``parts`` ranges of an integer key, near equal in rows however the keys are spread; rows without a key are in the first.
+
+    The database counts the rows for the ranges; filters on the result, and ``where``, go to it.
+    """
+    reader = lambda: spark.read.format("jdbc").options(url=url, fetchsize="1000", **options)
+    rows = f"{table} t WHERE {where}" if where else f"{table} t WHERE 1 = 1"
+    ask = lambda sql: reader().option("query", sql).load().collect()  # noqa: E731 - at most a row for each of the steps
+    low, high = ask(f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {rows}")[0]
+    whole = f"(SELECT * FROM {rows}) t"
+    if low is None or parts < 2:
+        return reader().option("dbtable", whole).load()
+
+    def counts(a: int, b: int, width: int) -> list[tuple[int, int]]:
+        step = f"({key} - ({a})) / {width}"  # of integers, so an integer
+        found = ask(f"SELECT s, COUNT(*) AS n FROM (SELECT {step} AS s FROM {rows} AND {key} BETWEEN {a} AND {b}) x GROUP BY s")
+        return [(int(r[0]), int(r[1])) for r in found]
+
+    ranges = key_ranges(counts, int(low), int(high), parts)
+    predicates = [f"{key} BETWEEN {a} AND {b}" + (f" OR {key} IS NULL" if i == 0 else "") for i, (a, b) in enumerate(ranges)]
+    return spark.read.jdbc(url, whole, predicates=predicates, properties={"fetchsize": "1000", **options})
 
 
 def forge(rows: DataFrame, done: DataFrame | None = None, backend: str = "deterministic", dimension: int = 1024) -> tuple[DataFrame, DataFrame]:

@@ -341,7 +341,7 @@ def _parsed(spark: SparkSession, queries: Sequence[tuple[int, ParsedQuery]]) ->
     return F.broadcast(spark.createDataFrame(rows, "query_id long, _text string, _negative array<string>, _phrases array<string>, _section string, _header string"))
 
 
-def _finished(base: DataFrame, hits: DataFrame, queries: DataFrame, mode: str, limit: int, first: int, score: Callable[[str, Sequence[str]], Sequence[float]] | None) -> DataFrame:
+def _finished(base: DataFrame, hits: DataFrame, queries: DataFrame, mode: str, limit: int, first: int, score: Callable[[str, Sequence[str]], Sequence[float]] | None, full: bool = False) -> DataFrame:
     """From fused hits (query_id, chunk_id, ranks, rrf) to results: boosts, header pattern, order, rerank, deduplication, citation."""
     if mode in ("vector_only", "fts_only"):
         hits = hits.withColumn("rrf", F.col("sim" if mode == "vector_only" else "hits"))
@@ -352,11 +352,49 @@ def _finished(base: DataFrame, hits: DataFrame, queries: DataFrame, mode: str, l
     out = distinct_hits(rows.drop("_negative", "_phrases", "_section", "_header"), limit)
     reason = lambda c, name: F.when(F.col(c), name)
     reasons = F.array_compact(F.array(F.concat(F.lit("dense_rank_"), F.col("dense_rank")), F.concat(F.lit("sparse_rank_"), F.col("sparse_rank")), reason("section_boost", "section_locator_match"), reason("content_boost", "statutory_token_boost"), reason("phrase_boost", "quoted_phrase_match"), F.when(F.col("rerank_score").isNotNull(), "cross_encoder_rerank")))
+    if full:
+        return contract(out.withColumn("match_reasons", reasons))
     cite = T.citation(F.col("filename"), F.col("page"), F.col("locator"), F.col("header"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("position")).cast("long")
     return out.select("query_id", place.alias("rank"), "position", "chunk_id", F.coalesce(F.round("rerank_score", 6), F.round("rrf", 5)).alias("score"), cite.alias("citation"), "sim", "hits", "dense_rank", "sparse_rank", "boost", reasons.alias("match_reasons"), F.substring("content", 1, 140).alias("snippet"))
 
 
+#: Columns that chunks may have beside those that a search needs, for `contract`.
+OPTIONAL = {"doc_id": "long", "chunk_index": "int", "pdf_page": "int", "printed_page": "string", "citation": "string", "char_start": "int", "char_end": "int", "bbox": "array<double>", "confidence": "double", "file_hash": "string"}
+
+
+def contract(hits: DataFrame) -> DataFrame:
+    """Finished hits with every field of the hit contract, and query_id and rank; what the chunks don't have is null."""
+    for name, kind in OPTIONAL.items():
+        if name not in hits.columns:
+            hits = hits.withColumn(name, F.lit(None).cast(kind))
+    c = F.col
+    page = F.coalesce("pdf_page", c("page").cast("int"))
+    place = T.locator(page, c("locator"), c("header"))
+    span = F.when(c("char_start").isNotNull() & c("char_end").isNotNull(), F.array("char_start", "char_end"))
+    header = F.when(c("header") != "General", c("header"))
+    whole = let(place, lambda p: F.struct(p["kind"].alias("kind"), c("page").cast("int").alias("page"), page.alias("pdf_page"), c("printed_page"), p["path"].alias("path"), span.alias("char_span"), c("bbox"), F.nullif(header, F.lit("")).alias("header"), p["formatted"].alias("formatted")))
+    score = F.coalesce(F.round("rerank_score", 6), F.round("rrf", 5))
+    cite = T.citation(c("filename"), c("page"), c("locator"), c("header"), c("printed_page"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("position")).cast("long")
+    reranked_at = F.when(c("rerank_score").isNotNull(), c("position"))
+    vector = F.struct(c("sim").alias("dense_score"), c("hits").alias("sparse_score"), c("dense_rank").alias("vector_rank"), c("sparse_rank").alias("fts_rank"), F.round("rrf", 5).alias("rrf_score"), "section_boost", "phrase_boost", score.alias("final_score"), F.round("rerank_score", 5).alias("rerank_score"), reranked_at.alias("rerank_rank"))
+    both = c("phrase_boost") | c("content_boost")
+    rows = hits.withColumn("_l", whole)
+    return rows.select(
+        "query_id", rank.alias("rank"), F.lit("1.0").alias("schema_version"), F.coalesce(F.nullif("citation", F.lit("")), cite).alias("citation"), c("page").cast("int").alias("page_number"), page.alias("pdf_page"), "printed_page",
+        "header", "locator", c("_l").alias("structured_locator"), score.alias("score"), c("content").alias("text"), c("doc_id").alias("document_id"), "chunk_id", "filename", "workspace", "chunk_index",
+        c("sim").alias("dense_score"), c("hits").alias("sparse_score"), c("dense_rank").alias("vector_rank"), c("sparse_rank").alias("fts_rank"), "section_boost", both.alias("lexical_boost"), both.alias("phrase_boost"),
+        F.when(F.size("heading_path") > 0, c("heading_path")).otherwise(c("_l.path")).alias("heading_path"), "match_reasons", "char_start", "char_end", "bbox", "confidence", c("confidence").alias("ocr_mean_confidence"),
+        c("confidence").isNotNull().alias("used_ocr"), "source_hash", "file_hash", "doc_type", vector.alias("score_vector"),
+    )
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once in each row and uses it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _guarded(base: DataFrame, size: int) -> None:
     """Refuses a query vector if any vector of the scope has another length."""
     sizes = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
@@ -384,9 +422,9 @@ def _least(floor: float | None, mode: str) -> float:
     return floor if floor is not None else (0.15 if mode == "vector_only" else 0.45)
 
 
-def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, mode: str = "hybrid", limit: int = LIMIT, floor: float | None = None, rerank: bool = False, reranker: str | None = None, rerank_top_k: int | None = None, **scope: object) -> DataFrame:
+def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, mode: str = "hybrid", limit: int = LIMIT, floor: float | None = None, rerank: bool = False, reranker: str | None = None, rerank_top_k: int | None = None, full: bool = False, **scope: object) -> DataFrame:
     """Ranked hits with citation, both ranks, score breakdown, reasons and snippet, by the stages: scope, two top-k legs, negation, ranks, fusion, boosts,
-    header pattern, order, rerank, deduplication, citation."""
+    header pattern, order, rerank, deduplication, citation. ``full`` gives all fields of `contract`."""
     mode, q, spark = MODES.get(mode, "rrf"), parse_query(query), chunks.sparkSession
     scope = {**scope, **{k: v for k, v in (("doc_type", q.doc_type), ("page", q.page)) if v is not None}}
     base = scoped(chunks, workspace, **scope)
@@ -398,7 +436,7 @@ def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[floa
     first, score = _reranking(mode, rerank, reranker)
     parsed = _parsed(spark, [(0, q)])
     hits = F.broadcast(_hits(base, parsed, bool(q.negative), dense, sparse))  # at most the rows of both legs
-    return _finished(base, hits, parsed, mode, effective_limit(limit, rerank_top_k), first, score).drop("query_id")
+    return _finished(base, hits, parsed, mode, effective_limit(limit, rerank_top_k), first, score, full).drop("query_id")
 
 
 def search(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, **options: object) -> DataFrame:

@@ -42,6 +42,18 @@ def test_find(spark, made):
         cartridge.find(c, "rent", [1.0])
 
 
+def test_the_index_and_a_scan_find_the_same(spark, made):
+    c = cartridge.open_cartridge(spark, made)
+    assert c.index is not None
+    plan = c.index.blocks(["deposit"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    scan = cartridge.Cartridge(**{**c.__dict__, "index": None})
+    for words, more in ((["deposit", "month"], {}), (["court"], {}), (["rent"], {"jurisdiction": "ny"}), (["tenant"], {"source_table": "cases"})):
+        found = [cartridge.find(x, "q", vector("deposit"), terms=words, **more).collect() for x in (c, scan)]
+        assert [r["chunk_id"] for r in found[0]] == [r["chunk_id"] for r in found[1]] and found[0]
+    assert cartridge.find(c, "q", vector("x"), terms=["deposits"]).collect()[0]["title"] == "Deposit law"  # by its stem
+
+
 def test_bundle_merge_and_sources(spark, made, tmp_path):
     c = cartridge.open_cartridge(spark, made)
     cartridge.bundle(c, str(tmp_path / "b"))
@@ -89,3 +101,47 @@ def test_row_groups_of_a_large_group(spark):
 def test_orders(spark):
     rows = spark.createDataFrame([(2, "b"), (1, "a")], "failed_at int, path string")
     assert [r["path"] for r in corpus.ordered(rows, "poison").collect()] == ["b", "a"]
+
+
+@pytest.mark.parametrize(("keys", "parts"), [([1], 4), (list(range(1000)), 7), ([5] * 900 + list(range(100)), 4), ([10**12] * 50 + list(range(-60, 0)), 3), ([i**3 for i in range(500)], 16)])
+def test_key_ranges(keys, parts):
+    low, high = min(keys), max(keys)
+
+    def counts(a, b, width):
+        found = {}
+        for k in keys:
+            if a <= k <= b:
+                found[(k - a) // width] = found.get((k - a) // width, 0) + 1
+        assert len(found) <= 32
+        return list(found.items())
+
+    ranges = cartridge.key_ranges(counts, low, high, parts, steps=32)
+    assert ranges[0][0] == low and ranges[-1][1] == high and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))  # noqa: B905
+    share = -(-len(keys) // parts)
+    sizes = [sum(a <= k <= b for k in keys) for a, b in ranges]
+    assert len(ranges) <= 2 * parts and sum(sizes) == len(keys)
+    assert all(n <= share or len({k for k in keys if a <= k <= b}) == 1 for n, (a, b) in zip(sizes, ranges, strict=True))
+
+
+def test_read_sql(spark):
+    url = "jdbc:derby:memory:source;create=true"
+    con = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        con.createStatement().execute("CREATE TABLE CASES (ID BIGINT, TEXT VARCHAR(40))")
+        put = con.prepareStatement("INSERT INTO CASES VALUES (?, ?)")
+        rows = [(i if i < 300 else 10**9 + i * 7, f"text {i}") for i in range(400)]
+        for i, t in rows:
+            put.setLong(1, i)
+            put.setString(2, t)
+            put.execute()
+        con.createStatement().execute("INSERT INTO CASES VALUES (NULL, 'no key')")
+        df = cartridge.read_sql(spark, url, "CASES", "ID", 8)
+        assert sorted((r["ID"] or 0, r["TEXT"]) for r in df.collect()) == sorted([*rows, (0, "no key")])
+        sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) >= 8 and max(sizes) <= 51
+        some = df.where("ID > 1000 and TEXT <> 'text 399'")
+        assert "PushedFilters: [*IsNotNull(ID), *IsNotNull(TEXT), *GreaterThan(ID,1000)" in some._jdf.queryExecution().executedPlan().toString() and some.count() == 99
+        assert cartridge.read_sql(spark, url, "CASES", "ID", 4, where="TEXT LIKE 'text 1%'").count() == 111
+        assert cartridge.read_sql(spark, url, "CASES", "ID", 4, where="ID < 0").count() == 0
+    finally:
+        con.close()

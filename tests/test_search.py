@@ -129,3 +129,27 @@ def test_trace(chunks, tmp_path):
     assert search.append_trace(row, str(tmp_path / "traces")) and not search.append_trace(row, "/proc/no/such")
     got = chunks.sparkSession.read.parquet(str(tmp_path / "traces")).first()
     assert got["n_hits"] == found.count() and got["sparse_ranks"]["2"] == 1 and got["duration_ms"] == 12.5 and len(got["query_hash"]) == 64
+
+
+# The fields of a hit.
+FIELDS = "schema_version citation page_number pdf_page printed_page header locator structured_locator score text document_id chunk_id filename workspace chunk_index dense_score sparse_score vector_rank fts_rank section_boost lexical_boost phrase_boost heading_path match_reasons char_start char_end bbox confidence ocr_mean_confidence used_ocr source_hash file_hash doc_type score_vector".split()
+
+
+def test_full_hits(chunks):
+    chunks = chunks.withColumns({"embedding": F.expr(VECTOR), "doc_id": F.col("chunk_id") * 10, "confidence": F.when(F.col("chunk_id") == 2, 0.5), "char_start": F.lit(3), "char_end": F.lit(9), "heading_path": F.array().cast("array<string>"), "citation": F.when(F.col("chunk_id") == 3, "Own")})
+    vector = [float(x) for x in chunks.where("chunk_id = 2").first()["embedding"]]
+    query = '"in excess" deposit landlord month Section 1950.5'
+    found = search.explain(chunks, query, "a", vector, floor=-1.0, full=True)
+    assert set(found.columns) == {*FIELDS, "rank"} and len(FIELDS) == 34
+    hits = {r["chunk_id"]: r for r in found.collect()}
+    short = {r["chunk_id"]: r for r in search.explain(chunks, query, "a", vector, floor=-1.0).collect()}
+    assert {k: (r["score"], r["match_reasons"], r["rank"]) for k, r in hits.items()} == {k: (r["score"], r["match_reasons"], r["rank"]) for k, r in short.items()}
+    a, b = hits[2], hits[3]
+    assert (a["citation"], b["citation"]) == ("m.txt p.1 Section 1.2 Deposit", "Own") and a["document_id"] == 20 and a["text"].startswith("A security")
+    assert (a["used_ocr"], a["ocr_mean_confidence"], b["used_ocr"], b["ocr_mean_confidence"]) == (True, 0.5, False, None)
+    assert a["structured_locator"]["kind"] == "page" and a["structured_locator"]["char_span"] == [3, 9] and a["heading_path"] == ["Page 1", "Section 1.2 Deposit"]
+    assert b["phrase_boost"] and b["lexical_boost"] and b["section_boost"] and not a["phrase_boost"]
+    v = a["score_vector"]
+    assert (v["vector_rank"], v["fts_rank"], v["final_score"], v["rrf_score"], v["rerank_rank"]) == (a["vector_rank"], a["fts_rank"], a["score"], a["score"], None)
+    again = search.explain(chunks, query, "a", vector, floor=-1.0, rerank=True, full=True).orderBy("rank").first()
+    assert again["score_vector"]["rerank_rank"] == 1 and again["score_vector"]["rerank_score"] == round(again["score"], 5)
