@@ -25,8 +25,8 @@ def _row(store: Store, key: DataFrame, action: str, workspace: str, actor: str,
 
 def hold_key(store: Store, workspace: str) -> DataFrame:
     """The key under which a workspace's hold is kept: a hash of its name, of the type of the documents' keys."""
-    kind = dict(store.read("documents").dtypes)[store.key]
-    value = F.xxhash64(F.lit("hold"), F.lit(workspace)) if kind == "bigint" else F.lit(f"hold:{workspace}")
+    kind = dict(store.read("documents").dtypes).get(store.key, "bigint")
+    value = F.lit(f"hold:{workspace}") if kind == "string" else F.xxhash64(F.lit("hold"), F.lit(workspace))
     return store.spark.range(1).select(value.alias(store.key))
 
 
