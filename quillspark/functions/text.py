@@ -40,6 +40,8 @@ LINE_MOST, TITLE_MOST, PREFIX_MOST, CAPITALS = 120, 100, 40, (5, 79)
 LEVELS = ((1, r"^(?:article|art\.|chapter|part|title|exhibit|schedule|appendix)"), (2, r"^(?:section|sec\.|§|clause|\d+\.\d+)"), (3, r"^(?:\([a-z0-9]+\)|subsection|sub-section|paragraph)"))
 TREE_LEVELS = ((1, r"^(?:article|art\.|chapter|part|title )"), (2, r"^(?:section|sec\.|§|clause|[0-9]+\.[0-9]+)"), (3, r"^(?:\(|subsection|sub-section)"))
 SECTION_FORMS = (r"(?i)(?:§+|Section|Sec\.|Article|Art\.|Clause|Exhibit)\s*([0-9A-Za-z.\-:]+)", r"\b([0-9]{1,4}(?:\.[0-9]+)*)(?:\([0-9A-Za-z]+\))+", r"\b([0-9]{1,4}(?:\.[0-9]+)+)")
+#: A reference from the name of its code to the words behind it.
+WHOLE_REFERENCE = r"""(?i)(?:(?:Code|U\.S\.C\.|Stat\.|C\.F\.R\.)\s*)?(?:§+|Section|Sec\.|Article|Art\.|Clause|Exhibit)\s*[0-9A-Za-z.\-:]+(?:\([0-9A-Za-z]+\))*(?:\s+[A-Za-z0-9\s,\-'":]{0,60})?"""
 # Topics by the first phrase found, in this order.
 TOPICS: list[tuple[str, tuple[str, ...]]] = [
     ("Security Deposits", ("security deposit",)),
@@ -112,6 +114,13 @@ def section_number(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, form, 1), F.lit("")) for form in SECTION_FORMS], F.substring(text, 1, 0))
 
 
+def statute_citation(text: Column) -> Column:
+    """The first statute reference of a text as a struct: matched, canonical_token (``§ n``, an article as it is written with what follows), normalized_token and section_number."""
+    number, article = section_number(text), F.regexp_extract(text, WHOLE_REFERENCE, 0)
+    token = F.when(number == "", "").when(F.lower(article).startswith("art"), F.trim(article)).otherwise(F.concat(F.lit("§ "), number))
+    return F.struct((number != "").alias("matched"), token.alias("canonical_token"), canonical(text).alias("normalized_token"), number.alias("section_number"))
+
+
 def canonical(text: Column) -> Column:
     """The first statute reference as lower-case letters and digits; empty if there is none."""
     return F.regexp_replace(F.lower(section_number(text)), "[^a-z0-9]", "")

@@ -524,17 +524,19 @@ def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir, HEADS).select("doc_id", "line_no", T.heading(T.strip(F.col("line"))).alias("heading")).where("heading is not null")
 
 
-STATUTES = ["Cal. Civ. Code § 1950.5 {}", "Section 8.22.030(C) {}", "Art. IV", "see 1950.5(a)(2) for {}", "a rate of 12.5 applies", "{}", "Clause 7-2 and § 9 {}"]
+STATUTES = ["Cal. Civ. Code § 1950.5 {}", "Section 8.22.030(C) {}", "Art. IV", "Code Article 7, part 2", "see 1950.5(a)(2) for {}", "a rate of 12.5 applies", "{}", "Clause 7-2 and § 9 {}"]
 
 
 @query(
     "statute_norm",
-    f"""WITH r AS (SELECT doc_id, line_no, regexp_extract(line, '{T.SECTION_FORMS[0]}', 1) AS a, regexp_extract(line, '{T.SECTION_FORMS[1]}', 1) AS b, regexp_extract(line, '{T.SECTION_FORMS[2]}', 1) AS c FROM {lines_sql(STATUTES)}),
-n AS (SELECT doc_id, line_no, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END AS section_number FROM r) SELECT *, regexp_replace(lower(section_number), '[^a-z0-9]', '', 'g') AS token FROM n""",
+    f"""WITH r AS (SELECT doc_id, line_no, regexp_extract(line, '{T.SECTION_FORMS[0]}', 1) AS a, regexp_extract(line, '{T.SECTION_FORMS[1]}', 1) AS b, regexp_extract(line, '{T.SECTION_FORMS[2]}', 1) AS c, trim(regexp_extract(line, '(?i)(?:(?:Code|U[.]S[.]C[.]|Stat[.]|C[.]F[.]R[.])\\s*)?(?:§+|Section|Sec[.]|Article|Art[.]|Clause|Exhibit)\\s*[0-9A-Za-z.:-]+(?:[(][0-9A-Za-z]+[)])*(?:\\s+[A-Za-z0-9\\s,":''-]{{0,60}})?')) AS whole FROM {lines_sql(STATUTES)}),
+n AS (SELECT doc_id, line_no, whole, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END AS section_number FROM r)
+SELECT doc_id, line_no, section_number, regexp_replace(lower(section_number), '[^a-z0-9]', '', 'g') AS token, section_number <> '' AS matched,
+CASE WHEN section_number = '' THEN '' WHEN lower(whole) LIKE 'art%' THEN whole ELSE concat('§ ', section_number) END AS canonical FROM n""",
 )
 def statute_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lines(spark, sf_dir, STATUTES).select("doc_id", "line_no", T.section_number(F.col("line")).alias("section_number"))
-    return n.withColumn("token", F.regexp_replace(F.lower("section_number"), "[^a-z0-9]", ""))
+    n = lines(spark, sf_dir, STATUTES).select("doc_id", "line_no", T.statute_citation(F.col("line")).alias("c"))
+    return n.select("doc_id", "line_no", "c.section_number", F.col("c.normalized_token").alias("token"), "c.matched", F.col("c.canonical_token").alias("canonical"))
 
 
 CITES = {"page": [3, 3, None, None, 1, None, 9, None, 2], "loc": [None, None, "Intro > Scope", "Rows 1-30", None, None, "Page 9", None, None], "head": ["Rent", "Section 4", "Scope", "General", None, "# Title", "Table 2", "", "Exhibit C"], "printed": [None, "iii", None, None, "1", None, " 8 ", None, None]}

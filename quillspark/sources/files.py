@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from quillspark.errors import EncryptedFile
 
 # Accepted endings, and how large a file may be.
-ENDINGS = ("pdf", "docx", "txt", "md", "csv", "html", "htm", "eml", "json")
+ENDINGS = ("pdf", "docx", "doc", "eml", "msg", "txt", "md", "csv", "json", "html", "htm", "py", "js", "ts", "yaml", "yml", "sql")
 MOST_BYTES = 52_428_800
 PAGES = "path string, page int, locator string, text string, extra string, error string"
 DELIMITERS = (",", "\t")
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,9 +52,10 @@ def mime(content: Column, path: Column) -> Column:
     text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 2048), "ISO-8859-1")))
     raw = F.hex(F.substring(content, 1, 4))
     ending = F.lower(F.regexp_extract(path, r"\.([^./?#]*)$", 1))
-    by_ending = F.create_map(*[F.lit(x) for kv in {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html", "eml": "message/rfc822", "json": "application/json", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pdf": "application/pdf"}.items() for x in kv])
+    by_ending = F.create_map(*[F.lit(x) for kv in {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html", "eml": "message/rfc822", "json": "application/json", "docx": DOCX, "pdf": "application/pdf", "doc": "application/msword", "msg": "application/vnd.ms-outlook", "py": "text/x-python", "sql": "text/x-sql", **dict.fromkeys(("js", "ts", "yaml", "yml"), "text/plain")}.items() for x in kv])
     return (
         F.when(raw == "25504446", "application/pdf")
+        .when((raw == "504B0304") & (F.instr(F.decode(content, "ISO-8859-1"), "word/document.xml") > 0), DOCX)  # whatever it is called
         .when(raw == "504B0304", F.coalesce(by_ending[ending], F.lit("application/zip")))
         .when(text.rlike(r"^(?:from|received|subject|date|mime-version|return-path|to): "), "message/rfc822")
         .when(text.startswith("<!doctype html") | text.startswith("<html") | text.contains("<body"), "text/html")
@@ -184,7 +186,11 @@ def _eml(raw: bytes, name: str) -> list[Page]:
     for part in message.iter_attachments():
         name, kind = part.get_filename() or "unnamed", part.get_content_type()
         at = f"Attachment: {name}"
-        if kind in HANDLERS and kind != "message/rfc822":
+        if kind == "message/rfc822":  # a message of its own, with its attachments
+            inner = part.get_content()
+            at = f"Attachment: {part.get_filename() or inner['Subject'] or name}"
+            pages += [(n, at if where == "Message" else f"{at} > {where}", t) for n, where, t in _eml(inner.as_bytes(), name)]
+        elif kind in HANDLERS:
             found = HANDLERS[kind](part.get_payload(decode=True) or b"", name.lower())
             pages += [(None, f"{at} > {where}" if where and kind == "text/csv" else at, t.strip()) for _, where, t, *_ in found]
         elif part.get_content_maintype() == "text":
@@ -227,13 +233,15 @@ def _docx(raw: bytes, name: str) -> list[tuple]:
 #: Parsers by type: pages as (page, locator, text) and, where there is more to say, JSON.
 HANDLERS: dict[str, Callable[[bytes, str], list[tuple]]] = {
     "text/plain": _plain,
+    "text/x-python": _plain,
+    "text/x-sql": _plain,
     "text/markdown": _plain,
     "application/json": _json,
     "application/pdf": _pdf,
     "text/html": _html,
     "text/csv": _csv,
     "message/rfc822": _eml,
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": _docx,
+    DOCX: _docx,
 }
 
 

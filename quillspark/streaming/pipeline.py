@@ -35,6 +35,8 @@ from quillspark.streaming.ingest import workspace
 
 STATES = ("DETECTED", "STAGED", "HASHED", "PARSED", "CHUNKED", "EMBEDDED", "COMMITTED", "ARCHIVED", "FAILED", "QUARANTINED")
 TRIES, BACKOFF_SECONDS = 3, 2.0
+#: Pages that a file may have (a fixed value).
+PAGES = 500
 #: Files that are worked on together, and that a micro-batch takes from the folder.
 FILES = 1000
 EVENTS = "path string, event string, tries int"
@@ -90,7 +92,8 @@ def _work(*row: object) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class Folder:
-    """Where a stream's results are, and how its texts are embedded."""
+    """Where a stream's results are, how its texts are embedded, and what it refuses: files of more than ``most_pages`` pages, and files that with the characters
+    that their workspace holds would exceed ``quota``."""
 
     out: str
     backend: str = "deterministic"
@@ -98,6 +101,8 @@ class Folder:
     parts: int = 16
     tries: int = TRIES
     backoff: float = BACKOFF_SECONDS
+    most_pages: int = PAGES
+    quota: int | None = None
 
     def store(self, spark: SparkSession) -> versions.Store:
         return versions.Store(spark, f"{self.out}/store", "doc_id", self.parts)
@@ -192,19 +197,25 @@ def work_off(work: DataFrame, folder: Folder, batch: int, slice_: int = 0) -> No
     files = _load(spark, work).withColumns({"file_hash": F.sha2("content", 256), "workspace": workspace()})
     gone = F.col("content").isNull()
     files = files.withColumn("reject", F.when(gone, "file is gone").otherwise(S.reject_reason(files)))
+    if folder.quota is not None:  # what was committed before this batch; a row a document is read
+        files = files.join(usage(spark, folder).withColumnRenamed("used", "_used"), "workspace", "left")
+        over = F.coalesce("_used", F.lit(0)) + F.col("length") > folder.quota
+        files = files.withColumn("reject", F.coalesce("reject", F.when(over, "quota of the workspace"))).drop("_used")
     pages = S.parse(files.where("reject is null")).withColumn("n", F.monotonically_increasing_id())
     pages.write.mode("overwrite").parquet(f"{scratch}/pages")
     files.drop("content").write.mode("overwrite").parquet(f"{scratch}/files")
     pages, files = (spark.read.parquet(f"{scratch}/{t}") for t in ("pages", "files"))
     broken = pages.where("error is not null").groupBy("path").agg(F.min("error").alias("error"))
+    long = pages.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") > folder.most_pages).select("path", F.lit("too many pages").alias("_long"))
+    files = files.join(long, "path", "left").withColumn("reject", F.coalesce("reject", "_long")).drop("_long")
     ends = files.join(broken, "path", "left").withColumn("reason", F.coalesce("reject", "error"))
-    docs = _documents(pages.join(broken, "path", "left_anti"), files)
+    docs = _documents(pages.join(ends.where("reason is not null"), "path", "left_anti"), files)
     chunks = chunker.chunk_documents(docs).join(docs.select("doc_id", "path", "workspace"), "doc_id")
     own = {"chunk_id": F.xxhash64("path", "chunk_index"), "doc_type": F.lit("general"), "is_superseded": F.lit(False), "ingested_at": F.lit(pd.Timestamp.now("UTC").tz_localize(None))}
     with_vectors(chunks.withColumns(own), folder, f"{batch}-{slice_}").write.mode("overwrite").parquet(f"{scratch}/chunks")
     made = spark.read.parquet(f"{scratch}/chunks")
-    counts = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    docs = docs.withColumn("n_pages", F.size("pages")).drop("pages").join(counts, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
+    counts = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
+    docs = docs.withColumn("n_pages", F.size("pages")).drop("pages").join(counts, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_chunks", "n_chars")})
     docs.write.mode("overwrite").parquet(f"{scratch}/documents")
     _commit(spark, folder, spark.read.parquet(f"{scratch}/documents"), made, files.where("again").select(F.xxhash64("path").alias("doc_id")), batch, slice_)
     _record(spark, folder, ends, batch, slice_, at)
@@ -388,6 +399,12 @@ def chunks(spark: SparkSession, folder: Folder) -> DataFrame:
     return folder.store(spark).read("chunks")
 
 
+def usage(spark: SparkSession, folder: Folder) -> DataFrame:
+    """(workspace, used): characters of each workspace's chunks."""
+    rows = folder.store(spark).read("documents", None, "workspace string, n_chars long")
+    return rows.groupBy("workspace").agg(F.sum("n_chars").alias("used"))
+
+
 def documents(spark: SparkSession, folder: Folder) -> DataFrame:
     return folder.store(spark).read("documents")
 

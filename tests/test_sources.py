@@ -60,6 +60,20 @@ def test_types(spark):
     assert [r[0] for r in got] == ["text/csv", "text/csv", "text/plain", "text/plain", "application/json", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/markdown"]
 
 
+def test_attached_messages_and_files_by_their_content(spark):
+    outer = b"Subject: Fwd\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=Y\n\n--Y\nContent-Type: text/plain\n\nSee below.\n--Y\nContent-Type: message/rfc822\n\n" + EML + b"\n--Y--\n"
+    pages = files.HANDLERS["message/rfc822"](outer, "m.eml")
+    assert [p[1] for p in pages] == ["Message", "Attachment: Deal", "Attachment: Deal > Attachment: t.csv > Rows 1-1"] and pages[1][2].endswith("Hello there.")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", DOCX)
+    rows = [(buffer.getvalue(), "x.bin"), (b"PK\x03\x04", "x.zip"), (b"x = 1\n", "a.py"), (b"select 1", "q.SQL"), (b"a: 1", "c.yaml"), (b"\xd0\xcf", "o.msg")]
+    got = spark.createDataFrame(rows, "c binary, p string").select(files.mime(F.col("c"), F.col("p")).alias("m")).collect()
+    assert [r["m"] for r in got] == [files.DOCX, "application/zip", "text/x-python", "text/x-sql", "text/plain", "application/vnd.ms-outlook"]
+    found = files.parse(spark.createDataFrame([("a.py", b"x = 1\n"), ("o.msg", b"\xd0\xcf")], "path string, content binary")).collect()
+    assert [(r["text"], r["error"]) for r in found] == [("x = 1\n", None), ("", "no handler for application/vnd.ms-outlook")]
+
+
 def states(spark, out):
     return {r["path"].rsplit("/", 1)[1]: (r["state"], r["tries"]) for r in ingest.last_states(ingest.ledger(spark, out)).collect()}
 

@@ -136,6 +136,24 @@ def test_a_failing_handler_is_tried_again_after_a_restart(spark, place, monkeypa
     assert pipeline.metrics(spark, f.out).active_retries == 0
 
 
+def test_page_cap_and_quota(spark, place):
+    f = folder(place, most_pages=2, quota=60)
+    (place / "in/ws/ok.txt").write_text("x" * 50)
+    (place / "in/ws/long.csv").write_text("k,v\n" + "1,2\n" * 12)
+    (place / "in/ws/wide.txt").write_text("y" * 61)
+    run(spark, place, f)
+    (place / "in/ws/later.txt").write_text("z" * 20)  # 50 characters are there
+    (place / "in/other").mkdir()
+    (place / "in/other/fine.txt").write_text("z" * 20)
+    (place / "in/other/many.csv").write_text("k\n" + "1\n" * 4)
+    monkey = pipeline.Folder(**{**f.__dict__, "most_pages": 0})
+    run(spark, place, monkey)
+    reasons = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in pipeline.quarantined(pipeline.ledger(spark, f.out)).collect()}
+    assert reasons == {"wide.txt": "quota of the workspace", "later.txt": "quota of the workspace", "fine.txt": "too many pages", "many.csv": "too many pages"}
+    assert {r["filename"]: r["n_pages"] for r in pipeline.documents(spark, f).collect()} == {"ok.txt": 1, "long.csv": 1}
+    assert pipeline.usage(spark, f).first()["used"] >= 50
+
+
 def test_prometheus_text():
     text = pipeline.prometheus(pipeline.Metrics(processed=5, failed=4, quarantined=1, retries=2, queue_depth=7), "x")
     assert text == (
