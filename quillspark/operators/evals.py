@@ -62,9 +62,9 @@ def error_rates(pairs: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """p50, p95 and p99 of each group as observed values (discrete percentiles), and the count."""
+    """p50, p95 and p99 of each group as observed values (discrete percentiles), the count, and queries a second at the mean of ``value`` milliseconds."""
     p = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
-    return rows.groupBy(group).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.when(F.avg(value) > 0, 1000.0 / F.avg(value)).otherwise(0.0), 1).alias("qps"))
 
 
 def leakage(hits: DataFrame) -> DataFrame:

@@ -422,10 +422,22 @@ def _least(floor: float | None, mode: str) -> float:
     return floor if floor is not None else (0.15 if mode == "vector_only" else 0.45)
 
 
-def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, mode: str = "hybrid", limit: int = LIMIT, floor: float | None = None, rerank: bool = False, reranker: str | None = None, rerank_top_k: int | None = None, full: bool = False, **scope: object) -> DataFrame:
+def _vector(made: Sequence[float] | Callable[[str], Sequence[float]] | None, text: str) -> Sequence[float] | None:
+    """A vector as it is, or what a function makes of the text; None where that fails, which leaves the lexical leg."""
+    if not callable(made):
+        return made
+    try:
+        return [float(x) for x in made(text)]
+    except Exception:  # noqa: BLE001 - whatever a backend raises
+        return None
+
+
+def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | Callable[[str], Sequence[float]] | None = None, mode: str = "hybrid", limit: int = LIMIT, floor: float | None = None, rerank: bool = False, reranker: str | None = None, rerank_top_k: int | None = None, full: bool = False, **scope: object) -> DataFrame:
     """Ranked hits with citation, both ranks, score breakdown, reasons and snippet, by the stages: scope, two top-k legs, negation, ranks, fusion, boosts,
-    header pattern, order, rerank, deduplication, citation. ``full`` gives all fields of `contract`."""
-    mode, q, spark = MODES.get(mode, "rrf"), parse_query(query), chunks.sparkSession
+    header pattern, order, rerank, deduplication, citation. ``full`` gives all fields of `contract`. ``vector`` may be a function of the text; where it fails the dense leg is
+    empty."""
+    mode, q = MODES.get(mode, "rrf"), parse_query(query)
+    spark, vector = chunks.sparkSession, _vector(vector, q.text) if mode != "fts_only" else None
     scope = {**scope, **{k: v for k, v in (("doc_type", q.doc_type), ("page", q.page)) if v is not None}}
     base = scoped(chunks, workspace, **scope)
     if vector is not None and mode != "fts_only":
@@ -439,7 +451,7 @@ def explain(chunks: DataFrame, query: str, workspace: str, vector: Sequence[floa
     return _finished(base, hits, parsed, mode, effective_limit(limit, rerank_top_k), first, score, full).drop("query_id")
 
 
-def search(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | None = None, **options: object) -> DataFrame:
+def search(chunks: DataFrame, query: str, workspace: str, vector: Sequence[float] | Callable[[str], Sequence[float]] | None = None, **options: object) -> DataFrame:
     """`explain` without the ranks of the legs."""
     return explain(chunks, query, workspace, vector, **options).drop("rank", "dense_rank", "sparse_rank")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +87,19 @@ def exhibits(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "identifier").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("header", "chunk_index").alias("title"))
 
 
+def attachments(chunks: DataFrame) -> DataFrame:
+    """The first chunk of each attachment that headers or locators name: identifier (what stands behind ``Attachment``), chunk_index, and where it was found.
+
+    ``chunks`` may have mime, the type of their document: attachments of a message are told from others.
+    """
+    head = F.trim(F.concat(F.coalesce("header", F.lit("")), F.lit(" "), F.coalesce("locator", F.lit(""))))
+    name = F.trim(F.regexp_extract(head, r"(?i)\bAttachment(?::\s*|\s+)([^\n\r]+)", 1))
+    mime = F.col("mime") if "mime" in chunks.columns else F.lit(None).cast("string")
+    source = F.when(mime == "message/rfc822", "email_attachment").otherwise("embedded_attachment")
+    rows = chunks.select("doc", "chunk_index", name.alias("identifier"), source.alias("source")).where("identifier != ''")
+    return rows.groupBy("doc", "identifier").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("source", "chunk_index").alias("source"))
+
+
 # Number words of legal texts; for each slot its unit and the phrase that states it (the number is the first group that
 # matches), with the dollar amounts that are sought in the text as written; flags and the phrases that raise them; words that ground a flag.
 NUMBER_WORDS = {
@@ -163,6 +177,34 @@ def pack_violations(entries: DataFrame, budget: int = 850) -> DataFrame:
     return rows.select("pack_id", "entry_no", F.explode(F.array_compact("_v")).alias("violation"))
 
 
+# What every pack has at its root.
+PACK_KEYS = ("pack_id", "version", "publisher", "coverage", "description")
+
+
+def pack_root_violations(packs: DataFrame, entries: DataFrame, required: Sequence[str] = PACK_KEYS) -> DataFrame:
+    """(pack_id, violation) of whole packs: a required column of ``packs`` (pack_id, covered_topics, ...) that is null or missing, no covered topics, no entries."""
+    there = {c.lower() for c in packs.columns}
+    lacks = [F.when(F.col(c).isNull() if c in there else F.lit(True), F.lit(f"missing {c}")) for c in required]
+    topics = F.when(F.coalesce(F.size("covered_topics"), F.lit(0)) < 1, F.lit("no covered topics"))
+    held = entries.select("pack_id").distinct().withColumn("_held", F.lit(True))
+    empty = F.when(F.col("_held").isNull(), F.lit("no entries"))
+    rows = packs.join(held, "pack_id", "left").withColumn("_v", F.array(*lacks, topics, empty))
+    return rows.select("pack_id", F.explode(F.array_compact("_v")).alias("violation"))
+
+
+def slot_violations(found: DataFrame) -> DataFrame:
+    """(pack_id, entry_no, slot, violation) of slots (value, quoted_sentence) without a sentence, or whose sentence doesn't hold their value.
+
+    A value stands in its sentence as it is written, in its whole part's digits, or as a number word.
+    """
+    words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in (kv[0], float(kv[1]))])
+    low, whole = F.lower("quoted_sentence"), F.floor("value").cast("string")
+    spoken = F.exists(F.map_keys(words), lambda w: (words[w] == F.floor("value")) & low.contains(w))
+    grounded = low.contains(F.col("value").cast("string")) | low.contains(whole) | spoken
+    wrong = F.when(F.coalesce("quoted_sentence", F.lit("")) == "", "no quoted sentence").when(~F.coalesce(grounded, F.lit(False)), "value not in its sentence")
+    return found.select("pack_id", "entry_no", "slot", wrong.alias("violation")).where("violation is not null")
+
+
 def bbox_union(boxes: DataFrame, key: str) -> DataFrame:
     """The least box around all boxes (left, top, width, height) of a key, rounded to 2 places."""
     g = boxes.groupBy(key).agg(F.min("left").alias("l"), F.min("top").alias("t"), F.max(F.col("left") + F.col("width")).alias("r"), F.max(F.col("top") + F.col("height")).alias("b"))

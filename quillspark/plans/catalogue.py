@@ -671,6 +671,21 @@ def exhibit_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.exhibits(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_index"), *named))
 
 
+ATTACHED = {"header": ["Attachment: t.csv", None, "Attachment rates {}", "Rent"], "locator": ["Rows 1-30", "Attachment: {}.eml", None, "Page 1"]}
+
+
+@query(
+    "attachment_manifest",
+    f"""WITH c AS (SELECT source AS doc, doc_id AS i, doc_id % 2 AS m, {marked_sql('lang', ATTACHED['header'], 'doc_id')} AS h, {marked_sql('lang', ATTACHED['locator'], 'doc_id')} AS l FROM documents),
+m AS (SELECT *, trim(regexp_extract(trim(concat(coalesce(h, ''), ' ', coalesce(l, ''))), '(?i)\\bAttachment(?::\\s*|\\s+)([^\\n\\r]+)', 1)) AS x FROM c)
+SELECT doc, x AS identifier, min(i)::BIGINT AS chunk_index, CASE WHEN arg_min(m, i) = 0 THEN 'email_attachment' ELSE 'embedded_attachment' END AS source FROM m WHERE x <> '' GROUP BY 1, 2""",
+)
+def attachment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = [marked(F.col("lang"), ATTACHED[c], F.col("doc_id")).alias(c) for c in ATTACHED]
+    mime = F.when(F.col("doc_id") % 2 == 0, "message/rfc822").otherwise("text/plain")
+    return structure.attachments(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_index"), mime.alias("mime"), *named))
+
+
 SECTIONS = [
     "A landlord shall not demand security in excess of one month's rent. The landlord must account within twenty-one days after {}. Bad faith carries statutory damages of up to twice the amount of the deposit. {}",
     "No increase may be more than 5% plus inflation, or 10%, whichever is lower. An owner needs at least 33% recorded ownership. {} Occupancy of at least twelve months is required!",
@@ -865,7 +880,7 @@ def eval_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.error_rates(b).select("pair_id", "cer", "wer")
 
 
-@query("latency_pct", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
+@query("latency_pct", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, round(CASE WHEN avg(value) > 0 THEN 1000.0::DOUBLE / avg(value) ELSE 0 END, 1) AS qps FROM events GROUP BY 1")
 def latency_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.latency(table(spark, sf_dir, "events"), "event_type", "value")
 

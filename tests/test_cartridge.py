@@ -145,3 +145,14 @@ def test_read_sql(spark):
         assert cartridge.read_sql(spark, url, "CASES", "ID", 4, where="ID < 0").count() == 0
     finally:
         con.close()
+
+
+def test_whole_packs_and_their_slots(spark):
+    made = spark.createDataFrame([("p", "Pack", "1", "CA", "x", ["Rent"]), ("q", None, "1", "CA", "x", []), ("r", "Pack", "1", "CA", "x", None)], "pack_id string, publisher string, version string, description string, coverage string, covered_topics array<string>")
+    entries = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "pack_id string, entry_no int")
+    got = sorted(tuple(r) for r in structure.pack_root_violations(made, entries).collect())
+    assert got == [("q", "missing publisher"), ("q", "no covered topics"), ("r", "no covered topics"), ("r", "no entries")]
+    assert {r["violation"] for r in structure.pack_root_violations(made.drop("version"), entries).where("pack_id = 'p'").collect()} == {"missing version"}
+    slots = [("p", 1, "a", 1.0, "one month's rent"), ("p", 1, "b", 21.0, "within 21 days"), ("p", 1, "c", 3.5, "a 3.5% rise"), ("p", 1, "d", 14.0, "within ten days"), ("p", 2, "e", 7.0, ""), ("p", 2, "f", None, "seven")]
+    found = structure.slot_violations(spark.createDataFrame(slots, "pack_id string, entry_no int, slot string, value double, quoted_sentence string")).collect()
+    assert sorted((r["slot"], r["violation"]) for r in found) == [("d", "value not in its sentence"), ("e", "no quoted sentence"), ("f", "value not in its sentence")]

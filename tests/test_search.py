@@ -114,6 +114,20 @@ def test_vectors_of_another_length_are_refused(chunks):
             search.search(chunks.withColumn("embedding", F.when(F.col("chunk_id") == odd, F.expr("array(1f, 0f)")).otherwise(F.expr(VECTOR))), "deposit", "a", [1.0, 2.0, 0.0, 0.0])
 
 
+def test_a_vector_by_a_function_that_may_fail(chunks):
+    chunks, asked = chunks.withColumn("embedding", F.expr(VECTOR)), []
+    vector = [0.3, 0.5, 0.1, 0.2]
+
+    def embed(text):
+        asked.append(text)
+        return vector
+
+    assert rows_of(search.explain(chunks, "deposit month -draft", "a", embed, floor=-1.0)) == rows_of(search.explain(chunks, "deposit month -draft", "a", vector, floor=-1.0)) and asked == ["deposit month"]
+    failed = search.explain(chunks, "deposit month", "a", lambda text: 1 / 0, floor=-1.0)
+    assert rows_of(failed) == rows_of(search.explain(chunks, "deposit month", "a")) and failed.count()
+    assert search.explain(chunks, "deposit", "a", lambda text: 1 / 0, mode="vector").count() == 0
+
+
 def test_rerankers(chunks):
     search.register_reranker("longest", lambda q, texts: [len(t) for t in texts])
     search.register_reranker("broken", lambda q, texts: 1 / 0)
