@@ -114,7 +114,7 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     terms = kept.select(*keys, F.explode(F.concat("words", pairs)).alias("term")).groupBy(*keys, "term").count().join(idf, "term", "left")
     terms = terms.withColumn("w", F.col("count") * F.coalesce("idf", F.when(F.col("term").contains(" "), 0.0).otherwise(1.0)))
-    # the text of a term is only read where it has an idf; stored, as the counts are read twice
+    # stored, as norm and products read them: two shuffles of all terms become one; the text of a term is only needed where it has an idf
     terms = stored(terms.select(*keys, F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "w"), "licence-terms")
     norm = terms.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = terms.where("term is not null").join(weights, "term").groupBy(*keys, "licence", "template", "size").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
