@@ -36,7 +36,7 @@ class Cartridge:
 
 
 def _index(spark: SparkSession, path: str) -> postings.Index:
-    return postings.Index(spark, f"{path}/index")
+    return postings.Index(spark, f"{path}/index", parts=1)  # built once, as a whole
 
 
 def write(documents: DataFrame, chunks: DataFrame, path: str, embed_model: str, dimension: int) -> None:

@@ -3,7 +3,8 @@
 Events by file (seen in the folder, how a try ended, asked for again) go to a keyed state of Spark's state store: which try is next, and a timer for it. What the
 state lets out are tries, and each micro-batch works them off, `FILES` at a time: load, check, parse, chunk, embed, commit. So a batch costs what its own files cost,
 however long the history is: state is kept for files that aren't done, the ledger is only appended to, and chunks of new files are added to a `versions.Store`
-in one commit with their document; files asked for again replace their own.
+in one commit with their document; files asked for again replace their own. Two things grow slowly: the look-up of vectors reads the column of hashes of its buckets, and
+folders and manifests gather until `Store.compact`, `Store.vacuum` and `compact_vectors` are called, between batches.
 
 Below ``out``: ``store`` (documents, chunks), ``vectors`` (text_hash, embedding, by model), ``ledger``, ``outcomes`` (which the stream reads back), ``requests``, and ``metrics``.
 
@@ -62,7 +63,7 @@ class Attempts(StatefulProcessor):
         self.state.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = [(r.event, int(r.tries)) for df in rows for r in df.itertuples()]
+        events = sorted(((r.event, int(r.tries)) for df in rows for r in df.itertuples()), key=lambda e: e[0] in ("seen", "asked"))  # outcomes are of tries before
         work = None
         for event, tries in events:
             if event in ("seen", "asked"):

@@ -8,11 +8,12 @@ ROWS = [(1, "Deposit law", "CA", "codes", "Section 1 Deposits\nA landlord holds
 SOURCE = "record_id long, title string, jurisdiction string, source_table string, text string"
 
 
-@pytest.fixture
-def made(spark, tmp_path):
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("cartridge") / "c")
     documents, chunks = cartridge.forge(spark.createDataFrame(ROWS, SOURCE), dimension=16)
-    cartridge.write(documents, chunks, str(tmp_path / "c"), "deterministic", 16)
-    return str(tmp_path / "c")
+    cartridge.write(documents, chunks, path, "deterministic", 16)
+    return path
 
 
 def vector(text):
