@@ -69,16 +69,23 @@ def sections(found: DataFrame) -> DataFrame:
     return rows.withColumns({"header": F.coalesce(F.last("title", ignorenulls=True).over(doc), F.lit("General")), "path": path}).drop("_i", "_d")
 
 
+def apart(rows: DataFrame, most: int) -> DataFrame:
+    """Blocks of more than ``most`` characters as their raw sentences ``_s``, others whole; a sentence's row holds nothing of its block's text but itself."""
+    long, rest = F.length("text") > most, [c for c in rows.columns if c not in ("text", "raw")]
+    parts = F.when(long, F.split("raw", r"(?<=[.!?])(?=\s)")).otherwise(F.array("raw"))
+    whole = rows.select(*rest, long.alias("_long"), F.when(~long, F.col("text")).alias("text"), parts.alias("_p"))
+    return whole.select(*rest, "_long", "text", F.posexplode("_p").alias("part", "_s"))
+
+
 def pieces(rows: DataFrame, most: int) -> DataFrame:
     """Blocks, those of more than ``most`` characters as their sentences, each with its offsets."""
-    long = F.length("text") > most
-    cut = rows.select("*", F.posexplode(F.when(long, F.split("raw", r"(?<=[.!?])(?=\s)")).otherwise(F.array("raw"))).alias("part", "_s"))
+    cut, long = apart(rows, most), F.col("_long")
     at = F.coalesce(F.sum(F.length("_s")).over(Window.partitionBy("doc_id", "seq", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = cut.withColumns({"_at": F.col("start") + at, "_t": T.strip(F.col("_s"))}).where("_t != ''")
     lead = F.length("_s") - F.length(F.regexp_replace("_s", r"(?U)^\s+", ""))
     exact = {"start": F.when(long, F.col("_at") + lead).otherwise(F.col("start")), "end": F.when(long, F.col("_at") + lead + F.length("_t")).otherwise(F.col("end"))}
     cut = cut.withColumns({**exact, "text": F.when(long, F.regexp_replace("_t", r"[^\S\n]*\n[^\S\n]*", "\n")).otherwise(F.col("text"))})
-    return cut.drop("raw", "_s", "_at", "_t")
+    return cut.drop("_long", "_s", "_at", "_t")
 
 
 def fill(lengths: Sequence[int], most: int, overlap: int) -> Iterator[tuple[int, int, int]]:

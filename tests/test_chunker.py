@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.chunker import chunk_documents, fill
+from quillspark.operators.chunker import apart, blocks, chunk_documents, fill, sections
 
 BYLAWS = "ARTICLE I\n\nSection 1.1 Name\nThe name is X.\n\nSection 1.2 Seat\nThe seat is Y.\n\nARTICLE II\nSection 2.1 Board\nSix members."
 SCHEMA = "doc_id long, filename string, pages array<struct<page:int,text:string>>"
@@ -97,3 +97,12 @@ def test_invariants_and_odd_documents(spark, sf_dir):
 @pytest.mark.parametrize("rows", [[], [(1, "e.txt", [])], [(1, "n.txt", [(None, None)]), (None, None, None), (2, "b.txt", [(1, " \n ")])]])
 def test_no_chunks(spark, rows):
     assert chunk_documents(spark.createDataFrame(rows, SCHEMA)).collect() == []
+
+
+def test_sentences_of_a_long_block_do_not_carry_it_along(spark):
+    text = " ".join(f"Sentence {i} of one block." for i in range(300))
+    docs = spark.createDataFrame([(1, "d.txt", [(1, text), (2, "A short one. It stays whole.")])], SCHEMA)
+    rows = apart(sections(blocks(docs)), 1800)
+    held = F.sum(sum((F.length(F.coalesce(c, F.lit(""))) for c in ("text", "_s")), F.lit(0)))
+    assert rows.where("page = 1").agg(F.count("*"), held).first() == (300, len(text))
+    assert [(r["text"], r["_s"]) for r in rows.where("page = 2").collect()] == [("A short one. It stays whole.",) * 2]
