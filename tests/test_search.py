@@ -167,3 +167,19 @@ def test_full_hits(chunks):
     assert (v["vector_rank"], v["fts_rank"], v["final_score"], v["rrf_score"], v["rerank_rank"]) == (a["vector_rank"], a["fts_rank"], a["score"], a["score"], None)
     again = search.explain(chunks, query, "a", vector, floor=-1.0, rerank=True, full=True).orderBy("rank").first()
     assert again["score_vector"]["rerank_rank"] == 1 and again["score_vector"]["rerank_score"] == round(again["score"], 5)
+
+
+def test_a_task_compares_few_queries_and_chunks_at_once(spark, monkeypatch):
+    made = []
+    best = lambda scores, ids, k, f=search._best: made.append(scores.shape) or f(scores, ids, k)
+    n = 230
+    rows = spark.createDataFrame([(i, "w", "en", 1, "h", "p", f"word{i % 7} rent", [float(i % 11), float(i % 5)]) for i in range(n)], "chunk_id long, workspace string, doc_type string, page int, header string, locator string, content string, embedding array<float>").coalesce(1)
+    asked = [(i, search.parse_query(f"word{i % 7} rent" + (" page:2" if i % 9 == 0 else "")), "w", [float(i % 3), 1.0]) for i in range(50)]
+    want = [sorted(map(tuple, leg.collect())) for leg in search.batch_legs(rows, asked, 0.05, 4, 4)]
+    monkeypatch.setattr(search, "AT_ONCE", 8)
+    monkeypatch.setattr(search, "ROWS", 16)
+    assert [sorted(map(tuple, leg.collect())) for leg in search.batch_legs(rows, asked, 0.05, 4, 4)] == want and len(want[0]) > 150
+    monkeypatch.setattr(search, "_best", best)
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: (list(f(self.toArrow().to_batches())), self.selectExpr("0 leg", "chunk_id query_id", "chunk_id", "0D score"))[1])
+    search.batch_legs(rows, asked, 0.05, 4, 4)
+    assert made and all(q <= 8 and c <= 16 for q, c in made)
