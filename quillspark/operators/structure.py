@@ -131,6 +131,14 @@ SLOTS_AS_WRITTEN = {
     "daily_statutory_penalty": ("USD", r"\$([0-9]+(?:\.[0-9]{2})?)\s+for\s+each\s+(?:calendar\s+)?day"),
     "minimum_statutory_damages": ("USD", r"(?:not\s+less\s+than|minimum\s+statutory\s+damages\s+of)\s+[^$0-9]*\$([0-9]+(?:\.[0-9]{2})?)"),
 }
+#: What a text must hold for the phrase of a slot to match; only then is the phrase sought.
+SLOT_WORDS = {
+    "deposit_cap_months": ("month", "rent"), "small_landlord_cap_months": ("month", "rent"), "accounting_days": ("within", "days"), "statutory_damages_multiplier": ("statutory", "damages"),
+    "minimum_ownership_percent_omi": ("%", "ownership"), "occupancy_threshold_months": ("months",), "base_cap_percent": ("increase", "plus"), "max_cap_percent": ("whichever", "lower"),
+    "max_increases_per_year": ("12-month",), "cure_days": ("cure", "days"), "sla_availability_percent": ("%",), "liability_cap_months": ("fees", "paid", "months"), "max_server_nodes": ("server", "nodes"),
+    "monthly_base_rent": ("$", "month"), "annual_escalation_percent": ("annual", "escalation"), "allowance_per_sqft": ("$", "allowance"), "rentable_square_feet": ("rentable", "square"),
+    "daily_statutory_penalty": ("$", "each", "day"), "minimum_statutory_damages": ("$",),
+}
 FLAGS = {
     "prevailing_attorney_fees": ("reasonable attorney's fees to the prevailing party", "award reasonable attorney"),
     "requires_written_warning_notice": ("written notice to cease", "written notice of the rent adjustment program"),
@@ -149,10 +157,11 @@ def slots(sections: DataFrame) -> DataFrame:
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in (kv[0], float(kv[1]))])
     holds = lambda text, phrases: reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
     each = sections.select("section_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")).withColumn("low", F.lower("sentence"))
-    said = lambda text, pattern: reduce(F.concat, [F.regexp_extract(text, pattern, i + 1) for i in range(len(re.findall(r"\((?!\?)", pattern)))])
+    value_of = lambda text, pattern: reduce(F.concat, [F.regexp_extract(text, pattern, i + 1) for i in range(len(re.findall(r"\((?!\?)", pattern)))])
+    said = lambda text, slot, pattern: F.when(reduce(lambda a, b: a & b, [text.contains(w) for w in SLOT_WORDS[slot]]), value_of(text, pattern)).otherwise("")
     rule = lambda slot, unit, raw, flag: F.struct(F.lit(slot).alias("slot"), F.lit(unit).cast("string").alias("unit"), raw.alias("raw"), F.lit(flag).alias("flag"))
-    rules = [rule(s, unit, said(F.col("low"), p), False) for s, (unit, p) in SLOTS.items()]
-    rules += [rule(s, unit, said(F.col("sentence"), p), False) for s, (unit, p) in SLOTS_AS_WRITTEN.items()]
+    rules = [rule(s, unit, said(F.col("low"), s, p), False) for s, (unit, p) in SLOTS.items()]
+    rules += [rule(s, unit, said(F.col("sentence"), s, p), False) for s, (unit, p) in SLOTS_AS_WRITTEN.items()]
     rules += [rule(s, None, F.when(holds(F.col("low"), phrases), "1").otherwise(""), True) for s, phrases in FLAGS.items()]
     found = each.select("section_id", "at", "sentence", "low", F.explode(F.filter(F.array(*rules), lambda r: r["raw"] != "")).alias("r")).select("section_id", "at", "sentence", "low", "r.*")
     value = F.when(F.col("raw").rlike("^[0-9]"), F.regexp_replace("raw", ",", "").try_cast("double")).otherwise(words[F.col("raw")])
