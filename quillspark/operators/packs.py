@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import structure
+from quillspark.operators.versions import written
 
 # A line that begins a section, and classes of entries by kind of pack.
 SECTION_LINE = (
@@ -38,8 +39,11 @@ def sections(pages: DataFrame) -> DataFrame:
 
 
 def entries(pages: DataFrame, kind: str = "jurisdiction") -> DataFrame:
-    """One entry for each section: citation, section_number, title, topic, authority_class, hierarchy_level, raw_content, tokens, references, slots."""
-    found = sections(pages)
+    """One entry for each section: citation, section_number, title, topic, authority_class, hierarchy_level, raw_content, tokens, references, slots.
+
+    Sections are written to `versions.scratch`, as entries, their slots and documents without any are all derived from them.
+    """
+    found = written(sections(pages), "sections")
     number = T.section_number(F.col("title"))
     place = F.concat_ws(" p.", F.col("doc").cast("string"), F.when(F.col("page") > 0, F.col("page").cast("string")))
     rows = found.withColumns({"citation": F.coalesce(F.nullif(T.canonical(F.col("title")), F.lit("")), F.col("title"), place), "section_number": F.nullif(number, F.lit("")), "hierarchy_level": F.lit("section")})

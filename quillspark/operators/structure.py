@@ -152,11 +152,14 @@ def slots(sections: DataFrame) -> DataFrame:
     """Typed values that sentences of a section state, with unit and sentence; the last sentence that grounds a slot wins.
 
     A value is grounded if its sentence holds its whole part in digits or as a number word; a flag (value 1) needs a word that binds.
-    ``sections`` has section_id and text.
+    ``sections`` has section_id and text. Only texts that hold all words of some slot, or a phrase of some flag, are split into sentences.
     """
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in (kv[0], float(kv[1]))])
     holds = lambda text, phrases: reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
-    each = sections.select("section_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")).withColumn("low", F.lower("sentence"))
+    has_words = lambda text: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [text.contains(w) for w in words]) for words in SLOT_WORDS.values()])
+    has_any = lambda text: has_words(text) | holds(text, [p for phrases in FLAGS.values() for p in phrases])
+    telling = sections.where(F.exists(F.array(F.lower("text")), has_any))
+    each = telling.select("section_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")).withColumn("low", F.lower("sentence"))
     value_of = lambda text, pattern: reduce(F.concat, [F.regexp_extract(text, pattern, i + 1) for i in range(len(re.findall(r"\((?!\?)", pattern)))])
     said = lambda text, slot, pattern: F.when(reduce(lambda a, b: a & b, [text.contains(w) for w in SLOT_WORDS[slot]]), value_of(text, pattern)).otherwise("")
     rule = lambda slot, unit, raw, flag: F.struct(F.lit(slot).alias("slot"), F.lit(unit).cast("string").alias("unit"), raw.alias("raw"), F.lit(flag).alias("flag"))
