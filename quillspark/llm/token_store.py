@@ -43,59 +43,79 @@ SECTIONS = {"null": "u1", "doc_id": "<i8", "at": "<u4", "symbol_at": "<u4", "rul
 SHARDS = "part int, shard int, n_docs int, n_ids long, payload binary"
 
 
-def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int32)
+def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << np.uint64(32) | b
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each pair (a, b), how often each numbered pair occurs, and a place of it. Exact: pairs that share a table slot with
-    another are sorted out."""
-    place = np.zeros(1 << BITS, np.int32)
-    place[slot] = np.arange(len(slot), dtype=np.int32)
-    same = place[slot]
-    other = np.flatnonzero((a != a[same]) | (b != b[same]))
+def _slots(code: np.ndarray, bits: int) -> np.ndarray:
+    return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _pairs(code: np.ndarray, slot: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each pair, how often each numbered pair occurs, and which it is. Exact: pairs that share a table slot with another are
+    sorted out."""
+    which = np.zeros(1 << bits, np.uint64)
+    which[slot] = code
     number = slot
-    if len(other):
-        code, first, which = np.unique(a[other].astype(np.uint64) << np.uint64(32) | b[other], return_index=True, return_inverse=True)
-        number[other] = (1 << BITS) + which
-        place = np.concatenate([place, other[first].astype(np.int32)])
-    return number, np.bincount(number, minlength=len(place)), place
+    if len(other := np.flatnonzero(code != which[slot])):
+        more, own = np.unique(code[other], return_inverse=True)
+        number[other] = (1 << bits) + own
+        which = np.concatenate([which, more])
+    return number, np.bincount(number, minlength=len(which)), which
 
 
 def re_pair(ids: np.ndarray, first: int, end_id: int, least: int = LEAST, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that stand for ``ids``, and the rules as rows (left, right); rule i makes the nonterminal ``first + i``.
 
-    Each round counts the pairs, takes those that occur a ``step``-th as often as the most frequent one, and replaces occurrences that don't overlap, the
-    more frequent first. It ends when no pair occurs ``least`` times. A pair that has become rare stays rare unless a new symbol is in it,
-    so later rounds look at the rest only.
+    Each round takes the pairs that occur a ``step``-th as often as the most frequent one, and replaces occurrences that don't overlap, the
+    more frequent first. It ends when no pair occurs ``least`` times. Places are linked to the next and the one before, so only pairs at
+    replaced places and before them are counted anew. A pair that has become rare stays rare unless a symbol of it is made again; then all
+    pairs with that symbol are counted anew.
     """
-    seq, rules = ids.astype(np.uint32), {}
-    alive = np.ones(len(seq), bool)  # whether the pair that begins here may be frequent
+    n, rules = len(ids), {}
+    seq = np.append(ids, end_id).astype(np.uint32)  # the last is no symbol but what follows, and what is before the first
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    live = np.ones(n + 1, bool)
+    number = np.full(n + 1, -1, np.int32)  # of the pair that begins here; -1: rare, or none
+    pairs, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    changed, a, b = np.arange(n), seq[:-1], seq[1:]
+    held = twins = changed[:0]  # places of numbered pairs, and of those of one symbol
     while True:
-        at = np.flatnonzero(alive[:-1])
-        a, b = seq[at], seq[at + 1]
-        use = (a != end_id) & (b != end_id)
-        alive[at[~use]] = False
-        twins = np.flatnonzero((a == b) & use)
-        head = np.flatnonzero(np.diff(at[twins], prepend=-2) != 1)
-        odd = (np.arange(len(twins)) - np.repeat(head, np.diff(head, append=len(twins)))) % 2 == 1
-        use[twins[odd]] = False  # in a run of one symbol, every other pair overlaps
-        at, a, b = at[use], a[use], b[use]
-        slot = _slots(a, b)
-        use = (np.bincount(slot, minlength=1 << BITS) >= least)[slot]
-        alive[at[~use]] = False
-        at, a, b = at[use], a[use], b[use]
-        number, counts, place = _pairs(a, b, slot[use])
-        alive[at[(counts < least)[number]]] = False
-        if (top := counts.max()) < least:
+        bits = min(BITS, max(8, len(changed).bit_length()))
+        code = _codes(a, b)
+        slot = _slots(code, bits)
+        use = (np.bincount(slot, minlength=1 << bits) >= least)[slot] & (a != end_id) & (b != end_id)
+        at, code = changed[use], code[use]
+        own, many, which = _pairs(code, slot[use], bits)
+        new = np.flatnonzero(many >= least)
+        names = np.full(len(many), -1, np.int32)
+        names[new] = len(counts) + np.arange(len(new))
+        few, twins = len(held) + len(at) <= n >> 5, twins[number[twins] >= 0]
+        held = held[number[held] >= 0] if few else held
+        number[at] = own = names[own]
+        held = np.sort(np.concatenate([held, at[own >= 0]])) if few else np.flatnonzero(number >= 0)
+        two = np.flatnonzero(code >> np.uint64(32) == code & np.uint64(0xFFFFFFFF))
+        twins = np.sort(np.concatenate([twins, at[two[own[two] >= 0]]]))
+        pairs = np.concatenate([pairs, which[new]])
+        counts = np.concatenate([counts, many[new]])
+        head = np.flatnonzero(np.append(True, after[twins[:-1]] != twins[1:])[: len(twins)])
+        odd = (np.arange(len(twins)) - np.repeat(head, np.diff(head, append=len(twins)))) % 2 == 1  # in a run of one symbol, every other pair overlaps
+        own = number[twins]
+        counts[own] = np.bincount(own[~odd], minlength=len(counts))[own]
+        if (top := counts.max(initial=0)) < least:
             break
         chosen = np.flatnonzero(counts >= max(least, top // step))
         chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
-        rank = np.full(len(counts), len(chosen), np.int32)
+        rank = np.append(np.where(counts < least, len(chosen) + 1, len(chosen)), len(chosen)).astype(np.int32)
         rank[chosen] = np.arange(len(chosen))
-        own = rank[number]
-        at, own = at[own < len(chosen)], own[own < len(chosen)]
-        near = np.diff(at) == 1
+        own = number[twins[odd]]
+        number[twins[odd]] = -1  # not to be chosen in this round
+        ranks = rank[number[held]]
+        number[twins[odd]] = own
+        number[held[ranks > len(chosen)]] = -1
+        use = ranks < len(chosen)
+        at, own = held[use], ranks[use]
+        near = after[at[:-1]] == at[1:]
         use = np.ones(len(at), bool)
         use[1:] &= ~near | (own[1:] < own[:-1])
         use[:-1] &= ~near | (own[:-1] <= own[1:])
@@ -104,17 +124,29 @@ def re_pair(ids: np.ndarray, first: int, end_id: int, least: int = LEAST, step:
         worth = uses >= max(2, least // 2)
         worth[0] = True
         at, own = at[worth[own]], own[worth[own]]
-        names = np.zeros(len(chosen), np.uint32)
-        for i in np.flatnonzero(worth).tolist():
-            j = place[chosen[i]]
-            names[i] = rules.setdefault((int(a[j]), int(b[j])), first + len(rules))
+        names, made = np.zeros(len(chosen), np.uint32), first + len(rules)
+        for i, pair in zip(np.flatnonzero(worth).tolist(), pairs[chosen[worth]].tolist(), strict=True):
+            names[i] = rules.setdefault(pair, first + len(rules))
+        gone = after[at]
         seq[at] = names[own]
-        alive[at] = True
-        alive[at[at > 0] - 1] = True
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, alive = seq[keep], alive[keep]
-    return seq, np.array(list(rules), np.uint32).reshape(-1, 2)
+        after[at] = after[gone]
+        before[after[gone]] = at
+        live[gone] = False
+        if len(again := names[worth & (names < made)]):
+            known = np.zeros(first + len(rules), bool)
+            known[again] = True
+            known = known[seq] & live
+            known[at] = True
+            at = np.flatnonzero(known)
+        left = before[at]
+        changed = np.concatenate([at, left[left != np.append(-1, at[:-1])]])
+        for x in (changed, gone):
+            own = number[x]
+            counts -= np.bincount(own[own >= 0], minlength=len(counts))
+            number[x] = -1
+        a, b = seq[changed], seq[after[changed]]
+    made = np.array(list(rules), np.uint64)
+    return seq[:n][live[:n]], np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
@@ -201,8 +233,32 @@ class Shard:
         return expand(own[low:high], self.rules, self.first)[skip : skip + stop - start]
 
     def ids(self) -> np.ndarray:
-        """All ids of the shard, by one expansion."""
-        return expand(self.symbols, self.rules, self.first)
+        """All ids of the shard: each rule is expanded once, unless rules together stand for more ids than the shard holds."""
+        if self.size.sum(dtype=np.int64) > self.n_ids:
+            return expand(self.symbols, self.rules, self.first)
+        table = expand(np.arange(self.first, self.first + len(self.rules), dtype=self.symbols.dtype), self.rules, self.first)
+        size, begin = self.size.astype(np.int64), np.cumsum(self.size, dtype=np.int64) - self.size
+        at = np.flatnonzero(self.symbols >= self.first)
+        rule = self.symbols[at] - self.first
+        length = np.ones(len(self.symbols), np.int64)
+        length[at] = size[rule]
+        start = len(table) + np.arange(len(self.symbols))
+        start[at] = begin[rule]
+        done = np.cumsum(length)
+        return np.concatenate([table, self.symbols])[np.arange(self.n_ids) + np.repeat(start - (done - length), length)]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a bounded size, so that more segments are met again within one; a batch that is larger stays."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
@@ -212,8 +268,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = 0
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            for part in column_slices(batch.column(1)):
+        for batch in _gathered(batches):
+            for part in column_slices(batch.column(1), 8 << 20):
                 some = batch.slice(part.start, part.stop - part.start)
                 keys = some.column(0)
                 at = np.where(keys.is_valid(), np.searchsorted(cuts, keys.fill_null(0).to_numpy()), 0).astype(np.int32)

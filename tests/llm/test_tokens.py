@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import packing, token_store
-from quillspark.llm.tokens import BYTE_BPE, encoder
+from quillspark.llm import packing, token_store, tokens
+from quillspark.llm.tokens import BYTE_BPE, Encoder, encoder
 
 ODD = ["a  b\n\n c", "don't we'll x_y_z.", "tab\there nbsp", "12abc 3.14 <|endoftext|>x", "日本語 テスト　全角", "ñ é", "\x1c\x1d \x85", " lead", "trail ", "", "🙂🙂 🙂.", "a.b,c;d:e!f?", "Ⅷ ² x² ٣", "\r\n x \t y", "é ß'S ''tis''"]
 
@@ -33,6 +33,43 @@ def test_segments_give_the_ids_of_the_whole(whole, texts):
     assert enc.encode(pa.array([], pa.string()))[1].tolist() == [0] and enc.encode(pa.array([None, ""]))[1].tolist() == [0, 0, 0]
 
 
+def test_joined_words_and_cuts_at_marks(whole):
+    rng = random.Random(3)
+    parts = ["a", "Bc", "é", "ß", "×", "÷", "ª", "ÿ", "Ā", "ж", " ", " ", "\n", "\n ", "###", "%", "_", "-", "(", "/", "'s", "'T", "7", "<", "|", ">", "<|endoftext|>", "\0", "…", "\u00a0"]
+    some = [*("".join(rng.choices(parts, k=rng.randint(0, 10))) for _ in range(10_000)), "\n".join(["Oné***", "x", "é."] * 300), " zq" * 300]
+    enc = Encoder(BYTE_BPE)
+    assert enc.joined > 1
+    for joined in (enc.joined, 1):
+        enc._forget()
+        enc.joined = joined
+        ids, at = enc.encode(pa.array(some))
+        assert all(np.array_equal(ids[a:b], want) for a, b, want in zip(at, at[1:], whole(some), strict=False))
+    assert tokens._joins(b"e t") and tokens._joins(b"\na") and not any(map(tokens._joins, (b" the", b"\n\n", b" \xc2\xa0 \xc2\xa0", b"\n", b"e.g. a")))
+
+
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    """Where the memory overflows, what the texts at hand still use stays."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    common = " ".join(f"common{name(i)}" for i in range(60))
+    batches = [pa.array([f"x {common} " + " ".join(f"rare{name(100 * k + i)}" for i in range(20))]) for k in range(10)]
+    enc, asked = Encoder(BYTE_BPE), []
+    monkeypatch.setattr(tokens, "KEPT", 200)
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, strings, **more):
+            asked.extend(strings)
+            return self.model.encode_batch_fast(strings, **more)
+
+    enc.model = Counted(enc.model)
+    for b in batches:
+        enc.encode(b)
+    assert len(enc.known) <= 200
+    assert sum(s.count("common") for s in asked) == 60 and sum(s.count("rare") for s in asked) == 200
+
+
 def test_re_pair_round_trip():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 6, 5000), np.full(4000, 3), np.zeros(50, int), np.array([1]), np.array([], int)):
@@ -74,6 +111,27 @@ def test_re_pair_against_a_plain_version():
     assert len(set(map(tuple, rules.tolist()))) == len(rules)
 
 
+@pytest.mark.parametrize("seed", [2, 8, 37])
+def test_re_pair_leaves_no_frequent_pair_where_a_symbol_is_made_again(seed):
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(1, [2, 3, 6, 20, 60, 300][seed % 6], rng.integers(1, 6)) for _ in range(100)]
+    ids = np.concatenate([words[min(99, int(x))] for x in rng.exponential(20, 3000)])
+    ids[::97] = 0
+    seq, rules = token_store.re_pair(ids, 1000, 0)
+    assert np.array_equal(token_store.expand(seq.astype(np.int64), rules.astype(np.int64), 1000), ids)
+    assert max(Counter(p for p in zip(seq.tolist(), seq.tolist()[1:], strict=False) if 0 not in p and p[0] != p[1]).values()) < 16
+
+
+def test_shard_is_read_by_rules_or_by_steps():
+    for docs in ([np.tile(np.arange(1, 8), 90).astype("<u2")] * 9, [np.full(5000, 3, "<u2"), np.zeros(0, "<u2")], [np.zeros(0, "<u2")]):
+        shard = token_store.Shard(token_store.write_shard(list(range(len(docs))), docs, 50))
+        assert shard.size.sum() <= shard.n_ids
+        want = np.concatenate([np.append(d, 0) for d in docs])
+        assert np.array_equal(shard.ids(), want)
+        shard.n_ids = -1  # as if its rules stood for more
+        assert np.array_equal(shard.ids(), want)
+
+
 def test_shard_random_access():
     rng = np.random.default_rng(2)
     docs = [np.tile(rng.integers(1, 40, 7), rng.integers(0, 60)).astype("<u2") for _ in range(40)]
