@@ -233,7 +233,7 @@ def _commit(spark: SparkSession, folder: Folder, docs: DataFrame, chunks: DataFr
 
 
 def _record(spark: SparkSession, folder: Folder, ends: DataFrame, batch: int, slice_: int, at: str) -> None:
-    """Rows for the ledger, outcomes for the state, and counts of both for the metrics."""
+    """Outcomes for the state, their counts for the metrics, and rows for the ledger: once the ledger tells of a try, the totals hold it."""
     refused, failed = F.col("reject").isNotNull(), F.col("reason").isNotNull()
     steps = lambda *names: F.array(*[F.lit(n) for n in names])
     last = F.when(refused | (F.col("tries") >= folder.tries), steps("FAILED", "QUARANTINED")).otherwise(steps("FAILED"))
@@ -242,12 +242,11 @@ def _record(spark: SparkSession, folder: Folder, ends: DataFrame, batch: int, sl
     rows = rows.withColumn("reason", F.when(F.col("state").isin("FAILED", "QUARANTINED"), F.col("reason")))
     seen = Observation(f"ingest-{at}")
     count = lambda name, condition: F.count(F.when(condition, 1)).alias(name)
-    is_ = lambda state: F.col("state") == state
-    counted = rows.observe(seen, count("processed", is_("ARCHIVED")), count("failed", is_("FAILED")), count("quarantined", is_("QUARANTINED")), count("retries", is_("DETECTED") & (F.col("tries") > 1)))
-    counted.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(f"{folder.out}/ledger/{at}")
+    counted = ends.observe(seen, count("processed", ~failed), count("failed", failed), count("quarantined", failed & (F.array_size(last) == 2)), count("retries", F.col("tries") > 1))
     event = F.when(~failed, "done").when(refused, "refused").otherwise("failed")
-    ends.select("path", event.alias("event"), "tries").write.mode("overwrite").parquet(f"{folder.out}/outcomes/{at}")
+    counted.select("path", event.alias("event"), "tries").write.mode("overwrite").parquet(f"{folder.out}/outcomes/{at}")
     _add_metrics(spark, folder.out, f"{batch:012d}-{slice_:06d}", seen.get)
+    rows.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(f"{folder.out}/ledger/{at}")
 
 
 # Metrics -----------------------------------------------------------------------------------------------------------------------------

@@ -136,6 +136,20 @@ def test_a_failing_handler_is_tried_again_after_a_restart(spark, place, monkeypa
     assert pipeline.metrics(spark, f.out).active_retries == 0
 
 
+def test_totals_hold_what_the_ledger_tells(spark, place, monkeypatch):
+    """Whoever sees a try in the ledger may stop the stream and read the totals."""
+    f = folder(place)
+    (place / "in/ws/a.txt").write_text("Some text.")
+    (place / "in/ws/x.exe").write_bytes(b"MZ")
+    add, told = pipeline._add_metrics, []
+    monkeypatch.setattr(pipeline, "_add_metrics", lambda *a: (told.append(list((place / "out/ledger").rglob("*.parquet"))), add(*a)))
+    run(spark, place, f)
+    assert told == [[]]
+    now = pipeline.metrics(spark, f.out)
+    assert (now.processed, now.failed, now.quarantined, now.retries) == (1, 1, 1, 0)
+    assert {k: v[-1] for k, v in stories(spark, f).items()} == {"a.txt": (1, "ARCHIVED"), "x.exe": (1, "QUARANTINED")}
+
+
 def test_page_cap_and_quota(spark, place):
     f = folder(place, most_pages=2, quota=60)
     (place / "in/ws/ok.txt").write_text("x" * 50)
